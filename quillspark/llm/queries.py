@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, langid, packing, sharding, simhash, suffix_dedup, url_filter, warc
+from . import decontaminate, embed_dedup, langid, lm_score, packing, sharding, simhash, suffix_dedup, url_filter, warc
 from .common import scratch_path, table
 
 
@@ -38,6 +38,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -48,12 +52,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start", "windows")
+
+
 def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-QUERIES = [op1_sharding, op2_warc, op3_suffix_dedup, op4_packing, op5_langid, op7_simhash, op8_url_filter, op10_embed_dedup]
+QUERIES = [op1_sharding, op2_warc, op3_suffix_dedup, op4_packing, op5_langid, op6_lm_score, op7_simhash, op8_url_filter, op9_decontaminate, op10_embed_dedup]
 
 
 def queries() -> dict:

@@ -429,3 +429,38 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     rows = keyed.join(listed, ["k", "c"], "left").select("k", "c", "none", "text", "spans")
     done = rows.mapInArrow(_removed, "k long, c long, none boolean, n_bytes long, kept binary, removed array<struct<start:int,end:int>>")
     return done.select(F.when(~F.col("none"), F.col("k")).alias(key), "c", "n_bytes", "kept", "removed")
+
+
+def _cut_text(text: str | None, spans: list) -> str | None:
+    """The text without the spans, each narrowed to whole characters."""
+    if not text or not spans:
+        return text
+    raw = text.encode("utf-8", "surrogatepass")
+    kept, at = [], 0
+    for s, e in sorted((x["start"], x["end"]) for x in spans):
+        while s < len(raw) and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        if at < s:
+            kept.append(raw[at:s])
+        at = max(at, e)
+    kept.append(raw[at:])
+    return b"".join(kept).decode("utf-8", "surrogatepass")
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+    """docs, all rows and columns, with repeated passages cut out of the text."""
+    place = docs.columns.index(text)
+    of, none = F.col(text), F.col(key).isNull()
+    keyed = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "_c": F.xxhash64(of, none)})
+    found = repeated_spans(keyed.select(F.col("_k").alias("k"), F.col("_c").alias("c"), of.alias("text")).where(F.octet_length("text") >= span), span, gram, bucket)
+    listed = found.groupBy(F.col("k").alias("_k"), F.col("c").alias("_c")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    rows = keyed.join(listed, ["_k", "_c"], "left").select(*docs.columns, "_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_cut_text(t, s) for t, s in zip(batch.column(place).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(docs.columns))], names=docs.columns)
+
+    return rows.mapInArrow(run, docs.schema)
