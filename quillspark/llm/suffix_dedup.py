@@ -451,7 +451,8 @@ def _cut_text(text: str | None, spans: list) -> str | None:
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """docs, all rows and columns, with repeated passages cut out of the text."""
-    place = docs.columns.index(text)
+    columns = docs.columns
+    place = columns.index(text)
     of, none = F.col(text), F.col(key).isNull()
     keyed = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "_c": F.xxhash64(of, none)})
     found = repeated_spans(keyed.select(F.col("_k").alias("k"), F.col("_c").alias("c"), of.alias("text")).where(F.octet_length("text") >= span), span, gram, bucket)
@@ -461,6 +462,6 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_cut_text(t, s) for t, s in zip(batch.column(place).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(docs.columns))], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(columns))], names=columns)
 
     return rows.mapInArrow(run, docs.schema)
