@@ -31,3 +31,20 @@ def activity(events: DataFrame, kind: str, since: str, until: str) -> DataFrame:
     """Events of a kind by user and day, since <= ts < until."""
     rows = events.where((F.col("event_type") == kind) & (F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") < F.lit(until).cast("timestamp")))
     return rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+
+
+def validate_exam(questions: DataFrame) -> DataFrame:
+    """(index, field, message) of every broken rule of questions (index, type, stem, answer, options array<string>)."""
+    kinds = ("single_choice", "multi_choice", "true_false", "fill_blank", "short_answer")
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    choice = F.col("type").isin("single_choice", "multi_choice")
+    rule = lambda broken, field, message: F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
+    found = F.array(
+        rule(~F.coalesce(F.col("type").isin(*kinds), F.lit(False)), "type", "unknown type"),
+        rule(blank(F.col("stem")), "stem", "missing"),
+        rule(blank(F.col("answer")), "answer", "missing"),
+        rule(choice & (F.coalesce(F.size("options"), F.lit(0)) < 1), "options", "missing"),
+        rule((F.col("type") == "single_choice") & (F.size("options") > 0) & ~F.array_contains("options", F.col("answer")), "answer", "not an option"),
+        rule((F.col("type") == "true_false") & ~F.col("answer").isin("正确", "错误"), "answer", "not a truth value"),
+    )
+    return questions.select("index", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e")).select("index", "e.field", "e.message")

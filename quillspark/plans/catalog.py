@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import conversation, learning, retrieval
+from quillspark.operators import containers, conversation, learning, retrieval, steps, tables
+from quillspark.sources import html
 from quillspark.sources.tables import messages, table
 from quillspark.streaming import requests
 
@@ -203,3 +204,47 @@ def retry_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 12 HOUR AS expires, count(*) AS n FROM s GROUP BY user_id, k")
 def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.idle_sessions(table(spark, sf_dir, "events"))
+
+
+_STEPS = """steps AS (SELECT user_id AS session, event_id AS step_order, CASE event_type WHEN 'view' THEN 'tool_call' WHEN 'click' THEN 'tool_result' ELSE 'note' END AS step_type,
+  CASE WHEN value > 50 THEN 'search' ELSE 'read' END AS tool, (json_extract_string(props, '$.k')::INT % 3)::VARCHAR AS call_id, repeat('x', floor(value)::INT * 4) AS content FROM events)"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "tool_call").when(F.col("event_type") == "click", "tool_result").otherwise("note")
+    call = (F.get_json_object("props", "$.k").cast("int") % 3).cast("string")
+    content = F.repeat(F.lit("x"), F.floor("value").cast("int") * 4)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("step_order"), kind.alias("step_type"), F.when(F.col("value") > 50, "search").otherwise("read").alias("tool"), call.alias("call_id"), content.alias("content"))
+
+
+@query(f"WITH {_STEPS}, r AS (SELECT session, call_id, arg_max(content, step_order) AS c FROM steps WHERE step_type = 'tool_result' GROUP BY ALL) SELECT session, call_id, step_order AS call_order, md5(coalesce(c, '[no result]')) AS digest FROM steps LEFT JOIN r USING (session, call_id) WHERE step_type = 'tool_call'")
+def tool_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.paired(_steps(spark, sf_dir)).select("session", "call_id", "call_order", F.md5("content").alias("digest"))
+
+
+@query(f"WITH {_STEPS} SELECT session, md5(arg_max(content, step_order)) AS digest FROM steps WHERE step_type = 'tool_result' AND tool = 'search' GROUP BY session")
+def latest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.latest(_steps(spark, sf_dir), "search").select("session", F.md5("content").alias("digest"))
+
+
+@query(f"WITH {_STEPS} SELECT session, call_id, floor(length(content) * 1.5)::INT AS tokens FROM steps WHERE step_type = 'tool_result' AND tool = 'read' AND floor(length(content) * 1.5) >= 200 QUALIFY row_number() OVER (PARTITION BY session, call_id ORDER BY step_order) = 1")
+def rewrite_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.rewrite_rules(_steps(spark, sf_dir), ("read",))
+
+
+@query("SELECT doc_id, list_concat([x FOR x IN l IF x <> 2], [9]) AS items FROM (SELECT doc_id, [1, 2, quality] AS l FROM labels WHERE quality <> 2)")
+def container_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = F.array(F.lit(1), F.lit(2), F.col("quality"))
+    return table(spark, sf_dir, "labels").where("quality <> 2").select("doc_id", containers.appended(containers.removed(items, 1), F.array(F.lit(9))).alias("items"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'done' ELSE url END AS url FROM pages WHERE page_id % 7 <> 0")
+def guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    kept = tables.deleted(pages, pages.where("page_id % 7 = 0"), "page_id")
+    return tables.updated(kept, F.col("page_id") % 10 == 0, url=F.lit("done"))
+
+
+@query()
+def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.html_nodes(table(spark, sf_dir, "pages"))
