@@ -82,17 +82,17 @@ def _celled(directions: np.ndarray, width: float):
 
 
 def _cut(directions: np.ndarray):
-    """Blocks of rows in grid order, with their bounding boxes on the principal directions."""
+    """Runs of rows in grid order, with their bounding boxes on the principal directions."""
 
     def block(ids: list, copies: list, rows: list, number: int) -> pa.RecordBatch:
         at = _units(rows) @ directions
         first = (TaskContext.get().partitionId() << 32) + number
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([first]), pa.array([at.min(axis=0)], pa.list_(pa.float64())), pa.array([at.max(axis=0)], pa.list_(pa.float64())),
+                pa.array([first]), pa.array([len(ids)]), pa.array([at.min(axis=0)], pa.list_(pa.float64())), pa.array([at.max(axis=0)], pa.list_(pa.float64())),
                 *(pa.array([np.array(x, dtype=t).tobytes()], pa.binary()) for x, t in ((ids, np.int64), (copies, np.int64), (rows, np.float64))),
             ],
-            names=["block", "low", "high", "ids", "copies", "rows"],
+            names=["run", "size", "low", "high", "ids", "copies", "rows"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +110,16 @@ def _cut(directions: np.ndarray):
     return run
 
 
+def _blocks(runs: DataFrame) -> DataFrame:
+    """Neighbouring runs put together until a block has about BLOCK rows, so that the number of blocks follows the rows and not the tasks."""
+    # One window over narrow rows: one for each task and BLOCK vectors.
+    numbered = runs.select("run", F.expr(f"coalesce(sum(size) over (order by run rows between unbounded preceding and 1 preceding), 0) div {BLOCK}").alias("block"))
+    parts = runs.join(staged(numbered, "vector-runs"), "run").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("run", "low", "high", "ids", "copies", "rows"))).alias("p"))
+    side = lambda name, pick: f"aggregate(slice(p.{name}, 2, size(p)), p.{name}[0], (a, b) -> zip_with(a, b, (x, y) -> {pick}(x, y)))"
+    joined = lambda name: F.aggregate(f"p.{name}", F.lit(b""), lambda a, b: F.concat(a, b)).alias(name)
+    return parts.select("block", F.expr(side("low", "least")).alias("low"), F.expr(side("high", "greatest")).alias("high"), joined("ids"), joined("copies"), joined("rows"))
+
+
 class _Join:
     """Links between two blocks (or within one), found by halving both."""
 
@@ -202,7 +212,8 @@ def embedding_components(vectors: DataFrame, key: str = "vec_id", embedding: str
         celled = staged(part.select("id", "n", "vector").mapInArrow(_celled(directions, math.sqrt(2 - 2 * cosine)), "id long, n long, vector array<double>, cells array<int>"), "vector-cells")
         tasks = max(1, -(-celled.count() // (4 * BLOCK)))
         ordered = celled.repartitionByRange(tasks, "cells", "id").sortWithinPartitions("cells", "id").select("id", "n", "vector")
-        blocks = staged(ordered.mapInArrow(_cut(directions), "block long, low array<double>, high array<double>, ids binary, copies binary, rows binary"), "vector-blocks")
+        runs = staged(ordered.mapInArrow(_cut(directions), "run long, size long, low array<double>, high array<double>, ids binary, copies binary, rows binary"), "vector-runs")
+        blocks = staged(_blocks(runs), "vector-blocks")
         pairs = staged(_block_pairs(blocks, cosine), "vector-pairs")
         body = blocks.select("block", "ids", "copies", "rows")
         second = body.toDF("block_b", "ids_b", "copies_b", "rows_b")
