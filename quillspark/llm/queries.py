@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, embed_dedup, langid, lm_score, packing, sharding, simhash, suffix_dedup, url_filter, warc
 from .common import scratch_path, table
+from .twins import SQL
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
