@@ -358,7 +358,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, bucket:
     """(k, c, start, end): byte spans of repeated windows, overlapping ones apart, of docs (k, c, text). Rows alike in k and c must have equal texts."""
     all_ = staged(docs.select("k", "c", "text").mapInArrow(_scan(span, gram), _ANCHOR), "anchors")
     sizes = all_.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("uniform")).where("n > 1").drop("n")
-    shared = staged(all_.join(sizes, "bucket"), "anchors-shared")
+    # Staged, so that the join stands on two plain exchanges and a hot bucket can be split.
+    shared = staged(all_.join(staged(sizes, "anchors-sizes"), "bucket"), "anchors-shared")
     found = [_whole(shared.where("uniform"), span)]
     mixed_ = shared.where("not uniform")
     kinds = staged(mixed_.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "c", "anchor", "first", "last")).alias("one")), "anchors-kinds")
