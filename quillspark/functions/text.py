@@ -67,3 +67,132 @@ def packed(parts: Column, budget: int, joint: int) -> Column:
         return F.struct(done.alias("done"), F.when(full | acc["now"].isNull(), part).otherwise(F.concat(acc["now"], F.lit("\n" * joint), part)).alias("now"))
 
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+
+
+def trimmed(c: Column) -> Column:
+    """Without characters up to U+0020 at both ends."""
+    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def paragraphs(c: Column) -> Column:
+    """Blocks parted by blank lines, trimmed; blank ones are dropped."""
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), trimmed), lambda p: p != "")
+
+
+def uniform_lines(c: Column) -> Column:
+    """Whether a text looks line-based: five lines or more, three with text, and a variance of their lengths below half the squared mean."""
+    lines = F.split(c, "\n")
+    sizes = F.filter(F.transform(lines, lambda x: F.length(trimmed(x)).cast("double")), lambda n: n > 0)
+    total = F.aggregate(sizes, F.lit(0.0), lambda s, n: s + n)
+    squares = F.aggregate(sizes, F.lit(0.0), lambda s, n: s + n * n)
+    n = F.size(sizes)
+    mean = total / n
+    return F.coalesce((F.size(lines) >= 5) & (n >= 3) & (squares / n - mean * mean < mean * mean * 0.5), F.lit(False))
+
+
+def frequent_gaps(c: Column) -> Column:
+    """Whether three or more runs of two or more blank lines stand before some later line."""
+    return F.coalesce(F.regexp_count(c, F.lit(r"(?:^|\n)(?:[^\S\n]*\n){2,}(?=[^\S\n]*\S)")) >= 3, F.lit(False))
+
+
+#: File types by extension.
+EXTENSIONS = {"pdf": ("pdf",), "docx": ("docx", "doc"), "xlsx": ("xlsx",), "markdown": ("md",), "html": ("html",), "code": ("java", "py", "js", "ts", "go", "rs", "c", "cpp", "cs", "kt", "rb", "php", "swift", "scala", "hs", "lua", "r", "sh", "bash", "sql"), "linebased": ("log", "csv", "tsv", "txt")}
+CODE_WORDS = r"\b(package|import|class|def|function|fn|func)\b"
+
+
+def document_type(path: Column, text: Column) -> Column:
+    """By the extension, else by the first 500 characters: markdown, html, code, then line-based."""
+    ext, head = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([^./\\]+)$", 1)), F.substring(F.coalesce(text, F.lit("")), 1, 500)
+    named = F.coalesce(*(F.when(ext.isin(*known), kind) for kind, known in EXTENSIONS.items()))
+    marked = F.contains(head, F.lit("# ")) | F.contains(head, F.lit("```")) | head.rlike(r"^\s*#")
+    return F.coalesce(named, F.when(marked, "markdown").when(F.lower(head).rlike("<html|<body|<div|<head|<!doctype html"), "html").when(head.rlike(CODE_WORDS), "code").otherwise("linebased"))
+
+
+def safe_file_name(c: Column) -> Column:
+    """The last path segment without characters that file systems refuse, its stem cut to 100; null where no stem is left."""
+    base = F.regexp_replace(F.regexp_replace(F.regexp_extract(c, r"([^/\\]*)$", 1), r'[<>:"|?*]', "_"), r"[\x00-\x1f\x7f]", "")
+    clean = F.regexp_replace(base, r"^ +|[ .]+$", "")
+    stem, ext = F.regexp_extract(clean, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(clean, r"^.+?(\.[^.]*)?$", 1)
+    return F.when(F.trim(stem) != "", F.concat(F.substring(stem, 1, 100), ext))
+
+
+def archive_name(c: Column) -> Column:
+    """Letters and digits, all else one underscore a run, none at the ends; ``unnamed`` if nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{Nd}]+", "_"), "^_|_$", ""), F.lit("")), F.lit("unnamed"))
+
+
+def title_of(c: Column) -> Column:
+    """The first Markdown heading if under 120 characters, else the first HTML heading without its tags; null if none."""
+    mark = F.nullif(trimmed(F.regexp_extract(c, r"(?m)^#{1,6}[^\S\n]+(\S.*)$", 1)), F.lit(""))
+    tag = F.nullif(trimmed(F.regexp_replace(F.regexp_extract(c, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1), "<[^>]+>", "")), F.lit(""))
+    return F.coalesce(F.when(F.length(mark) < 120, mark), tag)
+
+
+def snippet(c: Column, word: str, width: int = 500) -> Column:
+    """The text around the first hit, blind to case, line ends as spaces, ``…`` where it is cut; null without a hit."""
+    at, half = F.locate(word.lower(), F.lower(c)) - 1, max(width - len(word), 0) // 2
+    start, end = F.greatest(F.lit(0), at - half), F.least(F.length(c), at + len(word) + half)
+    body = trimmed(F.translate(F.substring(c, start + 1, end - start), "\n", " "))
+    return F.when(at >= 0, F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(end < F.length(c), "…").otherwise("")))
+
+
+def section(c: Column, title: str) -> Column:
+    """The body below a second-level heading, up to the next one; empty if there is none."""
+    return trimmed(F.regexp_extract(F.coalesce(c, F.lit("")), rf"(?s)## {title}(.*?)(?:\n## .*)?\z", 1))
+
+
+def head_summary(c: Column, limit: int = 600) -> Column:
+    """The first second-level section with its heading, else the whole; cut at the limit; ``(空)`` for a blank text."""
+    whole = trimmed(c)
+    part = F.when(F.contains(whole, F.lit("\n## ")), trimmed(F.regexp_extract(whole, r"(?s)\n## (.*?)(?:\n## .*)?\z", 1))).otherwise(whole)
+    cut = F.when(F.length(part) > limit, F.concat(F.substring(part, 1, limit), F.lit("…(已截断)"))).otherwise(part)
+    return F.when(F.coalesce(whole, F.lit("")) == "", "(空)").otherwise(cut)
+
+
+def embedding_text(prefix: Column, title: Column, index_text: Column, text: Column) -> Column:
+    """What is embedded: prefix, title path and the index text, or the text where that is blank; reasoning stripped."""
+    body = F.when(F.trim(index_text) != "", index_text).otherwise(F.coalesce(text, F.lit("")))
+    return strip_reasoning(F.concat_ws(" ", F.nullif(prefix, F.lit("")), F.nullif(title, F.lit("")), body))
+
+
+def source_label(file: Column, title: Column) -> Column:
+    return F.concat_ws(" > ", file, F.nullif(title, F.lit("")))
+
+
+def rounded4(c: Column) -> Column:
+    """Half up, to four places."""
+    return F.floor(c * 10000 + 0.5) / 10000
+
+
+def language_of(c: Column) -> Column:
+    """A programming language by words in the first 200 characters; null if none is met."""
+    head = F.substring(c, 1, 200)
+    has = lambda *words: F.coalesce(*(F.when(F.contains(head, F.lit(w)), True) for w in words), F.lit(False))
+    sql = F.contains(F.upper(head), F.lit("SELECT ")) | F.contains(F.upper(head), F.lit("FROM "))
+    return F.when(has("public class", "System.out"), "java").when(has("def ", "import "), "python").when(has("function ", "var ", "const "), "javascript").when(sql, "sql").when(has("fn "), "rust").when(has("func "), "go")
+
+
+#: Labels of errors by the class name met first along the chain of causes.
+ERRORS = {"RateLimitException": "RATE_LIMIT", "InternalServerException": "SERVER_ERROR", "TimeoutException": "TIMEOUT", "UnresolvedModelServerException": "DNS", "UnresolvedAddressException": "DNS", "HttpTimeoutException": "NETWORK_TIMEOUT", "IOException": "NETWORK"}
+
+
+def error_label(chain: Column) -> Column:
+    """The label of the first known class in an array of class names, outermost first; OTHER if none is known."""
+    known = F.create_map(*(F.lit(x) for pair in ERRORS.items() for x in pair))
+    return F.coalesce(F.get(F.filter(F.transform(chain, lambda n: F.try_element_at(known, n)), lambda x: x.isNotNull()), F.lit(0)), F.lit("OTHER"))
+
+
+def hmac_sha256(key: str, message: Column) -> Column:
+    """HMAC-SHA256 of the UTF-8 message, in lower-case hex, from two built-in digests."""
+    import hashlib
+
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+def signed_image(key: Column, secret: str, expires: Column) -> Column:
+    """The signed path of an image; null for a blank key."""
+    path = F.concat(F.lit("/assets/images/"), key, F.lit("?expires="), expires.cast("string"))
+    return F.when(F.trim(key) != "", F.concat(F.lit("/api"), path, F.lit("&sig="), hmac_sha256(secret, path)))

@@ -48,3 +48,40 @@ def validate_exam(questions: DataFrame) -> DataFrame:
         rule((F.col("type") == "true_false") & ~F.col("answer").isin("正确", "错误"), "answer", "not a truth value"),
     )
     return questions.select("index", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e")).select("index", "e.field", "e.message")
+
+
+def validate_plan(plans: DataFrame) -> DataFrame:
+    """(plan, index, field, message) of every broken rule of plans (plan, title, goal, source_type, phases array<struct<title>>); index -1 is the plan itself."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    fault = lambda at, field, message: F.struct(at.cast("int").alias("index"), F.lit(field).alias("field"), F.lit(message).alias("message"))
+    whole = [F.when(blank(F.col(c)), fault(F.lit(-1), c, "missing")) for c in ("title", "goal", "source_type")]
+    whole.append(F.when(F.coalesce(F.size("phases"), F.lit(0)) < 1, fault(F.lit(-1), "phases", "missing")))
+    phases = F.coalesce(F.transform("phases", lambda p, i: F.when(blank(p["title"]), fault(i, "title", "missing"))), F.array())
+    found = F.filter(F.concat(F.array(*whole), phases), lambda x: x.isNotNull())
+    return plans.select("plan", F.explode(found).alias("e")).select("plan", "e.*")
+
+
+#: Marks of a phase's status in an exported plan.
+MARKS = {"completed": "[x]", "in_progress": "[~]"}
+
+
+def plan_markdown(phases: DataFrame, plan: str, title: Column, goal: Column) -> DataFrame:
+    """(plan, markdown): each plan's export; phases (plan, phase_order, title, status) in order."""
+    mark = F.coalesce(*(F.when(F.col("status") == s, m) for s, m in MARKS.items()), F.lit("[ ]"))
+    part = F.concat(F.lit("## "), mark, F.lit(" 阶段 "), F.col("phase_order").cast("string"), F.lit("："), F.coalesce("title", F.lit("")), F.lit("\n\n\n"))
+    done, total = F.count_if(F.col("status") == "completed"), F.count("*")
+    grouped = phases.groupBy(plan).agg(done.alias("_d"), total.alias("_n"), F.array_sort(F.collect_list(F.struct("phase_order", part.alias("part")))).alias("_p"))
+    percent = F.floor(100.0 * F.col("_d") / F.col("_n") + 0.5).cast("int").cast("string")
+    head = F.concat(F.lit("# "), title, F.lit("\n\n> **学习目标**："), goal, F.lit("\n\n**进度**："), F.col("_d").cast("string"), F.lit("/"), F.col("_n").cast("string"), F.lit(" 阶段已完成（"), percent, F.lit("%）\n\n---\n\n"))
+    return grouped.select(plan, F.concat(head, F.array_join("_p.part", "")).alias("markdown"))
+
+
+def search_stats(found: DataFrame, group: str, item: str, score: str, threshold: float, top: int = 10) -> DataFrame:
+    """Candidates, those at the threshold or above, the best score and the ids of the ten best, without collecting a group."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.asc(item)))
+    best = found.select(group, item, rank.alias("_r")).where(F.col("_r") <= top)
+    ids = best.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_r", item)))[item].cast("array<string>"), ",").alias("top"))
+    counts = found.groupBy(group).agg(F.count("*").alias("searches"), F.count_if(F.col(score) >= threshold).alias("hits"), F.round(F.max(score), 6).alias("best"))
+    return counts.join(ids, group)

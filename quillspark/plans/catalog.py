@@ -7,31 +7,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import containers, conversation, learning, retrieval, steps, tables
+from quillspark.plans.registry import oracle_sql, queries, query
 from quillspark.sources import html
 from quillspark.sources.tables import messages, table
 from quillspark.streaming import requests
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+__all__ = ["oracle_sql", "queries"]
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
@@ -248,3 +229,6 @@ def guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.html_nodes(table(spark, sf_dir, "pages"))
+
+
+from quillspark.plans import documents, sessions  # noqa: E402, F401  they register their queries after these
