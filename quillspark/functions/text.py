@@ -196,3 +196,37 @@ def signed_image(key: Column, secret: str, expires: Column) -> Column:
     """The signed path of an image; null for a blank key."""
     path = F.concat(F.lit("/assets/images/"), key, F.lit("?expires="), expires.cast("string"))
     return F.when(F.trim(key) != "", F.concat(F.lit("/api"), path, F.lit("&sig="), hmac_sha256(secret, path)))
+
+
+def front_matter(c: Column) -> Column:
+    """The ``key: value`` lines of a leading ``---`` block as a map, of repeated keys the last; empty if there is none."""
+    lines = F.split(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1), "\n")
+    pairs = F.transform(F.filter(lines, lambda x: x.rlike(r"^[^:]+:")), lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]+):", 1)).alias("k"), F.trim(F.regexp_extract(x, "^[^:]+:(.*)$", 1)).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
+def json_object(c: Column) -> Column:
+    """A model's answer without its code fence, cut behind the brace that balances the first one; prose before it stays, null gives empty.
+
+    Braces within strings don't count; without a balanced object the trimmed text is returned.
+    Strings and escapes are blanked to equal lengths first, then depths are summed by a scan.
+    """
+    whole = trimmed(F.coalesce(c, F.lit("")))
+    bare = F.when(F.startswith(whole, F.lit("```")), F.regexp_replace(F.regexp_replace(whole, r"\A```[^\n]*\n", ""), r"(?s)```(?!.*```).*\z", "")).otherwise(whole)
+    text = trimmed(bare)
+    # Before the first brace a quote is prose, so only what follows is read as JSON.
+    lead = F.regexp_extract(text, r"(?s)\A([^{]*)", 1)
+    body = F.substr(text, F.length(lead) + 1)
+    # Runs that hold no brace outside a string are one token; the depth after each token tells where the object ends.
+    tokens = F.regexp_extract_all(body, F.lit(r'(?s)("(?:[^"\\]|\\.)*(?:"|\z)|[{}]|[^{}"]+)'), 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(acc: Column, token: Column) -> Column:
+        depth = acc["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        at = acc["at"] + F.length(token)
+        end = F.when((acc["end"] == 0) & (token == "}") & (depth == 0), at).otherwise(acc["end"])
+        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+
+    end = F.aggregate(tokens, start, step, lambda acc: acc["end"])
+    return F.when(end > 0, F.concat(lead, F.substr(body, F.lit(1), end))).otherwise(text)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import learning, trees
+from quillspark.streaming import requests
 
 
 @pytest.mark.parametrize(
@@ -45,6 +46,12 @@ from quillspark.operators import learning, trees
         (lambda t: T.hmac_sha256("a key", t), "message é", hmac.new(b"a key", "message é".encode(), hashlib.sha256).hexdigest()),
         (lambda t: T.hmac_sha256("k" * 80, t), "", hmac.new(b"k" * 80, b"", hashlib.sha256).hexdigest()),
         (lambda t: T.signed_image(t, "s", F.lit(1)), " ", None),
+        (lambda t: T.front_matter(t), "---\na: 1\nb : x: y\na: 2\n---\nbody", {"b": "x: y", "a": "2"}),
+        (lambda t: T.front_matter(t), "no head", {}),
+        (lambda t: T.json_object(t), '```json\n{"a": "}\\"{", "b": {"c": 1}} tail }\n```', '{"a": "}\\"{", "b": {"c": 1}}'),
+        (lambda t: T.json_object(t), 'It\'s "so": {"a": {}} end', 'It\'s "so": {"a": {}}'),
+        (lambda t: T.json_object(t), " {open ", "{open"),
+        (lambda t: T.json_object(t), None, ""),
         (lambda t: T.rounded4(t.cast("double")), "0.12345", 0.1235),
     ],
 )
@@ -63,3 +70,22 @@ def test_history(spark):
     files = spark.createDataFrame([("History/2024-01/a.md", "Spark here"), ("History/2024-02/b.md", "none"), ("History/.raw/c.md", "spark"), ("Current.md", "spark"), ("History/2024-03/d.md", None)], "path string, content string")
     assert [r.path for r in trees.history_search(files, "SPARK", 9).collect()] == ["History/2024-01/a.md"]
     assert [r.path for r in trees.history_search(files, " ", 2).collect()] == ["History/2024-03/d.md", "History/2024-02/b.md"]
+
+
+def test_monthly_archives(spark):
+    files = spark.createDataFrame([("History/2024-01/b.md", "B"), ("History/2024-01/a.md", "A"), ("History/2024-01/c.md", " "), ("History/2024-02/d.md", "D")], "path string, content string")
+    assert [tuple(r) for r in requests.monthly_archives(files, "2024-01").collect()] == [("History/2024-01", "## a.md\nA\n\n## b.md\nB\n\n")]
+
+
+def test_stream_of_rules(spark, tmp_path):
+    for i, batch in enumerate([[("s", "r", "ADD", "x", 1), ("s", "q", "ADD", "y", 2)], [("s", "r", "REMOVE", None, 3)]]):
+        spark.createDataFrame(batch, "session string, rule string, op string, content string, at int").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = requests.rules_in_force(spark.readStream.schema("session string, rule string, op string, content string, at int").json(f"{tmp_path}/in"))
+        q = stream.writeStream.format("memory").queryName(f"rules{i}").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp{i}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted((r.rule, r.op) for r in spark.table("rules1").collect()) == [("q", "ADD"), ("r", "REMOVE")]
+
+
+def test_kept_steps(spark):
+    df = spark.createDataFrame([("heartbeat",), ("final",), ("tool_call",), (None,)], "event_type string")
+    assert [r.event_type for r in requests.kept_steps(df).collect()] == ["tool_call", None]
