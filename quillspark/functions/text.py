@@ -219,7 +219,7 @@ def json_object(c: Column) -> Column:
     lead = F.regexp_extract(text, r"(?s)\A([^{]*)", 1)
     body = F.substr(text, F.length(lead) + 1)
     # Runs that hold no brace outside a string are one token; the depth after each token tells where the object ends.
-    tokens = F.regexp_extract_all(body, F.lit(r'(?s)("(?:[^"\\]|\\.)*(?:"|\z)|[{}]|[^{}"]+)'), 1)
+    tokens = F.regexp_extract_all(body, F.lit(r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\z)|[{}]|[^{}"]++)'), 1)
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(acc: Column, token: Column) -> Column:
