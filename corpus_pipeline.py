@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, langid, packing, simhash, suffix_dedup
+from quillspark.llm import decontaminate, langid, packing, similar, suffix_dedup
 from quillspark.llm.common import staged, table
 
 
@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """Keeps the document of the smallest doc_id of each group linked at a similarity of 0.8 or more of five-word shingles."""
+    return similar.keep_one(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,11 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(parts) <= words:
         return digest(join(parts), SEED)
-    hashes = np.array([digest(join(s), SEED) for s in zip(*(parts[i:] for i in range(words)))], dtype=np.uint64)
+    return fingerprint_of(np.array([digest(join(s), SEED) for s in zip(*(parts[i:] for i in range(words)))], dtype=np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, repeats counting as often; 0 for none."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):  # a very long text never holds all its bits at once
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

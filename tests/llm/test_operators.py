@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from quillspark.llm import decontaminate, embed_dedup, langid, lm_score, packing, sharding, simhash, suffix_dedup, url_filter, warc
+from quillspark.llm import decontaminate, embed_dedup, langid, lm_score, packing, sharding, simhash, similar, suffix_dedup, url_filter, warc
 from quillspark.llm.graph import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -257,6 +257,45 @@ def test_simhash_links_by_grid(spark):
     assert got == want
 
 
+def plain_shingles(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar(spark, docs):
+    """Edited copies around, across and below the threshold, templates of which few link, and the awkward rows."""
+    r = random.Random(9)
+
+    def edited(text, n):
+        w = text.split()
+        for i in r.sample(range(len(w)), n):
+            w[i] = f"x{r.random()}"
+        return " ".join(w)
+
+    texts = []
+    for _ in range(6):
+        base = words(r, r.choice([60, 240, 700]))
+        texts += [base, base.upper(), base.replace(" ", "  "), *(edited(base, max(1, len(base.split()) * k // 240)) for k in range(1, 9) for _ in range(3))]
+    template = words(r, 240)
+    texts += [edited(template, 5) for _ in range(60)] + [edited(texts[-1], 2)]
+    rows = [*docs, *((5000 + i, t, "en", "s", 1) for i, t in enumerate(texts)), (None, texts[0], None, None, None)]
+    df = spark.createDataFrame(rows, DOC).withColumnRenamed("lang", "kind")
+    sets = [plain_shingles(d[1]) for d in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)  # noqa: E731  two empty sets are alike
+    group = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bool(sets[i]) == bool(sets[j]) and alike(sets[i], sets[j])])
+    found = {}
+    for x in similar.similar_components(df).collect():
+        found.setdefault(x["root"], Counter())[x["doc_id"]] += 1
+    want = {}
+    for d, g in zip(rows, group, strict=True):
+        want.setdefault(g, Counter())[d[0]] += 1
+    fixed = lambda groups: sorted(sorted(c.items(), key=str) for c in groups.values())
+    assert sorted(map(str, fixed(found))) == sorted(map(str, fixed(want)))
+    kept = similar.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == len(want)
+    assert similar.similar_components(df.where("false")).count() == 0
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.com/en/7x?q", "https://com/en/", "x.net/de/", None, "ftp://sub.example.net/de/80#f", "http://example.net/de/9", "s://o.org/es/", "http://bad.io/x", "http://bad.io/y", "http://new.bad.io/", "http://fine.uk/", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)] + [(100 + i, f"http://bad.io/{i}", None) for i in range(60)] + [(300 + i, f"http://fine.uk/{i}", None) for i in range(60)], "page_id long, url string, rule string")
