@@ -151,7 +151,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 def _predicted(net: ByteNet, step: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             count = len(batch.schema.names) - 2
             texts, letters = batch.column(count).to_pylist(), batch.column(count + 1).to_pylist()
             sums = np.zeros((len(texts), len(net.classes)))
