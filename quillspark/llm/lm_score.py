@@ -1,6 +1,13 @@
 """Scoring documents by cross-entropy difference.
 
-Two byte trigram models with the same vocabulary (256 bytes, of which 0 also marks a text's ends)
+``word_cross_entropy_difference`` is what op6 runs: word trigram models of target and background,
+backing off to bigrams and words, counted over the whole corpus without any bound on their size.
+Documents are packed into blocks; a block's distinct n-grams, with their counts, are dealt out by
+hash, summed over all blocks, and the sums sent back to the blocks that hold the n-gram. So nothing
+is collected or broadcast, and an n-gram of every document is one row of a block, not one of each
+document. Both models share one vocabulary, the words of the corpus.
+
+``cross_entropy_difference`` is the small model: two byte trigram models with the same vocabulary (256 bytes, of which 0 also marks a text's ends)
 and the same smoothing are counted over whole texts: the target model over documents labelled as
 good, the background model over all documents. A document's score is the mean over its bytes of
 the target model's loss less the background model's; the lower, the more it is like the target.
@@ -9,10 +16,13 @@ A model is a table of at most 2 ** 24 trigram counts, by its vocabulary and not
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +33,15 @@ PRIOR = 4.0
 SLICE = 4 << 20
 #: Target keys broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Bytes of text in a block, and for which one bucket of n-grams is summed; neither changes a score.
+BLOCK = 6 << 20
+BUCKET = 8 << 20
+#: Scripts written without spaces, a word being a character there.
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{UNSPACED}]+|[^\s]")
+#: Bits of an n-gram's hash: of 10 ** 10 n-grams, about one in 110,000 shares another's.
+BITS = 50
+START, END, TOTAL = (np.uint64(x) for x in (1, 2, 3))
 
 
 def trigrams(raw: bytes) -> np.ndarray:
@@ -92,6 +111,11 @@ def _scores(seen: np.ndarray, target: np.ndarray, background: np.ndarray):
     return run
 
 
+def _targets(labels: DataFrame) -> DataFrame:
+    good = staged(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("key")).distinct(), "lm-targets")
+    return F.broadcast(good) if good.count() <= BROADCAST_KEYS else good
+
+
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, n_tokens, loss_target, loss_background, score (target less background).
 
@@ -100,8 +124,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc
     document the target model is uniform. Rows with null keys count as background. Other columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    good = staged(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("key")).distinct(), "lm-targets")
-    chosen = F.broadcast(good) if good.count() <= BROADCAST_KEYS else good
+    chosen = _targets(labels)
     target = trigram_counts(rows.join(chosen, "key", "left_semi").select("text")).select("code", F.col("n").alias("t"))
     background = trigram_counts(rows.select("text")).select("code", F.col("n").alias("b"))
     counted = staged(background.join(target, "code", "left").select("code", "b", F.coalesce("t", F.lit(0)).alias("t")), "lm-counts")
@@ -112,3 +135,186 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc
     loss = [losses(code[n > 0], n[n > 0], code).astype(np.float32) for n in (t, b)]
     found = rows.mapInArrow(_scores(code, *loss), "key long, n_tokens long, loss_target double, loss_background double")
     return found.select(F.col("key").alias(key), "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+
+
+def _shrunk(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    return pa.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _grown(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+class _Hashes(dict):
+    """Hashes of words; small numbers are kept for the marks."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 4
+        return found
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, at, load, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def block() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, load[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(load).combine_chunks())
+        row = [pa.array([(task << 32) | at], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(row, names=["block", "size", "docs"])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, 100):
+            part = batch.slice(start, 100)
+            load.append(part)
+            size += part.nbytes
+            if size >= BLOCK:
+                yield block()
+                load, size, at = [], 0, at + 1
+    if load:
+        yield block()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _read(raw: bytes, hashes: _Hashes):
+    """A block's document keys, numbers of predicted words (0 for a null text), and n-grams of orders 1, 2, 3 by position.
+
+    A text stands as two start marks, its words and an end mark. The first mark has no n-grams,
+    the second has none of order 3 (0 there): it is a context, but not predicted.
+    """
+    docs = pa.ipc.open_stream(raw).read_all()
+    texts, keys = docs.column("text"), docs.column("key").to_pylist()
+    good = np.array(docs.column("good").to_pylist(), dtype=bool)
+    n, words = np.zeros(len(keys), dtype=np.int64), []
+    for i, text in enumerate(texts):
+        if (text := text.as_py()) is not None:
+            found = WORD.findall(text)
+            n[i] = len(found) + 1
+            words += [np.array([START, START]), np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)), np.array([END])]
+    x = np.concatenate(words) if words else np.zeros(0, dtype=np.uint64)
+    length = np.where(n > 0, n + 2, 0)
+    first = (np.cumsum(length) - length)[n > 0]
+    one = _mixed(x * np.uint64(3) + np.uint64(1))
+    two = _mixed(np.roll(one, 1) * np.uint64(5) + one)
+    three = _mixed(np.roll(two, 1) * np.uint64(7) + one)
+    orders = [k >> np.uint64(64 - BITS) for k in (one, two, three)]
+    for k in orders:
+        k[first] = 0
+    orders[2][first + 1] = 0
+    return keys, n, orders, np.repeat(good, length)
+
+
+def _distinct(n: np.ndarray, orders: list, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted n-grams of a block, their counts, and those in target documents; TOTAL counts the predicted words."""
+    flag = good.astype(np.uint64)
+    x = np.sort(np.concatenate([((k << np.uint64(1)) | flag)[k > 0] for k in orders]))
+    key = x >> np.uint64(1)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    ends = np.append(starts[1:], len(key)).astype(np.int64) if len(key) else starts
+    upto = np.concatenate([[0], np.cumsum((x & np.uint64(1)).astype(np.int64))])
+    key, b, t = key[starts], ends - starts, upto[ends] - upto[starts]
+    predicted = orders[2] > 0
+    at = int(np.searchsorted(key, TOTAL))
+    return np.insert(key, at, TOTAL), np.insert(b, at, int(n.sum())), np.insert(t, at, int((predicted & good).sum()))
+
+
+def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the 2 ** bits buckets begins in sorted keys, and the end."""
+    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(BITS - bits)), len(keys))
+
+
+def _sent(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, n, orders, good = _read(raw.as_py(), hashes)
+                keys, b, t = _distinct(n, orders, good)
+                edges = _edges(keys, bits)
+                rows = [(k, block, j - i, _shrunk(np.diff(keys[i:j], prepend=np.uint64(0))), _shrunk(b[i:j]), _shrunk(t[i:j])) for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
+                yield pa.RecordBatch.from_pylist([dict(zip(SENT.names, row, strict=True)) for row in rows], schema=SENT)
+
+    return run
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()), ("b", pa.binary()), ("t", pa.binary())])
+BACK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("b", pa.binary()), ("t", pa.binary())])
+SCORED = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64())])
+
+
+def _summed(sent: pa.Table) -> pa.Table:
+    """Sums of a bucket's n-grams over all blocks, for each block in the order it sent them."""
+    sizes, blocks = sent.column("n").to_pylist(), sent.column("block").to_pylist()
+    bucket = sent.column("bucket")[0].as_py()
+    keys = np.concatenate([np.cumsum(_grown(raw.as_py(), n), dtype=np.uint64) for raw, n in zip(sent.column("grams"), sizes, strict=True)])
+    _, place = np.unique(keys, return_inverse=True)
+    del keys
+    ends = np.cumsum(sizes)
+    out = {}
+    for c in ("b", "t"):
+        counts = np.concatenate([_grown(raw.as_py(), n) for raw, n in zip(sent.column(c), sizes, strict=True)])
+        total = np.bincount(place, weights=counts).astype(np.uint64)[place]
+        out[c] = [_shrunk(total[end - n : end]) for n, end in zip(sizes, ends, strict=True)]
+    return pa.Table.from_pydict({"block": blocks, "bucket": [bucket] * len(blocks), "n": sizes, **out}, schema=BACK)
+
+
+def _places(grams: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted n-gram stands in sorted ones; sought in order, which is many times faster."""
+    order, out = np.argsort(wanted), np.empty(len(wanted), dtype=np.int32)
+    out[order] = np.searchsorted(grams, wanted[order])
+    return out
+
+
+def _word_scores(docs: pa.Table, back: pa.Table) -> pa.Table:
+    """Losses of a block's documents by the counts of the whole corpus."""
+    keys, n, orders, good = _read(docs.column("docs")[0].as_py(), _Hashes())
+    grams, _, _ = _distinct(n, orders, good)
+    back = back.sort_by("bucket")
+    sizes = back.column("n").to_pylist()
+    if sum(sizes) != len(grams):
+        raise ValueError(f"{len(grams)} n-grams in the block, {sum(sizes)} counted")
+    at = np.flatnonzero(orders[2])
+    one, two, three = (_places(grams, k) for k in orders)
+    one_before, two_before, one, two, three = one[at - 1], two[at - 1], one[at], two[at], three[at]
+    del orders, good, at
+    total_at, base, losses_of = np.searchsorted(grams, TOTAL), None, {}
+    for c in ("b", "t"):
+        count = np.concatenate([_grown(raw.as_py(), m) for raw, m in zip(back.column(c), sizes, strict=True)]).astype(np.float64)
+        p1 = count[one] / count[total_at] if base is None else (count[one] + PRIOR * base) / (count[total_at] + PRIOR)
+        base = p1 if base is None else base
+        p2 = (count[two] + PRIOR * p1) / (count[one_before] + PRIOR)
+        p3 = (count[three] + PRIOR * p2) / (count[two_before] + PRIOR)
+        some = n[n > 0]
+        sums = np.add.reduceat(-np.log(p3), np.cumsum(some) - some) if len(some) else np.zeros(0)
+        mean = np.zeros(len(n))
+        mean[n > 0] = sums / some
+        losses_of[c] = pa.array(mean, mask=n == 0)
+    return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(n), losses_of["t"], losses_of["b"]], schema=SCORED)
+
+
+def word_cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``cross_entropy_difference``, by word trigrams of the whole corpus; the rows are the same.
+
+    A token is a run of letters, digits and underscores, a character of a script written without
+    spaces, or any other character but a space; case counts. Each order gives the next shorter one
+    PRIOR observations, down to words; the target's word model gives them to the corpus's, so
+    without any target document it is that. A document is in the counts it is scored by.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    flagged = rows.join(_targets(labels).withColumn("good", F.lit(True)), "key", "left").select("key", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    blocks = staged(flagged.mapInArrow(_blocks, "block long, size long, docs binary"), "lm-blocks")
+    bits = max(3, int(blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // BUCKET).bit_length())
+    packed = blocks.select("block", "docs")
+    sent = packed.mapInArrow(_sent(bits), "bucket int, block long, n long, grams binary, b binary, t binary")
+    back = sent.groupBy("bucket").applyInArrow(_summed, "block long, bucket int, n long, b binary, t binary")
+    found = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_word_scores, "key long, n_tokens long, loss_target double, loss_background double")
+    return found.select(F.col("key").alias(key), "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))

@@ -225,6 +225,51 @@ def test_lm_score(spark):
             assert x["n_tokens"] == n and abs(x["score"] - want) < 1e-5
 
 
+def test_word_lm_score(spark):
+    """Equal to plain counts over several blocks; documents of the same words in another order score apart."""
+    r = random.Random(3)
+    rows = [(i, words(r, r.randrange(1, 60), 30)) for i in range(40)] + [(2, None), (None, "w1 w2 w3"), (41, ""), (42, "北京 a_b c,d\n"), (0, "w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 3)] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    good = set(range(0, 40, 3))
+
+    def tokens(t):
+        split = "".join(f" {c} " if c in "北京," else c for c in t).split()
+        return ["<", "<", *split, ">"]
+
+    def model(texts):
+        c = Counter()
+        for t in texts:
+            w = tokens(t)
+            c.update(tuple(w[i - k + 1 : i + 1]) for i in range(2, len(w)) for k in (1, 2, 3))
+            c.update([("<",), ("<", "<")])
+            c["all"] += len(w) - 2
+        return c
+
+    b, t = model(x for _, x in rows if x is not None), model(x for k, x in rows if x is not None and k in good)
+
+    def loss(c, x, y, z):
+        p = b[z,] / b["all"]
+        p = p if c is b else (c[z,] + 4 * p) / (c["all"] + 4)
+        p = (c[y, z] + 4 * p) / (c[y,] + 4)
+        return -math.log((c[x, y, z] + 4 * p) / (c[x, y] + 4))
+
+    want = []
+    for k, x in rows:
+        w = tokens(x) if x is not None else []
+        of = [sum(loss(c, *w[i - 2 : i + 1]) for i in range(2, len(w))) / (len(w) - 2) if w else None for c in (t, b)]
+        want.append((k, max(0, len(w) - 2), *of))
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got = lm_score.word_cross_entropy_difference(df, labels).collect()
+    for x, y in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert tuple(x)[:2] == y[:2] and (x["score"] is None) == (y[2] is None)
+        assert y[2] is None or (abs(x["loss_target"] - y[2]) < 1e-9 and abs(x["loss_background"] - y[3]) < 1e-9)
+
+    same = [(0, "ab cd. ef gh. " * 5), (1, "ef cd. ab gh. " * 5), (2, "ab cd. ef gh. "), (3, "ef cd. ab gh. ")]
+    apart = {x["doc_id"]: x["score"] for x in lm_score.word_cross_entropy_difference(spark.createDataFrame(same, "doc_id long, text string"), labels.where("doc_id = 0")).collect()}
+    assert apart[2] + 0.1 < apart[3]
+
+
 def plain_fingerprint(text):
     b = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not b:
