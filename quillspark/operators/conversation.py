@@ -6,20 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-
-DEPTH = 1000
+from quillspark.operators.reach import reached
 
 
 def paths_to_root(messages: DataFrame, anchors: DataFrame) -> DataFrame:
     """(anchor, id, depth): each anchor (id) and all its ancestors; depth 0 is the anchor. A missing ancestor ends the path."""
-    spark = messages.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(anchor, id, parent_id, depth) MAX RECURSION LEVEL {DEPTH} AS (
-            SELECT a.id, m.id, m.parent_id, 0 FROM {{anchors}} a JOIN {{messages}} m ON m.id = a.id
-            UNION ALL SELECT u.anchor, m.id, m.parent_id, u.depth + 1 FROM up u JOIN {{messages}} m ON m.id = u.parent_id)
-        SELECT anchor, id, depth FROM up""",
-        messages=messages.select("id", "parent_id"), anchors=anchors.select("id"),
-    )
+    up = reached(anchors, messages.select("id", F.col("parent_id").alias("to")))
+    return up.join(messages.select("id"), "id").select(F.col("start").alias("anchor"), "id", "depth")
 
 
 def since_summary(paths: DataFrame, messages: DataFrame) -> DataFrame:
@@ -31,14 +24,7 @@ def since_summary(paths: DataFrame, messages: DataFrame) -> DataFrame:
 
 def subtrees(messages: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id, depth): each root and all its descendants."""
-    spark = messages.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE down(root, id, depth) MAX RECURSION LEVEL {DEPTH} AS (
-            SELECT r.id, r.id, 0 FROM {{roots}} r
-            UNION ALL SELECT d.root, m.id, d.depth + 1 FROM down d JOIN {{messages}} m ON m.parent_id = d.id)
-        SELECT root, id, depth FROM down""",
-        messages=messages.select("id", "parent_id"), roots=roots.select("id"),
-    )
+    return reached(roots, messages.select(F.col("parent_id").alias("id"), F.col("id").alias("to"))).withColumnRenamed("start", "root")
 
 
 def turns(messages: DataFrame) -> DataFrame:
