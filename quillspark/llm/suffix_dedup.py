@@ -11,9 +11,9 @@ an anchor stands for a run of neighbouring windows, its context being the bytes
    are equal as a whole every window repeats. Neither kind moves any text.
 2. One context of each kind that is left is fetched, and each bucket sorts the suffixes that begin
    at its anchors: a mergesort whose comparisons find the common extension by binary search over
-   prefix polynomial hashes. Neighbours' extensions are verified byte by byte. Windows x bytes
-   before their anchors repeat where the suffixes agree for SPAN - x bytes and the x bytes before
-   agree too.
+   prefix polynomial hashes. What stands before the anchors is sorted backwards in the same way.
+   Neighbours' extensions are verified byte by byte in both orders. Windows x bytes before their
+   anchors repeat where the suffixes agree for SPAN - x bytes and the x bytes before agree too.
 3. A bucket of more than BUCKET contexts is split instead: its windows are dealt by the bytes they
    all share, in ever smaller runs, until each part is small, or alone, or equal as a whole. With
    runs of one window that always ends, and nothing is dropped.
@@ -21,6 +21,7 @@ an anchor stands for a run of neighbouring windows, its context being the bytes
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ GRAM = 100
 BUCKET = 4096
 PIECE = 1 << 20
 CHUNK = 4 << 20
+#: Rows of a class table that is broadcast at most (24 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -79,6 +82,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _digests(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of the SHA-256 of each slice of data, as two columns of longs."""
+    found = b"".join(hashlib.sha256(data[a:b]).digest()[:16] for a, b in zip(first.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
+
+
 def _window_min(v: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbouring values, from running minima within blocks of w."""
     n = len(v)
@@ -89,13 +98,13 @@ def _window_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: (bucket hash, context hash, anchor, first window, last window) for each run of windows.
+    """Of texts laid end to end: (bucket hash, anchor, first window, last window) for each run of windows.
 
     ends: where each text ends. Windows never cross an end.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < span:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none
     hashes = PrefixHashes(data)
     at = np.arange(len(data) - gram + 1)
     grams = mixed(hashes.of(at, at + gram))
@@ -109,8 +118,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GR
     keep = whole[first]
     first, last = first[keep], last[keep]
     anchor = chosen[first]
-    context = mixed(hashes.of(first, last + span) + (last - first).astype(np.uint64) * _M1)
-    return grams[anchor], context, anchor, first, last
+    return grams[anchor], anchor, first, last
 
 
 def _pieces(texts: list, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -134,7 +142,7 @@ def _pieces(texts: list, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield np.frombuffer(b"".join(load), dtype=np.uint8), np.cumsum([len(x) for x in load]), np.array(rows), np.array(bases)
 
 
-_ANCHOR = "k long, c long, bucket long, context long, anchor int, first int, last int"
+_ANCHOR = "k long, c long, bucket long, context long, check long, anchor int, first int, last int"
 
 
 def _scan(span: int, gram: int):
@@ -142,13 +150,14 @@ def _scan(span: int, gram: int):
         for batch in batches:
             k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, ends, rows, bases in _pieces(batch.column(2).to_pylist(), span):
-                bucket, context, anchor, first, last = anchors(data, ends, span, gram)
+                bucket, anchor, first, last = anchors(data, ends, span, gram)
+                context = _digests(data.tobytes(), first, last + span)
                 piece = np.searchsorted(ends, first, side="right")
                 shift = bases[piece] - np.concatenate([[0], ends[:-1]])[piece]
                 row = rows[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (k[row], c[row], bucket.view(np.int64), context.view(np.int64), (anchor + shift).astype(np.int32), (first + shift).astype(np.int32), (last + shift).astype(np.int32))],
-                    names=["k", "c", "bucket", "context", "anchor", "first", "last"],
+                    [pa.array(x) for x in (k[row], c[row], bucket.view(np.int64), context[:, 0], context[:, 1], (anchor + shift).astype(np.int32), (first + shift).astype(np.int32), (last + shift).astype(np.int32))],
+                    names=["k", "c", "bucket", "context", "check", "anchor", "first", "last"],
                 )
 
     return run
@@ -250,22 +259,33 @@ def repeated_windows(contexts: list[bytes], group: np.ndarray, offset: np.ndarra
     begin = end - length
     anchor = begin + offset
     _, group = np.unique(group, return_inverse=True)
-    order, shared = suffix_order(data, group, anchor, end)
-    if not _verified(data, order, shared, anchor):
-        order, shared = _order_by_bytes(data, group, anchor, end)
-    g, a = group[order], anchor[order]
-    new = np.concatenate([[True], g[1:] != g[:-1]])
-    far, near = offset[order], offset[order] - windows[order] + 1
-    hashes = PrefixHashes(data)
+    behind = _exact_order(data, group, anchor, end)
+    before = _exact_order(data[::-1], group, len(data) - anchor, len(data) - begin)
+    near = offset - windows + 1
     out = np.zeros((len(contexts), int(offset.max(initial=0)) + 1), dtype=bool)
     for x in range(out.shape[1]):
-        at = np.flatnonzero((near <= x) & (x <= far))
+        at = np.flatnonzero((near <= x) & (x <= offset))
         if len(at) < 2:
             continue
-        alike = np.cumsum(new | (shared < span - x))[at]
-        left = mixed(hashes.of(a[at] - x, a[at]) ^ (alike.astype(np.uint64) * _M2))
-        _, which, counts = np.unique(left, return_inverse=True, return_counts=True)
-        out[order[at[counts[which] > 1]], x] = True
+        alike = _classes(*behind, span - x)[at] * len(group) + _classes(*before, x)[at]
+        _, which, counts = np.unique(alike, return_inverse=True, return_counts=True)
+        out[at[counts[which] > 1], x] = True
+    return out
+
+
+def _exact_order(data: np.ndarray, group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """suffix_order() with its extensions verified, and where a group begins in it."""
+    order, shared = suffix_order(data, group, start, end)
+    if not _verified(data, order, shared, start):
+        order, shared = _order_by_bytes(data, group, start, end)
+    g = group[order]
+    return order, shared, np.concatenate([[True], g[1:] != g[:-1]])
+
+
+def _classes(order: np.ndarray, shared: np.ndarray, new: np.ndarray, length: int) -> np.ndarray:
+    """A number for each suffix, equal for those of a group that agree in ``length`` bytes, as far as they are so long."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(new | (shared < length)) - 1
     return out
 
 
@@ -310,7 +330,8 @@ def _sort_buckets(span: int):
     return run
 
 
-_CONTEXT = "k long, c long, bucket long, context long, anchor int, first int, last int, bytes binary"
+_CONTEXT = "k long, c long, bucket long, context long, check long, anchor int, first int, last int, bytes binary"
+_KIND = ["bucket", "context", "check"]
 
 
 def _cut_out(span: int):
@@ -320,10 +341,10 @@ def _cut_out(span: int):
         for batch in batches:
             for k, c, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                cols = {n: [w[n] for w in wanted] for n in ("bucket", "context", "anchor", "first", "last")}
+                cols = {n: [w[n] for w in wanted] for n in (*_KIND, "anchor", "first", "last")}
                 yield pa.RecordBatch.from_pydict(
                     {"k": [k] * len(wanted), "c": [c] * len(wanted), **cols, "bytes": [raw[a : b + span] for a, b in zip(cols["first"], cols["last"], strict=True)]},
-                    schema=pa.schema([("k", pa.int64()), ("c", pa.int64()), ("bucket", pa.int64()), ("context", pa.int64()), ("anchor", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("bytes", pa.binary())]),
+                    schema=pa.schema([("k", pa.int64()), ("c", pa.int64()), ("bucket", pa.int64()), ("context", pa.int64()), ("check", pa.int64()), ("anchor", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("bytes", pa.binary())]),
                 )
 
     return run
@@ -342,7 +363,8 @@ def _split_runs(span: int, width: int):
                     core = raw[anchor - block * width - first : anchor - block * width - width + 1 + span - first]
                     part = raw[lo - first : hi + span - first]
                     key = xxhash.xxh64_intdigest(core, row["bucket"] % (1 << 64) ^ block)
-                    new = {"k": row["k"], "c": row["c"], "bucket": key - (key >> 63 << 64), "context": (h := xxhash.xxh64_intdigest(part, key)) - (h >> 63 << 64), "anchor": anchor, "first": lo, "last": hi, "bytes": part}
+                    context, check = _digests(part, np.array([0]), np.array([len(part)]))[0].tolist()
+                    new = {"k": row["k"], "c": row["c"], "bucket": key - (key >> 63 << 64), "context": context, "check": check, "anchor": anchor, "first": lo, "last": hi, "bytes": part}
                     for n in out:
                         out[n].append(new[n])
             yield pa.RecordBatch.from_pydict(out, schema=batch.schema)
@@ -357,14 +379,15 @@ def _whole(df: DataFrame, span: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """(k, c, start, end): byte spans of repeated windows, overlapping ones apart, of docs (k, c, text). Rows alike in k and c must have equal texts."""
     all_ = staged(docs.select("k", "c", "text").mapInArrow(_scan(span, gram), _ANCHOR), "anchors")
-    sizes = all_.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("uniform")).where("n > 1").drop("n")
+    uniform = (F.min("context") == F.max("context")) & (F.min("check") == F.max("check"))
+    sizes = all_.groupBy("bucket").agg(F.count("*").alias("n"), uniform.alias("uniform")).where("n > 1").drop("n")
     # Staged, so that the join stands on two plain exchanges and a hot bucket can be split.
     shared = staged(all_.join(staged(sizes, "anchors-sizes"), "bucket"), "anchors-shared")
     found = [_whole(shared.where("uniform"), span)]
     mixed_ = shared.where("not uniform")
-    kinds = staged(mixed_.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "c", "anchor", "first", "last")).alias("one")), "anchors-kinds")
-    found.append(_whole(mixed_.join(kinds.where("n > 1").select("bucket", "context"), ["bucket", "context"], "left_semi"), span))
-    wanted = kinds.select("bucket", "context", "one.*").groupBy("k", "c").agg(F.collect_list(F.struct("bucket", "context", "anchor", "first", "last")).alias("wanted"))
+    kinds = staged(mixed_.groupBy(*_KIND).agg(F.count("*").alias("n"), F.min(F.struct("k", "c", "anchor", "first", "last")).alias("one")), "anchors-kinds")
+    found.append(_whole(mixed_.join(_several(kinds), _KIND, "left_semi"), span))
+    wanted = kinds.select(*_KIND, "one.*").groupBy("k", "c").agg(F.collect_list(F.struct(*_KIND, "anchor", "first", "last")).alias("wanted"))
     contexts = staged(docs.join(wanted, ["k", "c"]).select("k", "c", "text", "wanted").mapInArrow(_cut_out(span), _CONTEXT), "contexts")
     for width in (64, 16, 4, 1):
         hot = contexts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("bucket")
@@ -373,18 +396,24 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, bucket:
             break
         found.append(_sorted(contexts.join(hot, "bucket", "left_anti"), span))
         parts = staged(contexts.join(hot, "bucket", "left_semi").select(*contexts.columns).mapInArrow(_split_runs(span, width), _CONTEXT), "contexts-split")
-        same = parts.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "c", "first")).alias("one"))
-        kinds = staged(same.select("bucket", "context", "n", "one.*"), "split-kinds")
-        found.append(_whole(parts.join(kinds.where("n > 1").select("bucket", "context"), ["bucket", "context"], "left_semi"), span))
+        same = parts.groupBy(*_KIND).agg(F.count("*").alias("n"), F.min(F.struct("k", "c", "first")).alias("one"))
+        kinds = staged(same.select(*_KIND, "n", "one.*"), "split-kinds")
+        found.append(_whole(parts.join(_several(kinds), _KIND, "left_semi"), span))
         many = kinds.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-        ones = kinds.join(many, "bucket", "left_semi").select("bucket", "context", "k", "c", "first")
-        contexts = staged(parts.join(ones, ["bucket", "context", "k", "c", "first"], "left_semi").select(*contexts.columns), "contexts")
+        ones = kinds.join(many, "bucket", "left_semi").select(*_KIND, "k", "c", "first")
+        contexts = staged(parts.join(ones, [*_KIND, "k", "c", "first"], "left_semi").select(*contexts.columns), "contexts")
     else:
         return _union(found)
     found.append(_sorted(contexts, span))
     return _union(found)
 
 
+def _several(kinds: DataFrame) -> DataFrame:
+    """Classes of more than one context, of a staged table; broadcast where few, so that a hot class stays where its rows are."""
+    out = kinds.where("n > 1").select(*_KIND)
+    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+
+
 def _sorted(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.select("bucket", "k", "c", "anchor", "first", "last", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(span), _SPANS)
 

@@ -110,25 +110,59 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def removed(raws, span):
-    seen = Counter(b[i : i + span] for b in raws for i in range(len(b) - span + 1))
+    seen = Counter(hash(b[i : i + span]) for b in raws for i in range(len(b) - span + 1))
     for b in raws:
         gone = np.zeros(len(b), dtype=bool)
         for i in range(len(b) - span + 1):
-            if seen[b[i : i + span]] > 1:
+            if seen[hash(b[i : i + span])] > 1:
                 gone[i : i + span] = True
         yield bytes(np.frombuffer(b, dtype=np.uint8)[~gone]), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
 
 
 @pytest.mark.parametrize("bucket", [4096, 3])
 def test_suffix_dedup(spark, docs, bucket):
-    df = spark.createDataFrame([(*d, "clash") for d in docs if len(d[1] or "") < 50000], DOC + ", bucket string")
-    rows = [(d[0], (d[1] or "").encode()) for d in docs if len(d[1] or "") < 50000]
+    df = spark.createDataFrame([(*d, "clash") for d in docs], DOC + ", bucket string")
+    rows = [(d[0], (d[1] or "").encode()) for d in docs]
     expected = sorted(((k, len(b), kept, n) for (k, b), (kept, n) in zip(rows, removed([b for _, b in rows], 400), strict=True)), key=str)
     got = suffix_dedup.remove_repeats(df, bucket=bucket).collect()
     assert sorted(((x["doc_id"], x["n_bytes"], bytes(x["kept"]), len(x["removed"])) for x in got), key=str) == expected
     assert suffix_dedup.remove_repeats(df.where("false")).count() == 0
 
 
+def test_suffix_dedup_over_pieces(spark):
+    """A text over one piece of 1 MiB, with copies across the pieces' edge, in itself and elsewhere."""
+    r = np.random.default_rng(4)
+    long = bytearray(r.integers(97, 123, (1 << 20) + 9000, dtype=np.uint8))
+    edge = 1 << 20
+    long[3000:4000] = long[edge - 500 : edge + 500]
+    texts = [bytes(long).decode(), bytes(long[edge - 700 : edge + 100]).decode(), bytes(long[edge + 1 : edge + 401]).decode(), bytes(long[2000:2399]).decode()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, kept, n) for i, (kept, n) in enumerate(removed([t.encode() for t in texts], 400))]
+    assert sorted((x["doc_id"], bytes(x["kept"]), len(x["removed"])) for x in suffix_dedup.remove_repeats(df).collect()) == want
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeated_windows_survive_collisions(monkeypatch, collide):
+    """Equal to brute force where the hashes are good, and where all strings of one length have the same hash."""
+    if collide:
+        monkeypatch.setattr(suffix_dedup, "_TABLE", np.ones(256, dtype=np.uint64))
+    r = np.random.default_rng(6)
+    span, base = 20, r.integers(97, 99, 400).astype(np.uint8).tobytes()
+    offset, windows, contexts, group = [], [], [], []
+    for _ in range(60):
+        before, behind, at = r.integers(0, 12), r.integers(20, 32), r.integers(12, 300)
+        contexts.append(base[at - before : at + behind])
+        offset.append(before)
+        windows.append(before + behind - span + 1)
+        group.append(r.integers(0, 3))
+    got = suffix_dedup.repeated_windows(contexts, np.array(group), np.array(offset), np.array(windows), span)
+    seen = Counter((group[i], x, contexts[i][offset[i] - x : offset[i] - x + span]) for i in range(60) for x in range(max(0, offset[i] - windows[i] + 1), offset[i] + 1))
+    for i in range(60):
+        for x in range(got.shape[1]):
+            possible = offset[i] - windows[i] < x <= offset[i]
+            assert got[i, x] == (possible and seen[group[i], x, contexts[i][offset[i] - x : offset[i] - x + span]] > 1)
+
+
 def test_suffix_order_is_exact():
     r = np.random.default_rng(3)
     data = r.integers(97, 99, 3000).astype(np.uint8)
