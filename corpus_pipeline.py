@@ -13,6 +13,10 @@ from quillspark.llm import decontaminate, langid, packing, similar, suffix_dedup
 from quillspark.llm.common import staged, table
 
 
+#: Bytes of a repeated passage that is cut, and of the strings its anchors are chosen by. 99 of 100 passages of 51 words are longer.
+PASSAGE, PASSAGE_GRAM = 240, 60
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found: null texts and texts without a letter, or all if none could be learned."""
     net = langid.train(docs.where(~langid.held_out()))
@@ -26,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts, as far as whole characters go; documents stay, n_chars follows."""
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0)).cast("long"))).select(*docs.columns)
+    """Cuts passages of PASSAGE bytes that repeat out of the texts, as far as whole characters go; documents stay, n_chars follows."""
+    return suffix_dedup.without_repeats(docs, span=PASSAGE, gram=PASSAGE_GRAM).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0)).cast("long"))).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
