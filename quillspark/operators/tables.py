@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,7 @@ def updated(df: DataFrame, where: Column, **new: Column) -> DataFrame:
 
 
 def deleted(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    return df.join(keys.select(on).distinct(), on, "left_anti")
+    return df.join(keys.select(on).distinct(), on, "left_anti").select(*df.columns)
 
 
 def cascade(parents: DataFrame, children: list[tuple[DataFrame, str]], keys: DataFrame, on: str) -> tuple[DataFrame, ...]:
@@ -29,3 +29,45 @@ def upserted(df: DataFrame, rows: DataFrame, on: list[str], overwrite: bool) ->
     new = rows if overwrite else rows.join(df.select(*on).distinct(), on, "left_anti")
     old = df.join(rows.select(*on).distinct(), on, "left_anti") if overwrite else df
     return old.unionByName(new)
+
+
+def matching(df: DataFrame, **equal) -> DataFrame:
+    """Rows whose columns have the given values, or one of them where a list is given. A value that is None or empty asks nothing."""
+    for name, value in equal.items():
+        if isinstance(value, (list, tuple, set)):
+            df = df.where(F.col(name).isin(*value))
+        elif value is not None and value != "":
+            df = df.where(F.col(name) == value)
+    return df
+
+
+def ordered(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Rows in order; with a limit Spark keeps only the first rows of each task."""
+    df = df.orderBy(*order)
+    df = df.offset(offset) if offset else df
+    return df if limit is None else df.limit(limit)
+
+
+def inserted(df: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
+    """df with rows added, their keys counting on from the highest one in the order of a column; columns they lack are null."""
+    last = df.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_last"))  # one row
+    number = F.row_number().over(Window.orderBy(order))  # over the new rows only: one statement's values
+    new = rows.crossJoin(F.broadcast(last)).withColumn(key, F.col("_last") + number).drop("_last")
+    return appended(df, new)
+
+
+def removed_where(df: DataFrame, where: Column) -> DataFrame:
+    """Rows that don't meet the condition; a null condition keeps its row."""
+    return df.where(~F.coalesce(where, F.lit(False)))
+
+
+def guarded_writes(files: DataFrame, writes: DataFrame) -> DataFrame:
+    """files (path, mtime, size, content, ...) after writes (path, seen_mtime, seen_size, new), with ``result``.
+
+    A path that leaves its folder is refused; a write whose time and size aren't the file's is stale and changes nothing; null without a write.
+    """
+    joined = files.join(writes, "path", "left")
+    outside = F.col("path").rlike(r"(^|/)\.\.(/|$)") | F.startswith(F.col("path"), F.lit("/"))
+    fresh = (F.col("seen_mtime") == F.col("mtime")) & (F.col("seen_size") == F.col("size"))
+    result = F.when(F.col("seen_mtime").isNotNull(), F.when(outside, "refused").when(F.coalesce(fresh, F.lit(False)), "written").otherwise("stale"))
+    return joined.withColumn("result", result).withColumn("content", F.when(F.col("result") == "written", F.col("new")).otherwise(F.col("content"))).select(*files.columns, "result")
