@@ -57,16 +57,20 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def packed(parts: Column, budget: int, joint: int) -> Column:
-    """Greedy packing of texts in order: bins of texts whose lengths, with joint between, stay within budget; a longer text stands alone."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("now"))
+    """Greedy packing of texts in order: bins of texts whose lengths, with joint between, stay within budget; a longer text stands alone.
+
+    Bins are cut on lengths first, as places where one begins, and each bin's texts are joined once.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("begin"), F.lit(-1).alias("used"), F.lit(0).alias("at"))
 
     def step(acc: Column, part: Column) -> Column:
-        full = acc["now"].isNotNull() & (F.length(acc["now"]) + F.length(part) + joint > budget)
-        done = F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(full | acc["now"].isNull(), part).otherwise(F.concat(acc["now"], F.lit("\n" * joint), part)).alias("now"))
+        n = F.length(part)
+        fresh = (acc["used"] < 0) | (acc["used"] + n + joint > budget)
+        return F.struct(F.when(fresh, F.concat(acc["begin"], F.array(acc["at"]))).otherwise(acc["begin"]).alias("begin"), F.when(fresh, n).otherwise(acc["used"] + n + joint).alias("used"), (acc["at"] + 1).alias("at"))
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+    begin = F.aggregate(parts, start, step, lambda acc: F.concat(acc["begin"], F.array(acc["at"])))
+    one = lambda b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x, i: F.array_join(F.slice(parts, x + 1, F.get(b, i + 1) - x), "\n" * joint))
+    return F.get(F.transform(F.array(begin), one), F.lit(0))
 
 
 def trimmed(c: Column) -> Column:
@@ -164,12 +168,30 @@ def rounded4(c: Column) -> Column:
     return F.floor(c * 10000 + 0.5) / 10000
 
 
+#: Marks of programming languages, in the order they are tried, and languages of file extensions.
+LANGUAGE_MARKS = (("public class", "java"), ("System.out", "java"), ("private class", "java"), ("def ", "python"), ("import ", "python"), ("func ", "go"), ("fn ", "rust"), ("function ", "javascript"), ("var ", "javascript"), ("const ", "javascript"), ("fun ", "kotlin"), ("package main", "go"), ("#include", "c"))
+FILE_MARKS = (("public class", "java"), ("System.out", "java"), ("def ", "python"), ("import ", "python"), ("function ", "javascript"), ("var ", "javascript"), ("const ", "javascript"))
+EXTENSION_LANGUAGES = {"java": "java", "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "c": "c", "cpp": "cpp", "cs": "csharp", "kt": "kotlin", "rb": "ruby", "php": "php", "swift": "swift", "scala": "scala", "sh": "bash", "sql": "sql"}
+
+
+def _marked(head: Column, marks) -> Column:
+    return F.coalesce(*(F.when(F.contains(head, F.lit(mark)), name) for mark, name in marks))
+
+
 def language_of(c: Column) -> Column:
-    """A programming language by words in the first 200 characters; null if none is met."""
+    """A programming language by marks in the first 200 characters, SQL first where both SELECT and FROM are met; null if none is."""
     head = F.substring(c, 1, 200)
-    has = lambda *words: F.coalesce(*(F.when(F.contains(head, F.lit(w)), True) for w in words), F.lit(False))
+    sql = F.contains(F.upper(head), F.lit("SELECT ")) & F.contains(F.upper(head), F.lit(" FROM "))
+    return F.coalesce(F.when(sql, "sql"), _marked(head, LANGUAGE_MARKS))
+
+
+def file_language(path: Column, c: Column) -> Column:
+    """The language of a code file: by its extension, else by marks, of which SELECT or FROM alone means SQL; null if none is met."""
+    known = F.create_map(*(F.lit(x) for pair in EXTENSION_LANGUAGES.items() for x in pair))
+    ext, head = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([^./\\]+)$", 1)), F.substring(c, 1, 200)
     sql = F.contains(F.upper(head), F.lit("SELECT ")) | F.contains(F.upper(head), F.lit("FROM "))
-    return F.when(has("public class", "System.out"), "java").when(has("def ", "import "), "python").when(has("function ", "var ", "const "), "javascript").when(sql, "sql").when(has("fn "), "rust").when(has("func "), "go")
+    by_mark = F.coalesce(_marked(head, FILE_MARKS), F.when(sql, "sql"), _marked(head, (("fn ", "rust"), ("func ", "go"))))
+    return F.coalesce(F.try_element_at(known, ext), F.when(F.substring(c, 1, 500).rlike(CODE_WORDS), by_mark))
 
 
 #: Labels of errors by the class name met first along the chain of causes.
@@ -182,6 +204,13 @@ def error_label(chain: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(chain, lambda n: F.try_element_at(known, n)), lambda x: x.isNotNull()), F.lit(0)), F.lit("OTHER"))
 
 
+def segments(c: Column) -> Column:
+    """Search words of a text: lower-cased runs of letters and digits, and of runs of Chinese characters every two neighbours (a lone one as it is)."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"([\u4e00-\u9fff]+|[\p{L}0-9&&[^\u4e00-\u9fff]]+)"), 1)
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\u4e00-\u9fff]{2,}$"), pairs(r)).otherwise(F.array(r))))
+
+
 def hmac_sha256(key: str, message: Column) -> Column:
     """HMAC-SHA256 of the UTF-8 message, in lower-case hex, from two built-in digests."""
     import hashlib
@@ -198,6 +227,27 @@ def signed_image(key: Column, secret: str, expires: Column) -> Column:
     return F.when(F.trim(key) != "", F.concat(F.lit("/api"), path, F.lit("&sig="), hmac_sha256(secret, path)))
 
 
+def verified_image(key: Column, expires: Column, signature: Column, secret: str, now: Column, grace: int = 0) -> Column:
+    """Whether a signed path holds: the signature is that of key and time, and the time is not over by more than the grace."""
+    at = expires.try_cast("long")
+    message = F.concat(F.lit("/assets/images/"), key, F.lit("?expires="), at.cast("string"))
+    return F.coalesce((at + grace >= now) & (hmac_sha256(secret, message) == signature), F.lit(False))
+
+
+#: File types of which a whole text is the context; of others it is the neighbours.
+WHOLE_CONTEXT = ("java", "c", "cpp", "cc", "cxx", "h", "hpp", "hxx", "cs", "py", "js", "mjs", "cjs", "ts", "tsx", "jsx", "go", "rs", "rb", "php", "kt", "kts", "swift", "scala", "sh", "bash", "zsh", "bat", "cmd", "ps1", "sql", "html", "htm")
+
+
+def wants_whole_context(file_type: Column) -> Column:
+    return F.coalesce(F.regexp_replace(F.lower(trimmed(file_type)), r"^\.", "").isin(*WHOLE_CONTEXT), F.lit(False))
+
+
+def topic_of(c: Column) -> Column:
+    """The first line of the Topic section that is neither blank nor a comment; null if there is none."""
+    lines = F.transform(F.split(section(c, "Topic"), "\n"), trimmed)
+    return F.get(F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("<!--"))), F.lit(0))
+
+
 def front_matter(c: Column) -> Column:
     """The ``key: value`` lines of a leading ``---`` block as a map, of repeated keys the last; empty if there is none."""
     lines = F.split(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1), "\n")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -10,11 +13,15 @@ from pyspark.sql import functions as F
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write df to ``spark.checkpoint.dir`` (a temporary folder where it is unset) and read it back."""
+    """Write df to ``spark.checkpoint.dir`` and read it back. Where that is unset, a session of one process takes a temporary folder; on a cluster it is an error."""
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        found = f"file://{made}"
         spark.sparkContext.setCheckpointDir(found)
     path = f"{found.rstrip('/')}/{spark.sparkContext.applicationId}/reach-{uuid.uuid4().hex}"
     df.write.parquet(path)

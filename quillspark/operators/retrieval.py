@@ -5,7 +5,7 @@ Recall runs on narrow columns and ends in TakeOrderedAndProject or a group limit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -19,18 +19,56 @@ def dense_recall(vectors: DataFrame, query: list[float], n: int = RECALL) -> Dat
     return vectors.select(F.col("vec_id").alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(n)
 
 
-def keyword_recall(docs: DataFrame, words: list[str], n: int = RECALL) -> DataFrame:
-    """(id, score): documents with all words, or with any where none has all; score is the number of occurrences.
+#: Fixed values of the rank formulas: a word's weight, the limit of the sum of 1 / j ** 2, and the fall of weight with distance.
+WEIGHT, ZETA2, FAR = 0.1, 1.64493406685, 100
+_NEARNESS = "1.005D + 0.05D * exp(abs(x.i - y.i) / 1.5D - 2D)"
 
-    Both forms are counted in one pass over the texts; which one holds is decided by an aggregate, not by the driver.
-    """
+
+def places(text: Column, words: list[str]) -> Column:
+    """Where the words stand in a text: (t, i) of each occurrence, i counted from 1."""
     wanted = F.array(*(F.lit(w) for w in words)).cast("array<string>")
-    found = F.filter(T.tokens(F.col("text")), lambda t: F.array_contains(wanted, t))
-    hits = docs.select(F.col("doc_id").alias("id"), found.alias("found")).select("id", F.size("found").cast("double").alias("score"), (F.size(F.array_distinct("found")) == len(set(words))).alias("every")).where("score > 0")
-    best = lambda df: df.orderBy(F.desc("score"), "id").limit(n)
-    both = best(hits.where("every")).unionAll(best(hits.where("not every")))
-    any_every = F.max("every").over(Window.partitionBy())  # over 2 n rows
-    return both.withColumn("any_every", any_every).where("every or not any_every").orderBy(F.desc("score"), "id").limit(n).select("id", "score")
+    numbered = F.transform(T.tokens(text), lambda t, i: F.struct(t.alias("t"), (i + 1).alias("i")))
+    return F.filter(numbered, lambda p: F.array_contains(wanted, p["t"]))
+
+
+def any_rank(found: str, words: int) -> Column:
+    """The rank of a query of alternatives: each word's occurrences weigh 1, 1/4, 1/9 and so on; the mean over all words asked for."""
+    each = f"transform(array_distinct({found}.t), w -> aggregate(sequence(1, size(filter({found}, p -> p.t = w))), 0D, (s, j) -> s + 1D / (j * j)))"
+    return F.expr(f"aggregate({each}, 0D, (s, x) -> s + x)") * (WEIGHT / ZETA2 / max(words, 1))
+
+
+def every_rank(found: str) -> Column:
+    """The rank of a query that wants all words: each pair of places of two words adds to it, the more the nearer they are."""
+    pair = f"case when y.t < x.t and abs(x.i - y.i) <= {FAR} then r * (1D - {WEIGHT}D * sqrt(1D / ({_NEARNESS}))) else r end"
+    return F.lit(1.0) - F.expr(f"aggregate({found}, 1D, (s, x) -> s * aggregate({found}, 1D, (r, y) -> {pair}))")
+
+
+def keyword_matches(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, score, every) of each row with any of the distinct words: its rank, and whether it has all of them.
+
+    The rank is that of a text search engine's simple configuration, without its caps on places (16,383 in a text, 255 of a word).
+    """
+    words = list(dict.fromkeys(words))
+    hits = docs.select(F.col(key).alias("id"), places(F.col(text), words).alias("found")).where("size(found) > 0")
+    marked = hits.withColumn("every", F.size(F.array_distinct("found.t")) == len(words))
+    score = any_rank("found", len(words)) if len(words) < 2 else F.when(F.col("every"), every_rank("found")).otherwise(any_rank("found", len(words)))
+    return marked.select("id", F.round(score, 6).alias("score"), "every")
+
+
+def keyword_recall(docs: DataFrame, words: list[str], n: int = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, score): the n best rows with all words, or with any word where no row has all; none for no words.
+
+    Both forms are one pass over the texts and one top-n, in which rows with all words come first.
+    """
+    best = keyword_matches(docs, words, key, text).orderBy(F.desc("every"), F.desc("score"), "id").limit(n)
+    any_every = F.max("every").over(Window.partitionBy())  # over n rows
+    return best.withColumn("any_every", any_every).where("every or not any_every").select("id", "score")
+
+
+def looked_up(top: DataFrame, rows: DataFrame, on: str) -> DataFrame:
+    """A left join of a few results with a large table of unique keys: the table is only scanned, for the results' keys."""
+    wanted = top.where(F.col(on).isNotNull()).select(on).distinct()  # as few as the results
+    return top.join(F.broadcast(rows.join(F.broadcast(wanted), on, "left_semi")), on, "left")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -47,6 +85,49 @@ def top_k(scored: DataFrame, k: int = TOP_K, threshold: float = 0.0) -> DataFram
     return ordered.where(F.lit(threshold <= 0) | (F.col("score") >= threshold))
 
 
+def reranked(candidates: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """Candidates (id, score, ...) with a scorer's scores (id, rerank): a candidate that it left out gets 0.
+
+    Without a scorer, or where it failed (None), a candidate keeps its own score, 0 if it has none.
+    """
+    if scores is None:
+        return candidates.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return candidates.drop("score").join(scores, "id", "left").withColumn("score", F.coalesce("rerank", F.lit(0.0))).drop("rerank")
+
+
+def rerank_requests(candidates: DataFrame, batch: int = 8, cut: int = 510) -> DataFrame:
+    """(batch, pos, id, text): what a scorer is asked, in batches by id, texts cut; null texts are empty."""
+    at = F.row_number().over(Window.orderBy("id")) - 1  # recall-sized
+    asked = candidates.select("id", T.truncated(F.coalesce("text", F.lit("")), cut).alias("text"), at.alias("at"))
+    return asked.select(F.expr(f"cast(at div {batch} as int)").alias("batch"), (F.col("at") % batch).cast("int").alias("pos"), "id", "text")
+
+
+def expanded_to_parents(scored: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Candidates (id, parent, score, rrf, type, title, text) as parents: the best child of each, with the parent's id, type, title and text.
+
+    A child whose parent is null or missing from chunks (id, type, title, text) stands for itself. The candidates are
+    recall-sized and so are their parents, so both are broadcast and the chunks are only scanned.
+    """
+    wanted = scored.where("parent is not null").select(F.col("parent").alias("id")).distinct()
+    found = chunks.join(F.broadcast(wanted), "id", "left_semi").select(F.col("id").alias("parent"), F.lit(True).alias("_found"), *(F.col(c).alias(f"_{c}") for c in ("type", "title", "text")))
+    joined = scored.join(F.broadcast(found), "parent", "left").withColumn("_key", F.when(F.col("_found"), F.col("parent")).otherwise(F.col("id")))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("score"), F.desc("rrf"), "id"))
+    best = joined.withColumn("_r", rank).where("_r = 1")
+    return best.select(F.col("_key").alias("id"), F.col("id").alias("child"), "score", "rrf", F.coalesce("_type", "type").alias("type"), F.coalesce("_title", "title").alias("title"), F.when(F.col("_found"), F.col("_text")).otherwise(F.col("text")).alias("text"))
+
+
+def clamped(k: int | None, most: int | None = None) -> int:
+    """How many results are asked for: the default for none, at most ``most``."""
+    k = TOP_K if k is None or k <= 0 else k
+    return k if most is None else min(k, most)
+
+
+def source_labels(found: DataFrame, file: str = "file", title: str = "title") -> DataFrame:
+    """(labels): the distinct labels of results (rank, file, title), first occurrence first; one row, of top-k results."""
+    label = F.struct("rank", T.source_label(F.col(file), F.col(title)).alias("label"))
+    return found.agg(F.array_distinct(F.array_sort(F.collect_list(label))["label"]).alias("labels"))
+
+
 def collapse_to_parents(children: DataFrame) -> DataFrame:
     """(parent, id, score): the best child of each parent, ties by rrf order then id; a child without parent stands for itself."""
     key = F.coalesce("parent", -F.col("id") - 1)

@@ -20,8 +20,8 @@ def nearest_summaries(messages: DataFrame) -> DataFrame:
 
 
 def children(messages: DataFrame) -> DataFrame:
-    """(parent_id, children): ordered ids; roots are the children of null. One array a parent: a message's answers."""
-    return messages.groupBy("parent_id").agg(F.array_sort(F.collect_list("id")).alias("children"))
+    """(parent_id, children): ordered ids. One array a parent: a message's answers. Roots have no parent and are no row, being as many as conversations."""
+    return messages.where("parent_id is not null").groupBy("parent_id").agg(F.array_sort(F.collect_list("id")).alias("children"))
 
 
 def without_subtrees(messages: DataFrame, roots: DataFrame) -> DataFrame:
@@ -113,3 +113,26 @@ def history_search(files: DataFrame, word: str | None, limit: int) -> DataFrame:
     hit = T.snippet(F.col("content"), word.strip()) if word and word.strip() else F.lit(None).cast("string")
     found = seen.select("path", hit.alias("snippet"))
     return (found.where("snippet is not null") if word and word.strip() else found).orderBy(F.desc("path")).limit(limit)
+
+
+def active_path(leaves: DataFrame, messages: DataFrame) -> DataFrame:
+    """leaves (id, ...) with one row for each message up to the root: id, and depth from the leaf."""
+    up = conversation.paths_to_root(messages, leaves.select("id"))
+    return up.join(leaves.withColumnRenamed("id", "anchor"), "anchor").drop("anchor")
+
+
+def is_descendant(pairs: DataFrame, messages: DataFrame) -> DataFrame:
+    """pairs (id, ancestor) with ``below``: whether the one stands anywhere below the other."""
+    up = conversation.paths_to_root(messages, pairs.select("id").distinct()).where("depth > 0").select(F.col("anchor").alias("id"), F.col("id").alias("ancestor"))
+    found = up.withColumn("below", F.lit(True))
+    return pairs.join(found, ["id", "ancestor"], "left").withColumn("below", F.coalesce("below", F.lit(False)))
+
+
+def directory(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(path, parent, name, folder, rank): all folders and files of some paths; within a folder the folders come first, then names."""
+    parts = paths.select(F.split(path, "/").alias("s")).distinct()
+    steps = parts.select("s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("d"))
+    joined = lambda n: F.array_join(F.slice("s", F.lit(1), n), "/")
+    entries = steps.select(joined(F.col("d")).alias("path"), joined(F.col("d") - 1).alias("parent"), F.expr("s[d - 1]").alias("name"), (F.col("d") < F.size("s")).alias("folder"))
+    whole = entries.groupBy("path", "parent", "name").agg(F.max("folder").alias("folder"))
+    return whole.withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("folder"), "name")))

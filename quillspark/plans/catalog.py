@@ -19,7 +19,7 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def _query_words(spark: SparkSession, sf_dir: str) -> list[str]:
-    text = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.slice(T.keywords(F.col("text")), 1, 3)).first()[0]
+    text = table(spark, sf_dir, "benchmark").where("item_id = 0").select(T.keywords(F.col("text"))).first()[0]
     return list(text)
 
 
@@ -28,10 +28,15 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _DENSE = """q AS (SELECT embedding::DOUBLE[] v FROM embeddings WHERE vec_id = 0),
 dense AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 20)"""
 _WORDS = rf"""toks AS (SELECT unnest({_TOKENS}) t, generate_subscripts({_TOKENS}, 1) i FROM benchmark WHERE item_id = 0),
-firsts AS (SELECT t, min(i) i FROM toks WHERE length(t) >= 2 AND t NOT IN ({_STOP}) GROUP BY t ORDER BY i LIMIT 3)"""
+firsts AS (SELECT t, min(i) i FROM toks WHERE length(t) >= 2 AND t NOT IN ({_STOP}) GROUP BY t)"""
+_RANKED = r"""asked AS (SELECT count(*) AS k FROM firsts),
+counts AS (SELECT id, t, count(*) AS n FROM dtok WHERE t IN (SELECT t FROM firsts) GROUP BY ALL),
+anys AS (SELECT id, count(*) = (SELECT k FROM asked) AS every, sum(list_sum([1.0::DOUBLE / (j * j) FOR j IN range(1, n + 1)])) * 0.1 / 1.64493406685 / (SELECT k FROM asked) AS score FROM counts GROUP BY id),
+full_ AS (SELECT d.* FROM dtok d JOIN anys USING (id) WHERE every AND t IN (SELECT t FROM firsts)),
+everys AS (SELECT x.id, 1 - product(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(x.i - y.i) / 1.5 - 2)))) AS score FROM full_ x JOIN full_ y ON x.id = y.id AND y.t < x.t AND abs(x.i - y.i) <= 100 GROUP BY x.id),
+hits AS (SELECT a.id, every, round(CASE WHEN every AND (SELECT k FROM asked) > 1 THEN coalesce(e.score, 0) ELSE a.score END, 6) AS score FROM anys a LEFT JOIN everys e USING (id))"""
 _SPARSE = rf"""{_WORDS},
-dtok AS (SELECT doc_id AS id, unnest({_TOKENS}) t FROM documents),
-hits AS (SELECT id, count(*)::DOUBLE AS score, count(DISTINCT t) = (SELECT count(*) FROM firsts) AS every FROM dtok WHERE t IN (SELECT t FROM firsts) GROUP BY id),
+dtok AS (SELECT doc_id AS id, unnest({_TOKENS}) t, generate_subscripts({_TOKENS}, 1) i FROM documents), {_RANKED},
 sparse AS (SELECT id, score FROM hits WHERE every OR NOT (SELECT bool_or(every) FROM hits) ORDER BY score DESC, id LIMIT 20)"""
 _FUSED = f"""{_DENSE}, {_SPARSE},
 parts AS (SELECT id, score AS d, NULL AS s, 0.7 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS part FROM dense
@@ -47,7 +52,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DENSE} SELECT id, score, lang, source FROM dense LEFT JOIN documents ON doc_id = id")
 def dense_join_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
-    return dense_topk(spark, sf_dir).join(docs, "id", "left")
+    return retrieval.looked_up(dense_topk(spark, sf_dir), docs, "id")
 
 
 @query(f"WITH {_SPARSE} SELECT * FROM sparse")
@@ -63,7 +68,7 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FUSED}, top AS (SELECT * FROM fused ORDER BY score DESC, id LIMIT 5) SELECT t.*, lang, source FROM top t LEFT JOIN documents ON doc_id = id")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
-    return retrieval.top_k(rrf_fuse(spark, sf_dir)).join(docs, "id", "left")
+    return retrieval.looked_up(retrieval.top_k(rrf_fuse(spark, sf_dir)), docs, "id")
 
 
 @query(f"WITH {_FUSED}, top AS (SELECT * FROM fused ORDER BY score DESC, id LIMIT 5) SELECT * FROM top WHERE score >= 0.35")
@@ -231,4 +236,4 @@ def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.html_nodes(table(spark, sf_dir, "pages"))
 
 
-from quillspark.plans import documents, layouts, sessions  # noqa: E402, F401  they register their queries after these
+from quillspark.plans import documents, layouts, records, search, sessions, statements  # noqa: E402, F401  they register their queries after these

@@ -18,7 +18,7 @@ def nearest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.nearest_summaries(messages(spark, sf_dir))
 
 
-@query(f"WITH {_MSG} SELECT parent_id, count(*) AS n, array_to_string(list(id ORDER BY id), ',') AS children FROM m GROUP BY parent_id")
+@query(f"WITH {_MSG} SELECT parent_id, count(*) AS n, array_to_string(list(id ORDER BY id), ',') AS children FROM m WHERE parent_id IS NOT NULL GROUP BY parent_id")
 def children_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.children(messages(spark, sf_dir)).select("parent_id", F.size("children").cast("long").alias("n"), F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
 
@@ -111,14 +111,6 @@ def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.history_search(table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("content")), " ER ", 5).select("path")
 
 
-@query("""SELECT o_custkey, '# ' || o_custkey || chr(10) || chr(10) || '> **学习目标**：' || 'g' || chr(10) || chr(10) || '**进度**：' || count(*) FILTER (o_orderstatus = 'F') || '/' || count(*) || ' 阶段已完成（' || floor(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*) + 0.5)::INT || '%）' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-  || string_agg('## ' || CASE o_orderstatus WHEN 'F' THEN '[x]' WHEN 'P' THEN '[~]' ELSE '[ ]' END || ' 阶段 ' || o_orderkey || '：' || o_orderpriority || chr(10) || chr(10) || chr(10), '' ORDER BY o_orderkey) AS markdown FROM orders GROUP BY o_custkey""")
-def plan_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.expr("case o_orderstatus when 'F' then 'completed' when 'P' then 'in_progress' else 'not_started' end")
-    phases = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("phase_order"), F.col("o_orderpriority").alias("title"), status.alias("status"))
-    return learning.plan_markdown(phases, "o_custkey", F.col("o_custkey").cast("string"), F.lit("g"))
-
-
 @query("SELECT event_type, count(*) AS searches, count(*) FILTER (value >= 35) AS hits, round(max(value), 6) AS best, array_to_string(list(event_id ORDER BY value DESC, event_id)[:10], ',') AS top FROM events GROUP BY event_type")
 def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event stands for a search, its value for the score."""

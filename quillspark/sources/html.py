@@ -2,54 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 from html import escape
 from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SKIPPED = {"script", "style", "noscript", "head", "title"}
-BLOCKS = {"p", "div", "li", "ul", "ol", "section", "article", "nav", "aside", "header", "footer", "main", "blockquote", "br", "pre", "figure", "tr"}
-SCOPES = {"section", "article", "nav", "aside", "header", "footer", "main", "figure", "details"}
+from quillspark.sources import nodes
+from quillspark.sources.nodes import Node
+
+#: Tags that are dropped with what they hold, tags that bound a text and give back the titles they began with, and the length a run of paragraphs may have.
+SKIPPED = {"script", "style", "noscript", "head"}
+SCOPES = {"section", "article", "main", "header", "footer", "nav", "aside", "figure", "form"}
+RUN = 250
 
 
 class _Walk(HTMLParser):
-    """Headings flush the text before them and push a title; a scope restores the titles it began with; a table is one node."""
+    """Only headings, scopes and tables bound a text; all other tags are passed through.
+
+    A heading's words begin the text below it and join the titles, which it first cuts to one less
+    than its level. A scope's end gives the titles back before its last text is cut off. A table is one node.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[tuple[str, str, int | None, str]] = []
+        self.found: list[Node] = []
         self.titles: list[str] = []
-        self.saved: list[list[str]] = []
+        self.saved: list[tuple[str, int]] = []
         self.buffer: list[str] = []
-        self.skip = self.table = 0
-        self.heading: int | None = None
+        self.plain: list[str] = []
+        self.heading: list[str] | None = None
+        self.level = self.skip = self.table = 0
 
-    def flush(self, kind: str = "text") -> None:
-        text = " ".join("".join(self.buffer).split()) if kind != "table" else "".join(self.buffer)
+    def cut(self, kind: str = "text") -> None:
+        text = "".join(self.buffer).strip()
         self.buffer = []
         if text:
-            if kind == "heading":
-                self.titles = [*self.titles[: (self.heading or 1) - 1], text]
-            self.nodes.append((kind, text, self.heading if kind == "heading" else None, " > ".join(self.titles)))
+            self.found.append(Node(kind, text, title_path=" > ".join(self.titles) or None))
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
+        if tag == "body":
+            self.found, self.buffer, self.titles, self.skip = [], [], [], 0
+        elif tag in SKIPPED:
             self.skip += 1
         elif self.table or tag == "table":
             if not self.table:
-                self.flush()
+                self.cut()
             self.table += tag == "table"
-            self.buffer.append(f"<{tag}>")
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.flush()
-            self.heading = int(tag[1])
-        elif tag in BLOCKS:
-            self.flush()
-            if tag in SCOPES:
-                self.saved.append(list(self.titles))
+            self.buffer.append(self.get_starttag_text() or "")
+        elif re.fullmatch("h[1-6]", tag):
+            self.cut()
+            self.heading, self.level = [], int(tag[1])
+        elif tag in SCOPES:
+            self.cut()
+            self.saved.append((tag, len(self.titles)))
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
@@ -58,37 +64,57 @@ class _Walk(HTMLParser):
             self.buffer.append(f"</{tag}>")
             self.table -= tag == "table"
             if not self.table:
-                self.flush("table")
-        elif self.heading and tag == f"h{self.heading}":
-            self.flush("heading")
-            self.heading = None
-        elif tag in BLOCKS:
-            self.flush()
-            if tag in SCOPES and self.saved:
-                self.titles = self.saved.pop()
+                self.cut("table")
+        elif self.heading is not None and tag == f"h{self.level}":
+            self.end_heading()
+        elif tag in SCOPES and any(name == tag for name, _ in self.saved):
+            while self.saved:  # scopes left open end with this one
+                name, size = self.saved.pop()
+                self.titles = self.titles[:size]
+                if name == tag:
+                    break
+            self.cut()
+
+    def end_heading(self) -> None:
+        words, self.heading = " ".join("".join(self.heading or []).split()), None
+        if words:
+            self.titles = [*self.titles[: self.level - 1], words]
+        self.buffer.append(words + " ")
 
     def handle_data(self, data):
-        if not self.skip:
-            self.buffer.append(escape(data, quote=False) if self.table else data)
-
-
-def nodes_of(html: str | None) -> list[tuple[str, str, int | None, str]]:
-    """(type, text, level, title path) of each node; none for null."""
+        if self.skip:
+            return
+        self.plain.append(data)
+        if self.table:
+            self.buffer.append(escape(data, quote=False))
+        else:
+            (self.buffer if self.heading is None else self.heading).append(data)
+
+
+def _runs(text: str) -> list[Node]:
+    """Paragraphs run together by lines up to RUN characters; a longer one stands alone."""
+    out: list[str] = []
+    open_ = False
+    for part in (p.strip() for p in re.split(r"\n\s*\n", text)):
+        if open_ and part and len(out[-1]) + 1 + len(part) <= RUN:
+            out[-1] += "\n" + part
+        elif part:
+            out.append(part)
+            open_ = len(part) <= RUN
+    return [Node("text", t) for t in out]
+
+
+def page_nodes(html: str) -> list[Node]:
+    """The nodes of a page; where its structure gives one at most, the runs of its plain text. Long texts are cut as in other formats."""
     walk = _Walk()
-    walk.feed(html or "")
+    walk.feed(html)
     walk.close()
-    walk.flush()
-    return walk.nodes
+    if walk.heading is not None:
+        walk.end_heading()
+    walk.cut("table" if walk.table else "text")
+    return nodes.capped(walk.found if len(walk.found) > 1 else _runs("\n".join(walk.plain)))
 
 
 def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, type, text, level, title_path) of every page."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, i, *n) for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, n in enumerate(nodes_of(h))]
-            cols = zip(*rows, strict=True) if rows else [()] * 6
-            types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[key, "pos", "type", "text", "level", "title_path"])
-
-    return pages.select(F.col(key).cast("long").alias(key), html).mapInArrow(run, f"{key} long, pos int, type string, text string, level int, title_path string")
+    """(key, pos, type, text, level, title_path, language, group_id) of every page; null and blank ones have none."""
+    return nodes.nodes(pages, page_nodes, key, html)
