@@ -3,14 +3,17 @@
 A window is item-sized: as many word shingles as the item has. Shingles a document shares with an
 item are found first; since all windows of one size weigh the same, the best window can be taken
 to begin at a shared shingle or to end the document, and only windows with enough shared
-shingles for the similarity asked can reach it. These are fingerprinted by SimHash and meet their
-item where one of RADIUS + 1 blocks of the fingerprints is equal, which by the pigeonhole principle finds
-every pair within RADIUS bits. What is found is verified by its exact weighted similarity: the
-multisets' intersection over their union.
+shingles for the similarity asked can reach it. These are the windows that are fingerprinted by
+SimHash; which item one of them may hold is found by the fingerprints alone: an index over
+BLOCKS blocks of bits lists, for the items of each size, all values within RADIUS // BLOCKS bits of
+each block. By the pigeonhole principle a window meets every item within RADIUS bits. What is
+found is verified by its exact weighted similarity: the multisets' intersection over their union.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from .common import staged
 WORDS = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 fingerprints differ in 10 bits of 64 on average, with a deviation of 3.
-RADIUS = 23
+RADIUS, BLOCKS = 23, 6
 #: Rows of a key or shingle table that is broadcast at most (some 30 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -44,11 +47,30 @@ def simhash(of: str) -> Column:
     return F.expr(" | ".join(parts))
 
 
-def _blocks(fp: str) -> Column:
-    """RADIUS + 1 blocks of a fingerprint's bits, as structs (block, bits)."""
-    count = RADIUS + 1
-    edges = [64 * i // count for i in range(count + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+def _listed(block: int, bits: Column):
+    return lambda mask: F.struct(F.lit(block).alias("block"), bits.bitwiseXOR(mask).alias("bits"))
+
+
+def _blocks(fp: str, near: int = 0) -> Column:
+    """BLOCKS blocks of a fingerprint's bits, as structs (block, bits); near: with all values of a block within so many bits."""
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    parts = []
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        bits = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        masks = [sum(1 << k for k in which) for n in range(near + 1) for which in combinations(range(b - a), n)]
+        parts.append(F.transform(F.lit(masks).cast("array<bigint>"), _listed(i, bits)))
+    return F.flatten(F.array(*parts))
+
+
+def within_radius(prints: DataFrame, items: DataFrame) -> DataFrame:
+    """(m, fp, item): all pairs of prints (m, fp) and items (item, m, item_fp) of one size whose fingerprints differ in RADIUS bits or fewer.
+
+    The items' side of the index has some 1,300 rows an item, whatever the documents; it is broadcast if small enough.
+    """
+    listed = staged(items.select("item", "m", "item_fp", F.explode(_blocks("item_fp", RADIUS // BLOCKS)).alias("b")).select("item", "m", "item_fp", "b.*"), "bench-index")
+    probes = prints.select("m", "fp", F.explode(_blocks("fp")).alias("b")).select("m", "fp", "b.*")
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
+    return probes.join(_small(listed), ["m", "block", "bits"]).where(close).select("m", "fp", "item").distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -78,23 +100,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     need = F.ceil(F.lit(similarity) * (F.col("m") + F.least("m", "size")) / (1 + similarity) - 1e-9).cast("int")
     enough = grouped.withColumn("need", F.greatest(need, F.lit(1))).where("size(p) >= need").withColumn("final", F.expr("greatest(size - m, 0)"))
     starts = F.expr("array_distinct(concat(filter(p, (x, i) -> i + need - 1 < size(p) and p[i + need - 1] < x + m and x <= final), case when size(filter(p, x -> x >= final)) >= need then array(final) else cast(array() as array<int>) end))")
-    windows = staged(enough.select("key", "check", "item", "m", F.explode(starts).alias("start")), "bench-windows")
+    windows = staged(enough.select("key", "check", "m", "final", F.explode(starts).alias("start")).distinct(), "bench-windows")
 
     wanted = staged(windows.select("key", "check").distinct(), "bench-documents")
     same = F.col("key").eqNullSafe(F.col("key_w")) & (F.col("check") == F.col("check_w"))
     texts = keyed.join(_small(wanted.toDF("key_w", "check_w")), same, "left_semi").select("key", "check", words(F.col("text")).alias("w")).select("key", "check", shingles("w").alias("s")).dropDuplicates(["key", "check"])
-    right = windows.toDF("key_w", "check_w", "item", "m", "start")
-    cut = texts.join(right, same).select("key", "check", "item", "m", "start", F.expr("slice(s, start + 1, m)").alias("s"))
+    right = windows.toDF("key_w", "check_w", "m", "final", "start")
+    cut = texts.join(right, same).select("key", "check", "m", "final", "start", F.expr("slice(s, start + 1, m)").alias("s"))
     printed = staged(cut.withColumn("fp", simhash("s")), "bench-prints")
 
-    left = printed.select("key", "check", "item", "start", "fp", F.explode(_blocks("fp")).alias("b")).select("*", "b.*").drop("b")
-    other = items.select("item", "item_fp", F.explode(_blocks("item_fp")).alias("b")).select("item", "item_fp", "b.*")
-    near = left.join(other, ["item", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("key", "check", "item", "start").distinct()
-
-    keys = [F.col(c).eqNullSafe(F.col(f"{c}_n")) for c in ("key", "check", "item", "start")]
-    parts = printed.join(near.toDF("key_n", "check_n", "item_n", "start_n"), keys[0] & keys[1] & keys[2] & keys[3], "left_semi")
+    # Windows of one fingerprint are sought once, however many documents hold them.
+    found = staged(within_radius(printed.select("m", "fp").distinct(), items.select("item", "m", "item_fp")), "bench-found")
+    pairs = printed.join(_small(found), ["m", "fp"]).join(_small(items.select("item", F.col("s").alias("item_s"))), "item")
+    # The windows of an item are those that begin at one of its shingles, and the last one.
+    parts = pairs.where((F.col("start") == F.col("final")) | F.array_contains("item_s", F.col("s")[0]))
     counted = parts.select("key", "check", "item", "m", "start", F.size("s").alias("size"), F.explode("s").alias("h")).groupBy("key", "check", "item", "m", "start", "size", "h").agg(F.count("*").alias("n"))
-    common = counted.join(weights, ["item", "h"]).groupBy("key", "check", "item", "m", "start", "size").agg(F.sum(F.least("n", "weight")).alias("common"))
+    common = counted.join(_small(weights), ["item", "h"]).groupBy("key", "check", "item", "m", "start", "size").agg(F.sum(F.least("n", "weight")).alias("common"))
     exact = common.withColumn("similarity", F.col("common") / (F.col("m") + F.col("size") - F.col("common"))).where(F.col("similarity") >= similarity)
     best = exact.groupBy("key", "check", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"), F.count("*").alias("windows"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), "check", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"), "windows")

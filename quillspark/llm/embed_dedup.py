@@ -5,6 +5,10 @@ vectors are projected on their leading principal directions, put in the lexicogr
 grid cells of that width there, and cut into blocks. A pair of blocks whose bounding boxes are
 farther apart is never compared; one that may hold links is joined by halving both sequences,
 skipping intervals that are provably distant, down to leaves that are compared exactly.
+
+A block is an eighth of all vectors, or as many as fill TILE_BYTES if that is less: up to eight
+times TILE_BYTES of vectors what is sent to tasks grows with the vectors alone, beyond with the
+number of block pairs within reach. Blocks travel in runs of RUN vectors, so no row is large.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from .graph import connected_components, local_roots
 
 COSINE = 0.95
 DIRECTIONS = 16
-BLOCK = 4096
-LEAF = 512
+#: Blocks that all vectors are cut into at least, and bytes of vectors in a block at most.
+BLOCKS, TILE_BYTES = 8, 16 << 20
+#: Vectors in a row that is sent, and in an interval that is compared without further halving.
+RUN, LEAF = 1024, 512
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,31 +107,34 @@ def _cut(directions: np.ndarray):
             ids += batch.column("id").to_pylist()
             copies += batch.column("n").to_pylist()
             rows += batch.column("vector").to_pylist()
-            while len(ids) >= BLOCK:
-                yield block(ids[:BLOCK], copies[:BLOCK], rows[:BLOCK], number)
-                ids, copies, rows, number = ids[BLOCK:], copies[BLOCK:], rows[BLOCK:], number + 1
+            while len(ids) >= RUN:
+                yield block(ids[:RUN], copies[:RUN], rows[:RUN], number)
+                ids, copies, rows, number = ids[RUN:], copies[RUN:], rows[RUN:], number + 1
         if ids:
             yield block(ids, copies, rows, number)
 
     return run
 
 
-def _blocks(runs: DataFrame) -> DataFrame:
-    """Neighbouring runs put together until a block has about BLOCK rows, so that the number of blocks follows the rows and not the tasks."""
-    # One window over narrow rows: one for each task and BLOCK vectors.
-    numbered = runs.select("run", F.expr(f"coalesce(sum(size) over (order by run rows between unbounded preceding and 1 preceding), 0) div {BLOCK}").alias("block"))
-    parts = runs.join(staged(numbered, "vector-runs"), "run").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("run", "low", "high", "ids", "copies", "rows"))).alias("p"))
+def _numbered(runs: DataFrame, size: int) -> DataFrame:
+    """(run, block): neighbouring runs put together until a block has about ``size`` rows, so that the number of blocks follows the rows and not the tasks."""
+    # One window over narrow rows: one for each task and RUN vectors.
+    return runs.select("run", F.expr(f"coalesce(sum(size) over (order by run rows between unbounded preceding and 1 preceding), 0) div {size}").alias("block"))
+
+
+def _boxes(runs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(block, low, high): the bounding box of each block's runs."""
+    parts = runs.select("run", "low", "high").join(numbers, "run").groupBy("block").agg(F.collect_list(F.struct("low", "high")).alias("p"))
     side = lambda name, pick: f"aggregate(slice(p.{name}, 2, size(p)), p.{name}[0], (a, b) -> zip_with(a, b, (x, y) -> {pick}(x, y)))"
-    joined = lambda name: F.aggregate(f"p.{name}", F.lit(b""), lambda a, b: F.concat(a, b)).alias(name)
-    return parts.select("block", F.expr(side("low", "least")).alias("low"), F.expr(side("high", "greatest")).alias("high"), joined("ids"), joined("copies"), joined("rows"))
+    return parts.select("block", F.expr(side("low", "least")).alias("low"), F.expr(side("high", "greatest")).alias("high"))
 
 
 class _Join:
     """Links between two blocks (or within one), found by halving both."""
 
-    def __init__(self, directions: np.ndarray, cosine: float, a: tuple, b: tuple, same: bool):
+    def __init__(self, directions: np.ndarray, cosine: float, a: tuple, b: tuple, same: bool, leaf: int = LEAF):
         dims = directions.shape[0]
-        self.cosine, self.reach, self.same = cosine, 2 - 2 * cosine + 1e-9, same
+        self.cosine, self.reach, self.same, self.leaf, self.compared = cosine, 2 - 2 * cosine + 1e-9, same, leaf, 0
         self.ids, self.copies = ([np.frombuffer(x[i], dtype=np.int64) for x in (a, b)] for i in (0, 1))
         self.raw = [np.frombuffer(x[2], dtype=np.float64).reshape(-1, dims) for x in (a, b)]
         self.unit = [_units(x) for x in self.raw]
@@ -141,15 +150,16 @@ class _Join:
         gap = np.maximum(np.maximum(x.min(axis=0) - y.max(axis=0), y.min(axis=0) - x.max(axis=0)), 0)
         if (gap * gap).sum() > self.reach:
             return
-        if b - a <= LEAF and d - c <= LEAF:
+        if b - a <= self.leaf and d - c <= self.leaf:
             return self.compare(a, b, c, d)
-        firsts = [(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > LEAF else [(a, b)]
-        seconds = [(c, (c + d) // 2), ((c + d) // 2, d)] if d - c > LEAF else [(c, d)]
+        firsts = [(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > self.leaf else [(a, b)]
+        seconds = [(c, (c + d) // 2), ((c + d) // 2, d)] if d - c > self.leaf else [(c, d)]
         for f in firsts:
             for s in seconds:
                 self.visit(*f, *s)
 
     def compare(self, a: int, b: int, c: int, d: int) -> None:
+        self.compared += (b - a) * (d - c)
         dots = self.unit[0][a:b] @ self.unit[1][c:d].T
         linked = dots >= self.cosine
         for i, j in zip(*np.nonzero(np.abs(dots - self.cosine) < 1e-12), strict=True):  # too close to call by sums in any order
@@ -175,12 +185,26 @@ class _Join:
         return ids[has], links[has], roots[np.searchsorted(nodes, ids[has])]
 
 
-def _joined(directions: np.ndarray, cosine: float):
+def _joined(directions: np.ndarray, cosine: float, leaf: int):
+    """Links of each tile, from rows (tile, side, run, ids, copies, rows) sorted by tile and side; side 1 is empty where a block meets itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+
+        def solve() -> pa.RecordBatch:
+            sides = [tuple(b"".join(r[i] for r in side) for i in range(3)) for side in held if side]
+            found = _Join(directions, cosine, sides[0], sides[-1], len(sides) == 1, leaf).result()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["id", "links", "root"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                found = _Join(directions, cosine, (r["ids"], r["copies"], r["rows"]), (r["ids_b"], r["copies_b"], r["rows_b"]), r["block"] == r["block_b"]).result()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["id", "links", "root"])
+            for i, (tile, side) in enumerate(zip(batch.column("tile").to_pylist(), batch.column("side").to_pylist(), strict=True)):
+                if tile != now:
+                    if now is not None:
+                        yield solve()
+                    now, held = tile, ([], [])
+                held[side].append([batch.column(c)[i].as_py() for c in ("ids", "copies", "rows")])
+        if now is not None:
+            yield solve()
 
     return run
 
@@ -195,7 +219,7 @@ def _block_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
     return own.join(near, "cell").where(F.col("block") <= F.col("block_b")).where(F.expr(gap) <= 2 - 2 * cosine + 1e-9).select("block", "block_b").distinct()
 
 
-def embedding_components(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def embedding_components(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, blocks: int = BLOCKS, leaf: int = LEAF) -> DataFrame:
     """One row for each row of vectors: key, n_links, component.
 
     Rows link at a cosine of at least ``cosine``; vectors that are null, empty or zero, or hold null
@@ -210,15 +234,18 @@ def embedding_components(vectors: DataFrame, key: str = "vec_id", embedding: str
         part = kinds.where(F.size("vector") == dims)
         directions = principal_directions(part, dims)
         celled = staged(part.select("id", "n", "vector").mapInArrow(_celled(directions, math.sqrt(2 - 2 * cosine)), "id long, n long, vector array<double>, cells array<int>"), "vector-cells")
-        tasks = max(1, -(-celled.count() // (4 * BLOCK)))
+        rows_a_block = max(leaf, min(-(-celled.count() // blocks), TILE_BYTES // (8 * dims)))
+        tasks = max(1, -(-celled.count() // (4 * rows_a_block)))
         ordered = celled.repartitionByRange(tasks, "cells", "id").sortWithinPartitions("cells", "id").select("id", "n", "vector")
         runs = staged(ordered.mapInArrow(_cut(directions), "run long, size long, low array<double>, high array<double>, ids binary, copies binary, rows binary"), "vector-runs")
-        blocks = staged(_blocks(runs), "vector-blocks")
-        pairs = staged(_block_pairs(blocks, cosine), "vector-pairs")
-        body = blocks.select("block", "ids", "copies", "rows")
-        second = body.toDF("block_b", "ids_b", "copies_b", "rows_b")
-        tiles = pairs.join(body, "block").join(second, "block_b").repartition(max(1, pairs.count()), "block", "block_b")
-        links = tiles.mapInArrow(_joined(directions, cosine), "id long, links long, root long")
+        numbers = staged(_numbered(runs, rows_a_block), "vector-blocks")
+        pairs = _block_pairs(staged(_boxes(runs, numbers), "vector-boxes"), cosine)
+        tiles = staged(pairs.withColumn("tile", F.concat_ws(",", "block", "block_b")), "vector-tiles")
+        sides = tiles.select("tile", "block", F.lit(0).alias("side")).unionAll(tiles.where("block <> block_b").select("tile", F.col("block_b").alias("block"), F.lit(1).alias("side")))
+        # What is joined to the runs is narrow; each run goes once to each tile of its block.
+        body = runs.select("run", "ids", "copies", "rows").join(numbers.join(sides, "block").select("run", "tile", "side"), "run")
+        sent = body.repartition(max(1, tiles.count()), "tile").sortWithinPartitions("tile", "side", "run").select("tile", "side", "ids", "copies", "rows")
+        links = sent.mapInArrow(_joined(directions, cosine, leaf), "id long, links long, root long")
         found = links if found is None else found.unionAll(links)
     if found is None:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))

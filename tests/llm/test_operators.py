@@ -130,10 +130,10 @@ def test_suffix_dedup(spark, docs, bucket):
 
 
 def test_suffix_dedup_over_pieces(spark):
-    """A text over one piece of 1 MiB, with copies across the pieces' edge, in itself and elsewhere."""
+    """A text over two pieces, with copies across a piece's edge, in itself and elsewhere."""
     r = np.random.default_rng(4)
     long = bytearray(r.integers(97, 123, (1 << 20) + 9000, dtype=np.uint8))
-    edge = 1 << 20
+    edge = 2 * suffix_dedup.PIECE
     long[3000:4000] = long[edge - 500 : edge + 500]
     texts = [bytes(long).decode(), bytes(long[edge - 700 : edge + 100]).decode(), bytes(long[edge + 1 : edge + 401]).decode(), bytes(long[2000:2399]).decode()]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -225,41 +225,6 @@ def test_langid(spark):
 
 
 def test_lm_score(spark):
-    rows = [(0, "good text here"), (1, "zzzz qqqq"), (2, None), (3, ""), (None, "good zz"), (0, "good text here")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, None), (None, 1)], "doc_id long, quality int")
-
-    def counts(texts):
-        c = Counter()
-        for t in texts:
-            b = b"\0\0" + t.encode() + b"\0"
-            c.update(b[i : i + 3] for i in range(len(b) - 2))
-        return c
-
-    def loss(c, g):
-        n1, n2, c1, c2 = Counter(), Counter(), Counter(), Counter()
-        for k, n in c.items():
-            n1[k[2:]] += n
-            n2[k[1:]] += n
-            c1[k[1:2]] += n
-            c2[k[:2]] += n
-        p1 = (n1[g[2:]] + 1) / (sum(c.values()) + 256)
-        p2 = (n2[g[1:]] + 4 * p1) / (c1[g[1:2]] + 4)
-        return -math.log((c[g] + 4 * p2) / (c2[g[:2]] + 4))
-
-    target, background = counts(t for k, t in rows if k == 0), counts(t for _, t in rows if t is not None)
-    for x, (k, t) in zip(sorted(lm_score.cross_entropy_difference(df, labels).collect(), key=lambda x: (x["doc_id"] is None, x["doc_id"], x["n_tokens"])), sorted(rows, key=lambda x: (x[0] is None, x[0])), strict=True):
-        assert x["doc_id"] == k
-        if t is None:
-            assert x["n_tokens"] == 0 and x["score"] is None
-        else:
-            grams = counts([t])
-            n = sum(grams.values())
-            want = sum(m * (loss(target, g) - loss(background, g)) for g, m in grams.items()) / n
-            assert x["n_tokens"] == n and abs(x["score"] - want) < 1e-5
-
-
-def test_word_lm_score(spark):
     """Equal to plain counts over several blocks; documents of the same words in another order score apart."""
     r = random.Random(3)
     rows = [(i, words(r, r.randrange(1, 60), 30)) for i in range(40)] + [(2, None), (None, "w1 w2 w3"), (41, ""), (42, "北京 a_b c,d\n"), (0, "w1 w2")]
@@ -294,13 +259,13 @@ def test_word_lm_score(spark):
         of = [sum(loss(c, *w[i - 2 : i + 1]) for i in range(2, len(w))) / (len(w) - 2) if w else None for c in (t, b)]
         want.append((k, max(0, len(w) - 2), *of))
     order = lambda x: (x[0] is None, x[0] or 0, x[1])
-    got = lm_score.word_cross_entropy_difference(df, labels).collect()
+    got = lm_score.cross_entropy_difference(df, labels).collect()
     for x, y in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
         assert tuple(x)[:2] == y[:2] and (x["score"] is None) == (y[2] is None)
         assert y[2] is None or (abs(x["loss_target"] - y[2]) < 1e-9 and abs(x["loss_background"] - y[3]) < 1e-9)
 
     same = [(0, "ab cd. ef gh. " * 5), (1, "ef cd. ab gh. " * 5), (2, "ab cd. ef gh. "), (3, "ef cd. ab gh. ")]
-    apart = {x["doc_id"]: x["score"] for x in lm_score.word_cross_entropy_difference(spark.createDataFrame(same, "doc_id long, text string"), labels.where("doc_id = 0")).collect()}
+    apart = {x["doc_id"]: x["score"] for x in lm_score.cross_entropy_difference(spark.createDataFrame(same, "doc_id long, text string"), labels.where("doc_id = 0")).collect()}
     assert apart[2] + 0.1 < apart[3]
 
 
@@ -432,6 +397,56 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs, benchmark.where("false")).count() == 0
 
 
+def test_decontaminate_index(spark):
+    """The index finds all pairs of one size within the radius, those at its very edge too, and no others."""
+    r = random.Random(12)
+    items = [(i, i % 3, r.getrandbits(64)) for i in range(30)]
+    prints = set()
+    for _, m, fp in items:
+        for bits in (0, 1, 12, 22, 23, 24, 25):
+            prints.add((m, fp ^ sum(1 << k for k in r.sample(range(64), bits))))
+    prints |= {(m, r.getrandbits(64)) for m in range(4) for _ in range(40)}
+    signed = lambda x: x - (x >> 63 << 64)
+    want = {(m, signed(fp), i) for m, fp in prints for i, n, item in items if m == n and (fp ^ item).bit_count() <= decontaminate.RADIUS}
+    got = decontaminate.within_radius(spark.createDataFrame([(m, signed(fp)) for m, fp in prints], "m int, fp long"), spark.createDataFrame([(i, m, signed(fp)) for i, m, fp in items], "item long, m int, item_fp long"))
+    assert {tuple(x) for x in got.select("m", "fp", "item").collect()} == want and len(want) > 100
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.02])
+def test_embeddings_over_blocks(spark, spread):
+    """Links within, across and between many blocks, some within a rounding of the threshold; in narrow data most pairs of intervals are skipped."""
+    r = np.random.default_rng(13)
+    base = r.normal(size=(500, 24)) * np.concatenate([[6, 4, 2], np.full(21, spread)])
+    near = base[r.integers(0, 500, 300)]
+    rows = np.concatenate([base, near + r.normal(size=near.shape) * 0.1 * spread, near * r.uniform(0.5, 2, (300, 1))])
+    edge = np.zeros((3, 24))
+    edge[0, 0] = edge[1, 0] = edge[2, 0] = 1
+    edge[1, 3], edge[2, 3] = math.tan(math.acos(0.95)) * (1 - 1e-15), math.tan(math.acos(0.95)) * (1 + 1e-9)
+    rows = np.concatenate([rows, edge])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    for i, j in zip(*np.nonzero(np.abs(unit @ unit.T - 0.95) < 1e-12), strict=True):
+        x, y = rows[i], rows[j]
+        linked[i, j] = math.fsum(x * y) / math.sqrt(math.fsum(x * x) * math.fsum(y * y)) >= 0.95
+    np.fill_diagonal(linked, False)
+    ids = [int(x) for x in r.permutation(len(rows))]
+    pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(linked), strict=True)]
+    component = least(ids, roots(len(rows), pairs))
+    df = spark.createDataFrame([(k, list(map(float, v))) for k, v in zip(ids, rows, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((x["vec_id"], x["n_links"], x["component"]) for x in embed_dedup.embedding_components(df, blocks=12, leaf=32).collect())
+    assert got == sorted((ids[i], int(linked[i].sum()), component[i]) for i in range(len(rows)))
+
+
+def test_embeddings_skip_distant_intervals():
+    r = np.random.default_rng(14)
+    x = np.cumsum(np.ones(2000)) / 100
+    rows = np.stack([np.cos(x / 7), np.sin(x / 7), r.normal(size=2000) * 0.01], axis=1)
+    order = np.argsort(rows[:, 0])
+    body = (np.arange(2000).tobytes(), np.ones(2000, dtype=np.int64).tobytes(), rows[order].tobytes())
+    join = embed_dedup._Join(np.eye(3)[:, :2], 0.95, body, body, True, 32)
+    assert join.compared < 0.5 * 2000 * 2000 / 2 and len(join.result()[0]) == 2000
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(10)
     centre = r.normal(size=(20, 8))
