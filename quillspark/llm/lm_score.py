@@ -1,22 +1,21 @@
 """Scoring documents by cross-entropy difference.
 
-``word_cross_entropy_difference`` is what op6 runs: word trigram models of target and background,
-backing off to bigrams and words, counted over the whole corpus without any bound on their size.
+Word trigram models of target and background, backing off to bigrams and words, are counted over
+the whole corpus without any bound on their size. Both share one vocabulary, the words of the corpus.
+A document's score is the mean over its words of the target model's loss less the background
+model's; the lower, the more it is like the target.
+
 Documents are packed into blocks; a block's distinct n-grams, with their counts, are dealt out by
 hash, summed over all blocks, and the sums sent back to the blocks that hold the n-gram. So nothing
 is collected or broadcast, and an n-gram of every document is one row of a block, not one of each
-document. Both models share one vocabulary, the words of the corpus.
-
-``cross_entropy_difference`` is the small model: two byte trigram models with the same vocabulary (256 bytes, of which 0 also marks a text's ends)
-and the same smoothing are counted over whole texts: the target model over documents labelled as
-good, the background model over all documents. A document's score is the mean over its bytes of
-the target model's loss less the background model's; the lower, the more it is like the target.
-A model is a table of at most 2 ** 24 trigram counts, by its vocabulary and not by any cap.
+document. The blocks are a table bucketed by block, so the sums are shuffled to the texts and the
+texts never.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, scratch_path, staged
 
 #: Weight of the next shorter context's estimate, in observations.
 PRIOR = 4.0
-SLICE = 4 << 20
 #: Target keys broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Bytes of text in a block, and for which one bucket of n-grams is summed; neither changes a score.
@@ -39,104 +37,16 @@ BUCKET = 8 << 20
 #: Scripts written without spaces, a word being a character there.
 UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(rf"[^\W{UNSPACED}]+|[^\s]")
-#: Bits of an n-gram's hash: of 10 ** 10 n-grams, about one in 110,000 shares another's.
-BITS = 50
+#: Bits of an n-gram's hash beyond those of the corpus's size in bytes, and at least: about one n-gram in 200,000 shares another's.
+SPARE_BITS, LEAST_BITS = 16, 40
 START, END, TOTAL = (np.uint64(x) for x in (1, 2, 3))
 
 
-def trigrams(raw: bytes) -> np.ndarray:
-    """Codes of the trigrams that end at each byte and at the text's end; two zeros go before."""
-    x = np.frombuffer(b"\0\0" + raw + b"\0", dtype=np.uint8).astype(np.int32)
-    return (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, load, size = np.zeros(1 << 24, dtype=np.int64), [], 0
-
-    def count() -> None:
-        nonlocal size
-        codes = np.concatenate(load)
-        for at in range(0, len(codes), SLICE):
-            np.add(total, np.bincount(codes[at : at + SLICE], minlength=1 << 24), out=total)
-        load.clear()
-        size = 0
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            load.append(trigrams(text.encode("utf-8", "surrogatepass")))
-            size += len(load[-1])
-            if size >= SLICE:
-                count()
-    if load:
-        count()
-    code = np.flatnonzero(total)
-    for part in np.array_split(code, max(1, len(code) // 100_000)):
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["code", "n"])
-
-
-def trigram_counts(texts: DataFrame) -> DataFrame:
-    """(code, n) over one text column, nulls left out; each task sends a row for each trigram it saw."""
-    return texts.where(F.col(texts.columns[0]).isNotNull()).mapInArrow(_counts, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def losses(code: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Loss in nats of each wanted trigram under the model of these counts, shorter contexts weighing PRIOR observations."""
-    three, two, one = np.zeros(1 << 24), np.zeros(1 << 16), np.zeros(256)
-    three[code] = n
-    np.add.at(two, code & 0xFFFF, n)
-    np.add.at(one, code & 0xFF, n)
-    context2, context1 = three.reshape(1 << 16, 256).sum(axis=1), two.reshape(256, 256).sum(axis=1)
-    a, b, c = wanted >> 8, wanted & 0xFFFF, wanted & 0xFF
-    p1 = (one[c] + 1) / (one.sum() + 256)
-    p2 = (two[b] + PRIOR * p1) / (context1[b >> 8] + PRIOR)
-    p3 = (three[wanted] + PRIOR * p2) / (context2[a] + PRIOR)
-    return -np.log(p3)
-
-
-def _scores(seen: np.ndarray, target: np.ndarray, background: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = np.zeros((2, 1 << 24), dtype=np.float32)
-        of[0][seen], of[1][seen] = target, background
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                if text is None:
-                    rows.append((0, None, None))
-                    continue
-                codes = trigrams(text.encode("utf-8", "surrogatepass"))
-                rows.append((len(codes), *(float(x[codes].mean(dtype=np.float64)) for x in of)))
-            n, t, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())], names=["key", "n_tokens", "loss_target", "loss_background"])
-
-    return run
-
-
 def _targets(labels: DataFrame) -> DataFrame:
     good = staged(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("key")).distinct(), "lm-targets")
     return F.broadcast(good) if good.count() <= BROADCAST_KEYS else good
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: key, n_tokens, loss_target, loss_background, score (target less background).
-
-    labels: (doc_id, quality); a document is a target if any label of its key has quality 1. A null
-    text has no tokens and null losses; an empty one has the end mark alone. Without any target
-    document the target model is uniform. Rows with null keys count as background. Other columns are ignored.
-    """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    chosen = _targets(labels)
-    target = trigram_counts(rows.join(chosen, "key", "left_semi").select("text")).select("code", F.col("n").alias("t"))
-    background = trigram_counts(rows.select("text")).select("code", F.col("n").alias("b"))
-    counted = staged(background.join(target, "code", "left").select("code", "b", F.coalesce("t", F.lit(0)).alias("t")), "lm-counts")
-    table = counted.toArrow()  # at most 2 ** 24 rows
-    code, b, t = (table.column(c).to_numpy() for c in ("code", "b", "t"))
-    order = np.argsort(code)
-    code, b, t = code[order], b[order], t[order]
-    loss = [losses(code[n > 0], n[n > 0], code).astype(np.float32) for n in (t, b)]
-    found = rows.mapInArrow(_scores(code, *loss), "key long, n_tokens long, loss_target double, loss_background double")
-    return found.select(F.col("key").alias(key), "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
-
-
 def _shrunk(numbers: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed."""
     return pa.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
@@ -162,7 +72,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block() -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, load[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, load[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
             out.write_table(pa.Table.from_batches(load).combine_chunks())
         row = [pa.array([(task << 32) | at], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(row, names=["block", "size", "docs"])
@@ -185,7 +95,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _read(raw: bytes, hashes: _Hashes):
+def _read(raw: bytes, hashes: _Hashes, bits: int):
     """A block's document keys, numbers of predicted words (0 for a null text), and n-grams of orders 1, 2, 3 by position.
 
     A text stands as two start marks, its words and an end mark. The first mark has no n-grams,
@@ -206,7 +116,7 @@ def _read(raw: bytes, hashes: _Hashes):
     one = _mixed(x * np.uint64(3) + np.uint64(1))
     two = _mixed(np.roll(one, 1) * np.uint64(5) + one)
     three = _mixed(np.roll(two, 1) * np.uint64(7) + one)
-    orders = [k >> np.uint64(64 - BITS) for k in (one, two, three)]
+    orders = [k >> np.uint64(64 - bits) for k in (one, two, three)]
     for k in orders:
         k[first] = 0
     orders[2][first + 1] = 0
@@ -227,19 +137,19 @@ def _distinct(n: np.ndarray, orders: list, good: np.ndarray) -> tuple[np.ndarray
     return np.insert(key, at, TOTAL), np.insert(b, at, int(n.sum())), np.insert(t, at, int((predicted & good).sum()))
 
 
-def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of the 2 ** bits buckets begins in sorted keys, and the end."""
-    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(BITS - bits)), len(keys))
+def _edges(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Where each of the 2 ** parts buckets begins in sorted keys, and the end."""
+    return np.append(np.searchsorted(keys, np.arange(1 << parts, dtype=np.uint64) << np.uint64(bits - parts)), len(keys))
 
 
-def _sent(bits: int):
+def _sent(parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, n, orders, good = _read(raw.as_py(), hashes)
+                _, n, orders, good = _read(raw.as_py(), hashes, bits)
                 keys, b, t = _distinct(n, orders, good)
-                edges = _edges(keys, bits)
+                edges = _edges(keys, parts, bits)
                 rows = [(k, block, j - i, _shrunk(np.diff(keys[i:j], prepend=np.uint64(0))), _shrunk(b[i:j]), _shrunk(t[i:j])) for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
                 yield pa.RecordBatch.from_pylist([dict(zip(SENT.names, row, strict=True)) for row in rows], schema=SENT)
 
@@ -274,9 +184,9 @@ def _places(grams: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _word_scores(docs: pa.Table, back: pa.Table) -> pa.Table:
+def _scored(docs: pa.Table, back: pa.Table, bits: int) -> pa.Table:
     """Losses of a block's documents by the counts of the whole corpus."""
-    keys, n, orders, good = _read(docs.column("docs")[0].as_py(), _Hashes())
+    keys, n, orders, good = _read(docs.column("docs")[0].as_py(), _Hashes(), bits)
     grams, _, _ = _distinct(n, orders, good)
     back = back.sort_by("bucket")
     sizes = back.column("n").to_pylist()
@@ -301,20 +211,40 @@ def _word_scores(docs: pa.Table, back: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(n), losses_of["t"], losses_of["b"]], schema=SCORED)
 
 
-def word_cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As ``cross_entropy_difference``, by word trigrams of the whole corpus; the rows are the same.
+def _word_scores(bits: int):
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        return _scored(docs, back, bits)
+
+    return run
+
+
+def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """blocks written to the shared folder in buckets of ``block``: a group of it needs no shuffle."""
+    spark, name = blocks.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
+    blocks.write.format("parquet").bucketBy(buckets, "block").option("path", scratch_path(spark, "lm-blocks")).saveAsTable(name)
+    return spark.table(name)
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: key, n_tokens, loss_target, loss_background, score (target less background).
+
+    labels: (doc_id, quality); a document is a target if any label of its key has quality 1. A null
+    text has no tokens and null losses; an empty one has the end mark alone. Rows with null keys
+    count as background. Other columns are ignored, an empty table gives an empty one.
 
     A token is a run of letters, digits and underscores, a character of a script written without
     spaces, or any other character but a space; case counts. Each order gives the next shorter one
     PRIOR observations, down to words; the target's word model gives them to the corpus's, so
     without any target document it is that. A document is in the counts it is scored by.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    bits = min(50, max(LEAST_BITS, int(size).bit_length() + SPARE_BITS))
+    parts = max(3, int(size // BUCKET).bit_length())
     flagged = rows.join(_targets(labels).withColumn("good", F.lit(True)), "key", "left").select("key", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    blocks = staged(flagged.mapInArrow(_blocks, "block long, size long, docs binary"), "lm-blocks")
-    bits = max(3, int(blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // BUCKET).bit_length())
-    packed = blocks.select("block", "docs")
-    sent = packed.mapInArrow(_sent(bits), "bucket int, block long, n long, grams binary, b binary, t binary")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (4 * BLOCK))
+    packed = _bucketed(flagged.mapInArrow(_blocks, "block long, size long, docs binary").select("block", "docs"), min(buckets, 100_000))
+    sent = packed.mapInArrow(_sent(parts, bits), "bucket int, block long, n long, grams binary, b binary, t binary")
     back = sent.groupBy("bucket").applyInArrow(_summed, "block long, bucket int, n long, b binary, t binary")
-    found = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_word_scores, "key long, n_tokens long, loss_target double, loss_background double")
+    found = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_word_scores(bits), "key long, n_tokens long, loss_target double, loss_background double")
     return found.select(F.col("key").alias(key), "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
