@@ -1,5 +1,7 @@
 """DuckDB twins of the corpus queries that SQL can express."""
 
+from .url_filter import SUFFIXES
+
 OP1 = """WITH RECURSIVE poly AS (
   SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
 rows AS (SELECT doc_id, source, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS h,
@@ -22,4 +24,123 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.a = vec_id"""
 
-SQL = {"op1_sharding": OP1, "op2_warc": OP2, "op10_embed_dedup": OP10}
+OP3 = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT r, x, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+dup AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gaps AS (SELECT r, i, i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 AS joined FROM dup),
+runs AS (SELECT r, i, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM gaps),
+spans AS (SELECT r, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY ALL),
+cut AS (SELECT s.r, a, b, substr(x, 2 * coalesce(lag(b) OVER (PARTITION BY s.r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY s.r ORDER BY a), 0))) AS piece FROM spans s JOIN d USING (r)),
+kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY a) AS front, max(b) AS tail FROM cut GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+_TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s]')"
+OP6 = rf"""WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good FROM documents),
+tok AS (SELECT r, good, unnest(list_concat([chr(1), chr(1)], {_TOKENS}, [chr(2)])) AS z, generate_subscripts(list_concat([chr(1), chr(1)], {_TOKENS}, [chr(2)]), 1) AS i FROM rows WHERE text IS NOT NULL),
+g AS (SELECT r, good, i, z, lag(z) OVER w AS y, lag(z, 2) OVER w AS x FROM tok WINDOW w AS (PARTITION BY r ORDER BY i)),
+c0 AS (SELECT count(*) FILTER (i > 2) AS b, count(*) FILTER (i > 2 AND good) AS t FROM g),
+c1 AS (SELECT z, count(*) AS b, count(*) FILTER (good) AS t FROM g WHERE i > 1 GROUP BY z),
+c2 AS (SELECT y, z, count(*) AS b, count(*) FILTER (good) AS t FROM g WHERE i > 1 GROUP BY ALL),
+c3 AS (SELECT x, y, z, count(*) AS b, count(*) FILTER (good) AS t FROM g WHERE i > 2 GROUP BY ALL),
+p1 AS (SELECT z, c1.b / c0.b AS b, (c1.t + 4 * (c1.b / c0.b)) / (c0.t + 4) AS t FROM c1, c0),
+p2 AS (SELECT c2.y, z, (c2.b + 4 * p1.b) / (cy.b + 4) AS b, (c2.t + 4 * p1.t) / (cy.t + 4) AS t FROM c2 JOIN p1 USING (z) JOIN c1 cy ON cy.z = c2.y),
+p3 AS (SELECT c3.x, c3.y, c3.z, -ln((c3.b + 4 * p2.b) / (cx.b + 4)) AS b, -ln((c3.t + 4 * p2.t) / (cx.t + 4)) AS t FROM c3 JOIN p2 USING (y, z) JOIN c2 cx ON cx.y = c3.x AND cx.z = c3.y),
+s AS (SELECT r, count(*) AS n, avg(p3.t) AS t, avg(p3.b) AS b FROM g JOIN p3 USING (x, y, z) WHERE i > 2 GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(t, 9) AS loss_target, round(b, 9) AS loss_background, round(t - b, 9) AS score FROM rows LEFT JOIN s USING (r)"""
+
+
+def _xxh64(hex_of: str, seed: int) -> dict[str, str]:
+    """SQL of XXH64 over a column of hexadecimal bytes, as named steps that build on one another: the last is ``h``."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261  # fixed values of the public hash
+    mod = "18446744073709551616::UHUGEINT"
+    wide = lambda x: f"({x})::UHUGEINT"
+    mul = lambda x, y: f"({wide(x)} * {y}::UHUGEINT % {mod})::UBIGINT"
+    add = lambda x, y: f"(({wide(x)} + {wide(y)}) % {mod})::UBIGINT"
+    rotl = lambda x, r: f"({wide(x)} * {1 << r}::UHUGEINT % {mod} + {wide(x)} // {1 << (64 - r)}::UHUGEINT)::UBIGINT"
+    little = lambda at, n: "('0x' || " + " || ".join(f"substr({hex_of}, {at} + {2 * i + 1}, 2)" for i in reversed(range(n))) + ")::UBIGINT"
+    u = lambda v: f"{v % (1 << 64)}::UBIGINT"
+    round_ = lambda v, lane: mul(rotl(add(v, mul(lane, p2)), 31), p1)
+    out = {"n": f"strlen({hex_of}) // 2"}
+    out["lanes"] = f"list_transform(range(0, n // 8), lambda j: {little('16 * j', 8)})"
+    for i, start in enumerate((seed + p1 + p2, seed + p2, seed, seed - p1)):
+        out[f"v{i}"] = f"list_reduce(list_prepend({u(start)}, list_transform(range(0, n // 32), lambda j: lanes[4 * j + {i + 1}])), lambda v, lane: {round_('v', 'lane')})"
+    out["m"] = add(add(rotl("v0", 1), rotl("v1", 7)), add(rotl("v2", 12), rotl("v3", 18)))
+    for i in range(4):
+        out[f"m{i}"] = add(mul(f"xor({'m' if i == 0 else f'm{i - 1}'}, {round_(u(0), f'v{i}')})", p1), u(p4))
+    out["h0"] = f"CASE WHEN n >= 32 THEN {add('m3', 'n')} ELSE {add(u(seed + p5), 'n')} END"
+    out["rest"] = f"list_transform(lanes[4 * (n // 32) + 1:], lambda lane: {round_(u(0), 'lane')})"
+    out["h1"] = f"list_reduce(list_prepend(h0, rest), lambda h, k: {add(mul(rotl('xor(h, k)', 27), p1), u(p4))})"
+    out["h2"] = f"CASE WHEN n % 8 >= 4 THEN {add(mul(rotl('xor(h1, ' + mul(little('16 * (n // 8)', 4), p1) + ')', 23), p2), u(p3))} ELSE h1 END"
+    out["tail"] = f"list_transform(range(n - n % 4, n), lambda j: {mul(little('2 * j', 1), p5)})"
+    out["h3"] = f"list_reduce(list_prepend(h2, tail), lambda h, k: {mul(rotl('xor(h, k)', 11), p1)})"
+    out["h4"] = mul("xor(h3, h3 >> 33)", p2)
+    out["h5"] = mul("xor(h4, h4 >> 29)", p3)
+    out["h"] = "xor(h5, h5 >> 32)"
+    return out
+
+
+def _steps(source: str, steps: dict[str, str], prefix: str) -> str:
+    """Common table expressions that add one step after the other to a table; the last is named prefix."""
+    parts, last = [], source
+    for i, (name, sql) in enumerate(steps.items()):
+        here = prefix if i == len(steps) - 1 else f"{prefix}_{i}"
+        parts.append(f"{here} AS MATERIALIZED (SELECT *, {sql} AS {name} FROM {last})")
+        last = here
+    return ",\n".join(parts)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BITS = " + ".join(f"(CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END)" for b in range(64))
+OP7 = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(CASE WHEN len(w) > 3 THEN [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] ELSE [array_to_string(w, ' ')] END) AS s FROM d WHERE len(w) > 0),
+x AS (SELECT s, hex(encode(s)) AS x FROM (SELECT DISTINCT s FROM s)),
+{_steps('x', _xxh64('x', 42), 'hashed')},
+f AS (SELECT r, ({_BITS})::UBIGINT AS fp FROM s JOIN hashed USING (s) GROUP BY r),
+p AS (SELECT d.r, doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN f USING (r)),
+k AS (SELECT fp, min(doc_id) AS least FROM p GROUP BY fp),
+links AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM k a, k b WHERE bit_count(xor(a.fp, b.fp)::BIT) <= 3),
+reach AS (SELECT fp AS a, fp AS b FROM k UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT reach.a AS fp, min(least) AS component_id FROM reach JOIN k ON k.fp = reach.b GROUP BY 1)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM p JOIN c USING (fp)"""
+
+
+def _level(name: str, above: str, of: str, rows: str) -> str:
+    """One level of the reputation: the strength of its prior from the spread of its shares, and its means."""
+    return f"""{name}_in AS (SELECT l.*, {above} AS prior FROM {rows}),
+{name}_fit AS (SELECT coalesce(sum(round(n * (bad / n - prior) ** 2, 9)::DECIMAL(38, 9)), 0)::DOUBLE AS seen, coalesce(sum(round(prior * (1 - prior), 9)::DECIMAL(38, 9)), 0)::DOUBLE AS sampling, coalesce(sum(round(n * prior * (1 - prior), 9)::DECIMAL(38, 9)), 0)::DOUBLE AS whole FROM {name}_in WHERE n > 0),
+{name}_k AS (SELECT CASE WHEN rho <= 0 THEN 1000.0 ELSE least(greatest(1 / rho - 1, 1.0), 1000.0) END::DOUBLE AS k FROM (SELECT CASE WHEN whole > sampling THEN (seen - sampling) / (whole - sampling) ELSE 0 END AS rho FROM {name}_fit)),
+{name}_mean AS (SELECT {of}, n, k, (bad + k * prior) / (n + k) AS mean FROM {name}_in, {name}_k)"""
+
+
+def op8(suffixes) -> str:
+    listed = ", ".join(f"'{x}'" for x in suffixes)
+    fits = lambda at, slash: f"(host = '{at}' OR suffix(host, '.{at}')) AND prefix(path, '{slash}')"
+    rules = sorted((("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")), key=lambda r: -len(r[1]))
+    cases = [(fits(t[: t.index("/")], t[t.index("/") :]), what, t) for what, t in rules]
+    return rf"""WITH m AS (SELECT doc_id AS page_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, toxic FROM pages LEFT JOIN m USING (page_id)),
+hosts0 AS (SELECT host, count(toxic) AS n, count(*) FILTER (toxic > 0) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM u GROUP BY host),
+hosts1 AS (SELECT *, string_split(name, '.') AS p, regexp_matches(name, '^[0-9]+(\.[0-9]+){{3}}$') OR prefix(name, '[') AS ip FROM hosts0),
+hosts2 AS (SELECT *, CASE WHEN array_to_string(p[greatest(len(p) - 1, 1):], '.') IN ({listed}) THEN 3 ELSE 2 END AS k FROM hosts1),
+h AS (SELECT host, n, bad, CASE WHEN ip THEN name ELSE array_to_string(p[greatest(len(p) - k + 1, 1):], '.') END AS domain, CASE WHEN ip THEN '' ELSE array_to_string(p[greatest(len(p) - k + 2, 1):], '.') END AS suffix FROM hosts2),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+{_level('s', '(SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END FROM s)', 'suffix', 's l')},
+{_level('d', 'a.mean', 'domain', 'd l JOIN s_mean a USING (suffix)')},
+{_level('h', 'a.mean', 'host', 'h l JOIN d_mean a USING (domain)')},
+b AS (SELECT host, mean - sqrt(mean * (1 - mean) / (n + k + 1)) AS bound FROM h_mean)
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {f} THEN '{t}'" for f, _, t in cases)} END AS rule, CASE {' '.join(f"WHEN {f} THEN '{w}'" for f, w, _ in cases)} WHEN bound > 0.25 THEN 'block' ELSE 'allow' END AS verdict FROM u JOIN b USING (host)"""
+
+
+_SHINGLED = r"CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+_SPLIT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+OP9 = rf"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+ds AS (SELECT r, doc_id, {_SHINGLED} AS s FROM (SELECT r, doc_id, {_SPLIT} AS w FROM docs)), its AS (SELECT item_id, {_SHINGLED} AS s FROM (SELECT item_id, {_SPLIT} AS w FROM benchmark WHERE text IS NOT NULL)),
+items AS (SELECT item_id, len(s) AS m, unnest(s) AS h FROM its), weights AS (SELECT item_id, m, h, count(*) AS weight FROM items GROUP BY ALL),
+places AS (SELECT r, len(s) AS size, unnest(s) AS h, generate_subscripts(s, 1) - 1 AS at_ FROM ds),
+hits AS MATERIALIZED (SELECT r, item_id, m, size, h, at_, weight, greatest(size - m, 0) AS final FROM places JOIN weights USING (h)),
+starts AS (SELECT DISTINCT r, item_id, at_ AS start FROM hits WHERE at_ <= final UNION SELECT DISTINCT r, item_id, final FROM hits),
+shared AS (SELECT r, item_id, start, m, least(m, size) AS n, h, least(count(*), weight) AS c FROM starts JOIN hits USING (r, item_id) WHERE at_ >= start AND at_ < start + m GROUP BY r, item_id, start, m, size, h, weight),
+likeness AS (SELECT r, item_id, start, sum(c)::DOUBLE / (m + n - sum(c)) AS similarity FROM shared GROUP BY r, item_id, start, m, n)
+SELECT doc_id, item_id, max(similarity) AS similarity, min(start) FILTER (similarity = best)::INT AS start, count(*) AS windows FROM (SELECT *, max(similarity) OVER (PARTITION BY r, item_id) AS best FROM likeness WHERE similarity >= 0.8) JOIN docs USING (r) GROUP BY r, doc_id, item_id"""
+
+SQL = {"op1_sharding": OP1, "op2_warc": OP2, "op3_suffix_dedup": OP3, "op6_lm_score": OP6, "op7_simhash": OP7, "op8_url_filter": op8(SUFFIXES), "op9_decontaminate": OP9, "op10_embed_dedup": OP10}

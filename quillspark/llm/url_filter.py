@@ -16,6 +16,8 @@ from .common import staged
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 THRESHOLD = 0.25
 BOUND_Z = 1.0
+#: Public suffixes of two labels; a host's registered domain is one label more than its suffix. A longer list is a parameter.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "edu.au", "co.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "co.kr", "com.br", "org.br", "com.cn", "net.cn", "org.cn", "com.tw", "com.hk", "com.sg", "co.in", "co.za", "com.mx", "com.ar", "com.tr", "co.il")
 #: Bounds of the fitted strength of a prior, in labelled pages.
 STRENGTH = (1.0, 1000.0)
 
@@ -42,15 +44,24 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def host_reputation(pages: DataFrame, bad: Column, known: Column) -> DataFrame:
+def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain and the public suffix of a host without user and port. An address is its own domain, of the empty suffix."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$") | F.startswith(name, F.lit("["))
+    label = F.split(name, r"\.")
+    last = lambda n: F.array_join(F.slice(label, F.greatest(F.size(label) - n + 1, F.lit(1)), n), ".")
+    two = last(2).isin(*suffixes) if suffixes else F.lit(False)
+    return F.when(address, name).when(two, last(3)).otherwise(last(2)), F.when(address, "").when(two, last(2)).otherwise(last(1))
+
+
+def host_reputation(pages: DataFrame, bad: Column, known: Column, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(host, n, bad, mean, bound) of each host of pages (host). bad, known: of a row, whether it counts as bad, and whether it is labelled.
 
-    Hosts without labels take their domain's mean, with the prior's own width. The registered domain
-    is a host's last two labels, the suffix its last.
+    Hosts without labels take their domain's mean, with the prior's own width. For domains and suffixes see ``domain_and_suffix``.
     """
-    label = F.split("host", r"\.")
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
     counts = pages.groupBy("host").agg(F.sum(known.cast("long")).alias("n"), F.sum((known & bad).cast("long")).alias("bad"))
-    hosts = staged(counts.select("host", "n", "bad", F.array_join(F.slice(label, F.greatest(F.size(label) - 1, F.lit(1)), 2), ".").alias("domain"), F.element_at(label, -1).alias("suffix")), "hosts")
+    hosts = staged(counts.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix")), "hosts")
     domains = staged(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = staged(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     n, b = suffixes.agg(F.sum("n"), F.sum("bad")).first()
