@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, slices, staged
 
 SPAN = 400
 GRAM = 100
 BUCKET = 4096
-PIECE = 1 << 20
-CHUNK = 4 << 20
+#: Bytes that are hashed, sorted and verified at once in a task; each takes some 50 times as much memory meanwhile.
+PIECE, CHUNK, VERIFIED = 1 << 19, 2 << 20, 1 << 20
 #: Rows of a class table that is broadcast at most (24 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -147,7 +147,7 @@ _ANCHOR = "k long, c long, bucket long, context long, check long, anchor int, fi
 
 def _scan(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, ends, rows, bases in _pieces(batch.column(2).to_pylist(), span):
                 bucket, anchor, first, last = anchors(data, ends, span, gram)
@@ -224,7 +224,7 @@ def suffix_order(data: np.ndarray, group: np.ndarray, start: np.ndarray, end: np
 def _verified(data: np.ndarray, order: np.ndarray, shared: np.ndarray, start: np.ndarray) -> bool:
     """Whether neighbours' common extensions hold byte by byte."""
     at = np.flatnonzero(shared > 0)
-    for part in np.array_split(at, max(1, int(shared.sum() >> 22))):
+    for part in np.array_split(at, max(1, int(shared.sum() // VERIFIED))):
         n = shared[part]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         if (data[np.repeat(start[order[part - 1]], n) + step] != data[np.repeat(start[order[part]], n) + step]).any():
@@ -338,7 +338,7 @@ def _cut_out(span: int):
     """Context bytes of the wanted runs of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for k, c, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 cols = {n: [w[n] for w in wanted] for n in (*_KIND, "anchor", "first", "last")}
@@ -354,7 +354,7 @@ def _split_runs(span: int, width: int):
     """Each context as parts of at most width windows, aligned at the anchor; a part's bucket is of the bytes that all its windows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {n: [] for n in batch.schema.names}
             for row in batch.to_pylist():
                 anchor, first, last, raw = row["anchor"], row["first"], row["last"], row["bytes"]
@@ -378,7 +378,7 @@ def _whole(df: DataFrame, span: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """(k, c, start, end): byte spans of repeated windows, overlapping ones apart, of docs (k, c, text). Rows alike in k and c must have equal texts."""
-    all_ = staged(docs.select("k", "c", "text").mapInArrow(_scan(span, gram), _ANCHOR), "anchors")
+    all_ = staged(bounded_batches(docs).select("k", "c", "text").mapInArrow(_scan(span, gram), _ANCHOR), "anchors")
     uniform = (F.min("context") == F.max("context")) & (F.min("check") == F.max("check"))
     sizes = all_.groupBy("bucket").agg(F.count("*").alias("n"), uniform.alias("uniform")).where("n > 1").drop("n")
     # Staged, so that the join stands on two plain exchanges and a hot bucket can be split.
@@ -427,7 +427,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to each row its bytes, what is kept of them, and the maximal removed runs."""
-    for batch in batches:
+    for batch in slices(batches):
         kept, sizes, runs = [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -490,7 +490,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     rows = keyed.join(listed, ["_k", "_c"], "left").select(*docs.columns, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [_cut_text(t, s) for t, s in zip(batch.column(place).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(columns))], names=columns)
 
