@@ -68,9 +68,12 @@ def packed(parts: Column, budget: int, joint: int) -> Column:
         fresh = (acc["used"] < 0) | (acc["used"] + n + joint > budget)
         return F.struct(F.when(fresh, F.concat(acc["begin"], F.array(acc["at"]))).otherwise(acc["begin"]).alias("begin"), F.when(fresh, n).otherwise(acc["used"] + n + joint).alias("used"), (acc["at"] + 1).alias("at"))
 
-    begin = F.aggregate(parts, start, step, lambda acc: F.concat(acc["begin"], F.array(acc["at"])))
-    one = lambda b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x, i: F.array_join(F.slice(parts, x + 1, F.get(b, i + 1) - x), "\n" * joint))
-    return F.get(F.transform(F.array(begin), one), F.lit(0))
+    def joined(p: Column, b: Column) -> Column:
+        return F.transform(F.slice(b, 1, F.size(b) - 1), lambda x, i: F.array_join(F.slice(p, x + 1, F.get(b, i + 1) - x), "\n" * joint))
+
+    # Arrays of one element bind the parts and the places, so that both are computed once.
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return bind(parts, lambda p: bind(F.aggregate(p, start, step, lambda acc: F.concat(acc["begin"], F.array(acc["at"]))), lambda b: joined(p, b)))
 
 
 def trimmed(c: Column) -> Column:

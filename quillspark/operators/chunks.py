@@ -16,12 +16,12 @@ def tokens(c: Column) -> Column:
     return F.floor(F.length(c) * 1.5).cast("int")
 
 
-def _bins(sizes: str) -> Column:
+def _bins(sizes: str, budget: int = BUDGET) -> Column:
     """Bin number of each element of an array of sizes. A bin ends before the element that would, with a separator, pass the budget; an element over the budget stands alone."""
     step = f"""(a, x) -> named_struct(
-        'bins', a.bins || array(case when a.last < 0 then 0 when a.used + x + {SEPARATOR} > {BUDGET} then a.last + 1 else a.last end),
-        'used', case when a.last < 0 or a.used + x + {SEPARATOR} > {BUDGET} then x else a.used + x + {SEPARATOR} end,
-        'last', case when a.last < 0 then 0 when a.used + x + {SEPARATOR} > {BUDGET} then a.last + 1 else a.last end)"""
+        'bins', a.bins || array(case when a.last < 0 then 0 when a.used + x + {SEPARATOR} > {budget} then a.last + 1 else a.last end),
+        'used', case when a.last < 0 or a.used + x + {SEPARATOR} > {budget} then x else a.used + x + {SEPARATOR} end,
+        'last', case when a.last < 0 then 0 when a.used + x + {SEPARATOR} > {budget} then a.last + 1 else a.last end)"""
     return F.expr(f"aggregate({sizes}, named_struct('bins', cast(array() as array<int>), 'used', 0, 'last', -1), {step}, a -> a.bins)")
 
 
@@ -49,7 +49,30 @@ def chunks(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def with_context(made: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds ``context``: for a child its parent's text, for a parent its children's texts in order; null for others."""
-    kids = made.where("parent_order is not null").groupBy(key, F.col("parent_order").alias("sort_order")).agg(F.array_sort(F.collect_list(F.struct("sort_order", "text"))).alias("_k"))
-    parents = made.where("chunk_level = 1").select(key, F.col("sort_order").alias("parent_order"), F.col("text").alias("_p"))
-    joined = made.join(parents, [key, "parent_order"], "left").join(kids, [key, "sort_order"], "left")
-    return joined.withColumn("context", F.coalesce("_p", F.array_join("_k.text", "\n\n"))).select(*made.columns, "context")
+    family = F.coalesce("parent_order", F.when(F.col("chunk_level") == 1, F.col("sort_order")))
+    together = Window.partitionBy(key, "_f")  # a parent and its children
+    parent = F.max(F.when(F.col("chunk_level") == 1, F.col("text"))).over(together)
+    kids = F.array_sort(F.collect_list(F.when(F.col("parent_order").isNotNull(), F.struct("sort_order", "text"))).over(together))
+    context = F.when(F.col("parent_order").isNotNull(), parent).when((F.col("chunk_level") == 1) & (F.size(kids) > 0), F.array_join(kids["text"], "\n\n"))
+    return made.withColumn("_f", family).withColumn("context", context).select(*made.columns, "context")
+
+
+def merged_small(made: DataFrame, least: int, most: int = 800, key: str = "doc_id") -> DataFrame:
+    """(key, sort_order, chunk_level, parent_order, text): neighbouring small chunks of one parent joined, up to ``most`` characters.
+
+    Small is a child or lone chunk of 1 to least - 1 characters. made: (key, sort_order, chunk_level, parent_order, text). A joined chunk
+    is its first one's heir; orders are counted anew and parents named by them.
+    """
+    order = Window.partitionBy(key).orderBy("sort_order")
+    small = F.coalesce((F.coalesce("chunk_level", F.lit(2)) != 1) & F.length("text").between(1, least - 1), F.lit(False))
+    marked = made.select(key, "sort_order", "chunk_level", "parent_order", "text", small.alias("_s"))
+    goes_on = F.col("_s") & F.coalesce(F.lag("_s").over(order), F.lit(False)) & F.lag("parent_order").over(order).eqNullSafe(F.col("parent_order"))
+    runs = marked.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    each = F.struct("sort_order", "chunk_level", "parent_order", "text", F.length("text").alias("size"))
+    grouped = runs.groupBy(key, "_run").agg(F.sort_array(F.collect_list(each)).alias("n")).withColumn("s", F.expr("transform(n, x -> coalesce(x.size, 0))"))
+    binned = grouped.withColumn("b", _bins("s", most))
+    parts = binned.select(key, F.explode(F.expr("transform(sequence(0, b[size(b) - 1]), i -> filter(n, (x, j) -> b[j] = i))")).alias("p"))
+    flat = parts.select(key, F.expr("p[0].sort_order").alias("_old"), F.expr("p[0].chunk_level").alias("chunk_level"), F.expr("p[0].parent_order").alias("_parent"), F.array_join("p.text", "\n\n").alias("text"))
+    numbered = flat.withColumn("sort_order", F.row_number().over(Window.partitionBy(key).orderBy("_old")) - 1)
+    heirs = numbered.select(key, F.col("_old").alias("_parent"), F.col("sort_order").alias("parent_order"))
+    return numbered.join(heirs, [key, "_parent"], "left").select(key, "sort_order", "chunk_level", "parent_order", "text")

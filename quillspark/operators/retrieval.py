@@ -26,9 +26,8 @@ _NEARNESS = "1.005D + 0.05D * exp(abs(x.i - y.i) / 1.5D - 2D)"
 
 def places(text: Column, words: list[str]) -> Column:
     """Where the words stand in a text: (t, i) of each occurrence, i counted from 1."""
-    wanted = F.array(*(F.lit(w) for w in words)).cast("array<string>")
     numbered = F.transform(T.tokens(text), lambda t, i: F.struct(t.alias("t"), (i + 1).alias("i")))
-    return F.filter(numbered, lambda p: F.array_contains(wanted, p["t"]))
+    return F.filter(numbered, lambda p: p["t"].isin(*words))
 
 
 def any_rank(found: str, words: int) -> Column:

@@ -103,7 +103,10 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("x")).cast("long").alias("longest"))
 
 
-@query()
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^。！？.!?；;]*[。！？.!?；;]|[^。！？.!?；;]+$'), lambda x: length(regexp_replace(x, '\s+', '', 'g')) > 0) AS l FROM documents),
+r AS (SELECT doc_id, 1 AS i, 0 AS bin, length(l[1]) AS used FROM s WHERE len(l) > 0 UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN used + length(l[i + 1]) + 2 > 300 THEN bin + 1 ELSE bin END, CASE WHEN used + length(l[i + 1]) + 2 > 300 THEN length(l[i + 1]) ELSE used + length(l[i + 1]) + 2 END FROM r JOIN s USING (doc_id) WHERE i < len(l))
+SELECT doc_id, bin AS sort_order, string_agg(l[i], chr(10) || chr(10) ORDER BY i) AS text FROM r JOIN s USING (doc_id) GROUP BY doc_id, bin""")
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "documents").select("doc_id", T.packed(T.sentences(F.col("text")), 300, 2).alias("chunks"))
     return parts.select("doc_id", F.posexplode("chunks").alias("sort_order", "text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import containers, ingest, learning, steps, tables, trees
+from quillspark.operators import chunks, containers, ingest, learning, steps, tables, trees
 from quillspark.operators import nodes as N
 from quillspark.plans.registry import query
 from quillspark.sources import files
@@ -120,6 +120,23 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.chunk_ids(made).select("doc_id", "sort_order", "id", "parent_id")
 
 
+_SMALL = {"doc_id": "l_orderkey", "sort_order": "l_linenumber - 1", "chunk_level": "CASE WHEN l_linenumber = 3 THEN 1 ELSE 2 END", "parent_order": "CASE WHEN l_linenumber > 3 THEN 2 ELSE NULL END"}
+
+
+@query(f"""WITH RECURSIVE {_cte('c', '(SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY ALL)', _SMALL | {'text': "repeat('x', CAST(q AS INT))"})},
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sort_order) AS i, chunk_level <> 1 AND length(text) BETWEEN 1 AND 39 AS small FROM c),
+w AS (SELECT doc_id, i, i AS head, length(text) AS used, small, parent_order FROM n WHERE i = 1 UNION ALL
+  SELECT n.doc_id, n.i, CASE WHEN n.small AND w.small AND n.parent_order IS NOT DISTINCT FROM w.parent_order AND w.used + 2 + length(n.text) <= 60 THEN w.head ELSE n.i END,
+    CASE WHEN n.small AND w.small AND n.parent_order IS NOT DISTINCT FROM w.parent_order AND w.used + 2 + length(n.text) <= 60 THEN w.used + 2 + length(n.text) ELSE length(n.text) END, n.small, n.parent_order FROM w JOIN n ON n.doc_id = w.doc_id AND n.i = w.i + 1),
+g AS (SELECT doc_id, head, string_agg(text, {_LF} || {_LF} ORDER BY i) AS text FROM w JOIN n USING (doc_id, i) GROUP BY ALL),
+o AS (SELECT g.*, n.sort_order AS old, n.chunk_level, n.parent_order AS parent, (row_number() OVER (PARTITION BY g.doc_id ORDER BY head) - 1)::INT AS sort_order FROM g JOIN n ON n.doc_id = g.doc_id AND n.i = g.head)
+SELECT o.doc_id, o.sort_order, o.chunk_level, p.sort_order AS parent_order, o.text FROM o LEFT JOIN o p ON p.doc_id = o.doc_id AND p.old = o.parent""")
+def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    made = rows.select(*(F.expr(e).alias(c) for c, e in (_SMALL | {"text": "repeat('x', CAST(q AS INT))"}).items()))
+    return chunks.merged_small(made, 40, 60)
+
+
 @query("SELECT 'files' AS what, count(*) AS n FROM pages WHERE page_id % 9 <> 2 UNION ALL SELECT 'chunks', count(*) FROM documents WHERE doc_id % 300 NOT IN (SELECT page_id FROM pages WHERE page_id % 9 = 2) UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id % 300 NOT IN (SELECT page_id FROM pages WHERE page_id % 9 = 2)")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left after files are deleted with their chunks and vectors."""

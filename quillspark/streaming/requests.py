@@ -5,8 +5,12 @@ The reference behaviour has no late data rule: a watermark of ten minutes is thi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE, ONCE, IDLE, ROLL_UP = "10 minutes", "2100 seconds", "12 hours", "30 minutes"
 
@@ -52,3 +56,29 @@ def rules_in_force(ops: DataFrame, key: str = "session") -> DataFrame:
     """
     last = F.max(F.struct("at", "op", "content"))
     return ops.groupBy(key, "rule").agg(last.alias("x")).select(key, "rule", "x.op", "x.content", "x.at")
+
+
+def _entry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One key's entry: its last access and how often it was hit; it times out when it was idle too long."""
+    idle = int(pd.Timedelta(IDLE).total_seconds() * 1000)
+    if state.hasTimedOut:
+        last, hits = state.get
+        state.remove()
+        yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="ms"), hits, "expired")], columns=["key", "last", "hits", "event"])
+        return
+    times = [t for batch in batches for t in batch["ts"]]
+    newest = int(max(times).timestamp() * 1000)
+    last, hits = state.get if state.exists else (0, 0)
+    event = "hit" if state.exists else "opened"
+    state.update((max(last, newest), hits + len(times)))
+    state.setTimeoutTimestamp(max(last, newest) + idle)
+    yield pd.DataFrame([(key[0], pd.Timestamp(max(last, newest), unit="ms"), hits + len(times), event)], columns=["key", "last", "hits", "event"])
+
+
+def expiring_entries(accesses: DataFrame, key: str = "session", ts: str = "ts") -> DataFrame:
+    """A stream of accesses as (key, last, hits, event): an entry is opened, hit, and expired after IDLE without access.
+
+    A stateful stream: a key's state is one row, and it ends with the watermark. The bound on entries is that of ``ingest.cache_entries``.
+    """
+    base = accesses.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", LATE)
+    return base.groupBy("key").applyInPandasWithState(_entry, "key string, last timestamp, hits long, event string", "last long, hits long", "append", GroupStateTimeout.EventTimeTimeout)

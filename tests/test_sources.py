@@ -1,5 +1,8 @@
 """HTML pages, files of several encodings, dispatch by type, token counts, and the smaller rules of retrieval and ingest."""
 
+import io
+import zipfile
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -7,6 +10,8 @@ from quillspark.functions import text as T
 from quillspark.operators import ingest, learning, retrieval, tables
 from quillspark.sources import files
 from quillspark.sources.html import page_nodes
+from quillspark.sources.office import docx_nodes
+from quillspark.streaming import requests
 
 
 def test_html():
@@ -86,3 +91,36 @@ def test_faults_stop_at_the_first(spark):
 def test_segments(spark):
     words = spark.createDataFrame([("RAG 索引失效 的 v2",), (None,), ("。，",)], "t string").select(T.segments(F.col("t"))).collect()
     assert [x[0] for x in words] == [["rag", "索引", "引失", "失效", "的", "v2"], None, []]
+
+
+def _docx(body: str) -> bytes:
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        archive.writestr("word/document.xml", f'<w:document xmlns:w="{space}" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return held.getvalue()
+
+
+def test_docx(spark):
+    p = lambda text, style="", extra="": f'<w:p><w:pPr>{f"""<w:pStyle w:val="{style}"/>""" if style else ""}{extra}</w:pPr>' + "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in text.split("|") if t) + "</w:p>"
+    cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
+    body = p("Title", "Heading1") + p("one |more") + p("two") + p("") + p("three") + p("") + p("") + p("four", extra='<w:spacing w:after="300"/>') + p("five") + p("Sub", "heading 2") + p("item", extra="<w:numPr/>")
+    body += f"<w:tbl><w:tr>{cell('h')}{cell('k')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr></w:tbl>" + p("x = 1", "SourceCode") + '<w:p><w:r><a:blip/></w:r></w:p>' + p("end")
+    files = spark.createDataFrame([(1, bytearray(_docx(body))), (2, bytearray(b"no zip")), (3, None)], "doc long, content binary")
+    got = [(x["doc"], x["kind"], x["text"], x["title_path"]) for x in docx_nodes(files).orderBy("doc", "pos").collect()]
+    assert got == [
+        (1, "heading", "Title", "Title"), (1, "body", "one more\ntwo\n\nthree", "Title"), (1, "body", "four", "Title"), (1, "body", "five", "Title"), (1, "heading", "Sub", "Title > Sub"), (1, "list", "item", "Title > Sub"),
+        (1, "table", "<table><tr><th>h</th><th>k</th></tr><tr><td>1</td><td>2</td></tr></table>", "Title > Sub"), (1, "code", "x = 1", "Title > Sub"), (1, "image", "", "Title > Sub"), (1, "body", "end", "Title > Sub"),
+    ]
+
+
+def test_expiring_entries(spark, tmp_path):
+    """An entry is opened, hit, and expired once the watermark is past its idle time."""
+    feed = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:00:00"), ("b", "2024-01-01 02:00:00"), ("c", "2024-01-02 20:00:00"), ("c", "2024-01-02 20:30:00")]
+    for i, (k, t) in enumerate(feed):
+        spark.createDataFrame([(k, t)], "session string, ts string").select("session", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session string, ts timestamp").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    q = requests.expiring_entries(stream).writeStream.format("memory").queryName("entries").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    events = sorted((x["key"], x["hits"], x["event"]) for x in spark.table("entries").collect())
+    assert [e for e in events if e[0] == "a"] == [("a", 1, "opened"), ("a", 2, "expired"), ("a", 2, "hit")] and ("b", 1, "expired") in events and ("c", 2, "expired") not in events
