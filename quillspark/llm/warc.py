@@ -259,11 +259,12 @@ def read_warc(spark: SparkSession, path: str, magic: str = MAGIC) -> DataFrame:
 
 
 def _in_split(records: DataFrame, splits: DataFrame, magic: int) -> DataFrame:
-    """Adds to each record the split that holds it: the last split whose base is no later, found by one ordered pass over each file's blocks."""
-    marks = splits.select("file", F.col("base").alias("pos"), "split", F.lit(None).cast("long").alias("at"), F.lit(0).alias("kind"))
-    points = records.select("file", (F.col("at") + magic).alias("pos"), F.lit(None).cast("long").alias("split"), "at", F.lit(1).alias("kind"))
-    ordered = Window.partitionBy("file").orderBy("pos", "kind")
-    return marks.unionByName(points).withColumn("split", F.last("split", ignorenulls=True).over(ordered)).where("kind = 1").select("file", "split", "at")
+    """Adds to each record the split that holds it, met by the blocks of BLOCK bytes that a split covers, so that a large file's records stay spread out."""
+    after = F.lead("base").over(Window.partitionBy("file").orderBy("base"))  # over a file's splits, one narrow row each
+    spans = splits.select("file", "split", "base", F.coalesce(after, F.col("base") + F.col("size") + magic).alias("upto"))
+    covered = spans.withColumn("block", F.explode(F.expr(f"sequence(base div {BLOCK}, greatest(upto - 1, base) div {BLOCK})")))
+    placed = records.select("file", "at", (F.col("at") + magic).alias("pos")).withColumn("block", F.expr(f"pos div {BLOCK}"))
+    return placed.join(covered, ["file", "block"]).where("pos >= base and pos < upto").select("file", "split", "at")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

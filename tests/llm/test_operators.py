@@ -82,6 +82,29 @@ def test_sharding(spark, docs):
     assert sharding.interleave(df.where("false"), 8, "source", "doc_id").count() == 0
 
 
+def test_sharding_of_a_table_with_the_same_names(spark, docs):
+    """An input column named like a result is replaced by it."""
+    df = spark.createDataFrame(docs, DOC).withColumnRenamed("lang", "shard").withColumnRenamed("n_chars", "slot")
+    out = sharding.interleave(df, 4, "source", "doc_id", ties=("text",))
+    assert sorted(out.columns) == ["doc_id", "shard", "slot", "source", "text"] and {x["shard"] for x in out.select("shard").collect()} == {0, 1, 2, 3}
+
+
+def test_warc_of_awkward_tables(spark, tmp_path):
+    """An empty table, and columns named like the operator's own over more than one block of a file."""
+    schema = "page_id long, url string, html string, digest string, first string, block string, key string"
+    warc.write_warc(spark.createDataFrame([], schema), f"file://{tmp_path}/none")
+    assert warc.read_pages(spark, f"file://{tmp_path}/none").count() == 0
+    r = random.Random(21)
+    bodies = [warc.MAGIC + "".join(r.choices("abcdefgh ", k=300_000)) + warc.MAGIC + "Content-Length: 9\r\n\r\n" for _ in range(40)]
+    rows = [(i, "u", bodies[i % 37], "d", "f", "b", "k") for i in range(70)]
+    warc.write_warc(spark.createDataFrame(rows, schema).coalesce(1), f"file://{tmp_path}/big")
+    got = {x["page_id"]: (x["payload_bytes"], x["record_type"], x["refers_to"], x["payload_digest"]) for x in warc.read_pages(spark, f"file://{tmp_path}/big").collect()}
+    assert len(got) == 70
+    for i in range(70):
+        body = bodies[i % 37].encode()
+        assert got[i] == (len(body), "response" if i < 37 else "revisit", None if i < 37 else i - 37, hashlib.sha256(body).hexdigest())
+
+
 def test_warc_round_trip(spark, tmp_path):
     r = random.Random(2)
     magic = warc.MAGIC
@@ -224,6 +247,64 @@ def test_langid(spark):
     assert {x["_lang_pred"] for x in langid.predict(df, None).collect()} == {"und"}
 
 
+def test_langid_forward_passes_and_gradients():
+    """Both forward passes agree, with a plain loop too, and the gradients are those of the loss."""
+    r = np.random.default_rng(7)
+    net = langid.ByteNet.fresh(["a", "b", "c"], 3)
+    net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    windows, labels, weight = r.integers(0, 256, (5, 24)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), np.array([1.0, 2.0, 0.5, 1.0, 1.0])
+
+    def logits(n):
+        return np.tanh(n._pooled(windows)[0]) @ n.weights["out"] + n.weights["out_bias"]
+
+    e = np.exp(logits(net))
+    assert np.allclose(net.probabilities(windows), e / e.sum(axis=1, keepdims=True))
+    embedded, at = net.weights["embedding"][windows[2]], 0
+    for width in langid.WIDTHS:
+        conv = net.weights[f"conv{width}"]
+        plain = [max(embedded[i : i + width].ravel() @ conv[:, f] for i in range(24 - width + 1)) + net.weights[f"bias{width}"][f] for f in range(langid.FILTERS)]
+        assert np.allclose(net._pooled(windows)[0][2, at : at + langid.FILTERS], plain)
+        at += langid.FILTERS
+
+    def loss():
+        z = logits(net)
+        z = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return -(weight * z[np.arange(5), labels]).sum() / 5
+
+    grads = net._gradients(windows, labels, weight)
+    for name, w in net.weights.items():
+        for _ in range(6):
+            place = tuple(r.integers(0, n) for n in w.shape) if name != "embedding" else (int(windows[r.integers(0, 5), r.integers(0, 24)]), int(r.integers(0, langid.EMBEDDED)))
+            before, step = w[place], 1e-6
+            w[place] = before + step
+            up = loss()
+            w[place] = before - step
+            down = loss()
+            w[place] = before
+            assert abs((up - down) / (2 * step) - grads[name][place]) < 1e-5, name
+
+
+def test_langid_of_awkward_rows(spark):
+    """Very long texts, repeated rows and columns named like the operator's own."""
+    r = random.Random(8)
+    text = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    rows = [(i, text("abcd " if i % 2 else "wxyz ", 200), "one" if i % 2 else "two", "x", 0.5) for i in range(120)]
+    rows += [rows[3], rows[3], (500, text("abcd ", 1_500_000), "one", None, None), (501, text("wxyz ", 700_000), None, "y", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _letter string, rank double")
+    out = langid.predict(df, langid.train(df)).collect()
+    got = {x["doc_id"]: x["_lang_pred"] for x in out}
+    assert len(out) == len(rows) and got[500] == "one" and got[501] == "two" and all(got[i] == ("one" if i % 2 else "two") for i in range(120))
+
+
+def test_lm_score_of_awkward_rows(spark):
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    df = spark.createDataFrame([(0, "a b c " * 300_000, 1, True), (1, "a b c", 2, None), (1, "a b c", 2, None)], "doc_id long, text string, block long, good boolean")
+    out = {(x["doc_id"], x["n_tokens"]) for x in lm_score.cross_entropy_difference(df, labels).collect()}
+    assert out == {(0, 900_001), (1, 4)}
+    assert lm_score.cross_entropy_difference(df.where("false"), labels).count() == 0
+    assert all(x["score"] is not None for x in lm_score.cross_entropy_difference(df, labels.where("false")).collect())
+
+
 def test_lm_score(spark):
     """Equal to plain counts over several blocks; documents of the same words in another order score apart."""
     r = random.Random(3)
@@ -355,6 +436,70 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.where("false"), labels).count() == 0
 
 
+def plain_reputation(rows, labels):
+    """Bounds of hosts by the formulas, level by level; rows are (host, labelled, bad)."""
+
+    def parts(h):
+        name = h.rsplit("@", 1)[-1].split(":")[0]
+        p = name.split(".")
+        k = 3 if ".".join(p[-2:]) in url_filter.SUFFIXES else 2
+        return (name, "") if name.replace(".", "").isdigit() and len(p) == 4 else (".".join(p[-k:]), ".".join(p[-k + 1 :]))
+
+    def add(keyed):
+        out = {}
+        for key, n, b in keyed:
+            a = out.setdefault(key, [0, 0])
+            a[0] += n
+            a[1] += b
+        return out
+
+    host = add((h, int(known), int(bad)) for h, known, bad in rows)
+    domain = add((parts(h), n, b) for h, (n, b) in host.items())
+    suffix = add((d[1], n, b) for d, (n, b) in domain.items())
+    n, b = sum(x for x, _ in suffix.values()), sum(x for _, x in suffix.values())
+
+    def level(counts, prior):
+        seen = sum(n * (b / n - prior[k]) ** 2 for k, (n, b) in counts.items() if n)
+        sampling = sum(prior[k] * (1 - prior[k]) for k, (n, _) in counts.items() if n)
+        whole = sum(n * prior[k] * (1 - prior[k]) for k, (n, _) in counts.items() if n)
+        rho = (seen - sampling) / (whole - sampling) if whole > sampling else 0
+        strength = 1000 if rho <= 0 else min(max(1 / rho - 1, 1), 1000)
+        return strength, {k: (b + strength * prior[k]) / (n + strength) for k, (n, b) in counts.items()}
+
+    _, means = level(suffix, dict.fromkeys(suffix, b / n if n else 0))
+    _, means = level(domain, {d: means[d[1]] for d in domain})
+    strength, means = level(host, {h: means[parts(h)] for h in host})
+    return {h: m - (m * (1 - m) / (host[h][0] + strength + 1)) ** 0.5 for h, m in means.items()}
+
+
+def test_url_reputation(spark):
+    """Bounds equal a plain computation; ties at the threshold are allowed; empty labels and repeated rows."""
+    r = random.Random(17)
+    hosts = [f"{a}.{b}.{c}" for a in "abc" for b in ("x", "y", "z") for c in ("com", "co.uk", "net")] + ["10.0.0.1", "10.0.0.2:80", "u@x.com", "single"]
+    rate = {h: r.random() for h in hosts}
+    rows, marks = [], []
+    for i in range(900):
+        h = r.choice(hosts)
+        bad = r.choice([None, int(r.random() < rate[h])])
+        rows.append((i, f"http://{h}/{i}"))
+        marks += [(i, 1, bad)] if bad is not None else []
+    rows += [rows[0], rows[0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    toxic = {i: t for i, _, t in marks}
+    want = plain_reputation([(u.split("/")[2], i in toxic, toxic.get(i) == 1) for i, u in rows], marks)
+    got = url_filter.filter_urls(pages, labels).collect()
+    assert len(got) == len(rows) and len(set(want.values())) > 5
+    for x in got:
+        assert abs(x["bound"] - want[x["host"]]) < 1e-6
+    assert {x["verdict"] for x in got} == {"allow", "block"}
+    edge = sorted(want.values())[len(want) // 2]
+    exact = {x["host"]: x["bound"] for x in got}
+    edge = min(exact.values(), key=lambda b: abs(b - edge))
+    assert {x["host"] for x in url_filter.filter_urls(pages, labels, threshold=edge).collect() if x["verdict"] == "block" and x["rule"] is None} == {h for h, b in exact.items() if b > edge}
+    assert {x["verdict"] for x in url_filter.filter_urls(pages, labels.where("false")).collect()} == {"allow"}
+
+
 def plain_leaks(texts, items):
     import re
 
@@ -390,6 +535,8 @@ def test_decontaminate(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = decontaminate.contaminated(docs, benchmark).collect()
     assert {(x["doc_id"], x["item_id"]) for x in got if x["doc_id"] is not None} == set(plain_leaks(texts, items))
+    long = spark.createDataFrame([(0, words(r, 150_000, 9000) + " " + items[2] + " " + words(r, 50_000, 9000), "x")], "doc_id long, text string, item string")
+    assert [(x["item_id"], x["similarity"], x["start"]) for x in decontaminate.contaminated(long, benchmark).collect()] == [(2, 1.0, 150_000)]
     clean = decontaminate.decontaminate(docs, benchmark)
     bad = {i for i, _ in plain_leaks(texts, items)}
     assert sorted({x["doc_id"] for x in clean.where("doc_id is not null").collect()}) == [i for i in range(len(texts)) if i not in bad]

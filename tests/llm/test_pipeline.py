@@ -9,6 +9,16 @@ from quillspark.llm.common import staged
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    spark.createDataFrame([(1, "some words", "en", "s", 10), (2, None, None, None, None)], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert [x["doc_id"] for x in corpus_pipeline.run(spark, f"{tmp_path}/b").collect()] == [1]
+
+
 def test_stages(spark, tmp_path):
     r = random.Random(11)
     text = lambda n: " ".join(f"word{r.randrange(5000)}" for _ in range(n))
