@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, slices, staged
 from .graph import connected_components
 
 RADIUS = 3
@@ -51,11 +51,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(key, check, fp) for each row of docs: the fingerprint as a signed long, and a hash that tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=[key, "check", "fp"])
 
-    narrow = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.col(text)).alias("check"), F.col(text).alias("text"))
+    narrow = bounded_batches(docs).select(F.col(key).cast("long").alias(key), F.xxhash64(F.col(text)).alias("check"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, f"{key} long, check long, fp long")
 
 

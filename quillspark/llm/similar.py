@@ -16,15 +16,14 @@ bucket, and only where the triangle inequality of the Jaccard distance leaves a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, slices, staged
 from .graph import connected_components
 from .simhash import SEED, fingerprint_of, links
 
@@ -56,20 +55,8 @@ def band_keys(unique: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """While a table is staged, whole texts go to Python so many rows at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         kinds, prints, sizes, bands = [], [], [], []
         for text in batch.column(2).to_pylist():
             hashes = shingle_hashes(text)
@@ -82,7 +69,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [np.unique(shingle_hashes(t)).view(np.int64) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["kind", "s"])
 
@@ -96,8 +83,7 @@ def _shingle_sets(texts: DataFrame, at: DataFrame, wanted: DataFrame, label: str
     where = staged(at.join(wanted, "kind", "left_semi"), f"{label}-at")
     same = F.col("key").eqNullSafe(F.col("k")) & (F.col("check") == F.col("c"))
     found = texts.join(F.broadcast(where) if where.count() <= BROADCAST_ROWS else where, same).select("kind", "text")
-    with _small_batches(texts.sparkSession):
-        return staged(found.mapInArrow(_sets, "kind long, s array<long>").dropDuplicates(["kind"]), f"{label}-sets")
+    return staged(found.mapInArrow(_sets, "kind long, s array<long>").dropDuplicates(["kind"]), f"{label}-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
@@ -115,9 +101,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     without words are one kind, linked with nothing else. Fewer than five words are one shingle.
     Null keys, equal keys and repeated rows take part; other columns are ignored; an empty table gives an empty one.
     """
-    narrow = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("check"), F.col(text).alias("text"))
-    with _small_batches(docs.sparkSession):
-        rows = staged(narrow.mapInArrow(_described, "key long, check long, kind long, fp long, n long, bands array<long>"), "near-rows")
+    narrow = bounded_batches(docs).select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("check"), F.col(text).alias("text"))
+    rows = staged(narrow.mapInArrow(_described, "key long, check long, kind long, fp long, n long, bands array<long>"), "near-rows")
     kinds = staged(rows.where("n > 0").groupBy("kind").agg(F.min(F.struct("key", "check")).alias("of"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-kinds")
     at = kinds.select("kind", F.col("of.key").alias("k"), F.col("of.check").alias("c"))
 
