@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import containers, conversation, learning, retrieval, steps, tables
+from quillspark.plans import parser_twins
 from quillspark.plans.registry import oracle_sql, queries, query
 from quillspark.sources import html
 from quillspark.sources.tables import messages, table
@@ -234,7 +235,7 @@ def guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.updated(kept, F.col("page_id") % 10 == 0, url=F.lit("done"))
 
 
-@query()
+@query(parser_twins.HTML_SQL)
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.html_nodes(table(spark, sf_dir, "pages"))
 

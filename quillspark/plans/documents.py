@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import chunks
+from quillspark.plans import parser_twins
 from quillspark.plans.registry import query
+from quillspark.sources import files
 from quillspark.sources import nodes as N
 from quillspark.sources.tables import table
 
@@ -33,30 +35,49 @@ def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lined(spark, sf_dir).select("doc_id", T.uniform_lines(F.col("text")).alias("line_based"))
 
 
-@query()
+@query(parser_twins.line_sql(_LINED))
 def line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.nodes(_lined(spark, sf_dir), N.line_nodes)
 
 
-@query()
+# Marks that could begin other blocks are blanked, and a table, an image and code are put behind the text.
+_MARKED = _LINED.replace(" AS text FROM", ", '|!`#', '    ') AS text FROM").replace("source, replace(", "source, translate(replace(") + ", none_ AS (SELECT 1)"
+
+
+@query(parser_twins.markdown_sql(_MARKED))
 def markdown_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _lined(spark, sf_dir).select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n"), "text").alias("text"))
+    tail = "\n\n| h | k |\n|---|---|\n| 1 | 2 |\n\n![x](p.png)\n![far](http://h/i.png)\n\n```py\nx = 1\n```\n"
+    docs = _lined(spark, sf_dir).select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n"), F.translate("text", "|!`#", "    "), F.lit(tail)).alias("text"))
     return N.nodes(docs, N.markdown_nodes)
 
 
-@query()
+@query(r"""WITH s AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), chr(10)) AS t FROM pages WHERE html IS NOT NULL), n AS (SELECT page_id, 0 AS k, t AS text, NULL AS title FROM s WHERE trim(t) <> ''
+  UNION ALL SELECT page_id, 1, '# head' || chr(10) || 'class A' || page_id || ':', 'A' || page_id FROM s UNION ALL SELECT page_id, 2, '    def f(self):' || chr(10) || '        pass', 'A' || page_id || ' > f' FROM s UNION ALL SELECT page_id, 3, 'def g' || page_id || '(x):' || chr(10) || '    return x', 'A' || page_id || ' > g' || page_id FROM s)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS pos, 'code' AS type, text, NULL::INT AS level, title AS title_path, NULL::VARCHAR AS language, NULL::VARCHAR AS group_id FROM n""")
 def code_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scripts of a page are its code."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), 1), "\n").alias("text"))
-    return N.nodes(pages, N.code_nodes, key="page_id")
+    """The scripts of a page are its code, followed by a class with a method and a function."""
+    scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), 1), "\n")
+    more = F.expr(r"concat('\n\n# head\nclass A', page_id, ':\n    def f(self):\n        pass\n\ndef g', page_id, '(x):\n    return x\n')")
+    return N.nodes(table(spark, sf_dir, "pages").select("page_id", F.concat(scripts, more).alias("text")), N.code_nodes, key="page_id")
+
+
+@query(f"""SELECT page_id AS doc_id, 'html' AS document_type, * EXCLUDE (page_id) FROM ({parser_twins.HTML_SQL}) UNION ALL SELECT -doc_id - 1, 'linebased', * EXCLUDE (doc_id) FROM ({parser_twins.line_sql(_LINED)})""")
+def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and documents, known by their extensions, each by its parser."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("a/b.HTML").alias("path"), F.col("html").alias("text"))
+    docs = _lined(spark, sf_dir).select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("a.TXT").alias("path"), "text")
+    return files.parsed(pages.unionByName(docs))
+
+
+_OF_LINES = parser_twins.chunked(f"r AS ({parser_twins.line_sql(_LINED)})")
 
 
-@query()
+@query(f"WITH RECURSIVE {_OF_LINES} SELECT doc_id, sort_order, chunk_level, parent_order, chunk_level = 2 AS searchable, title_path, nodes, text FROM made")
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunks(line_nodes(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_OF_LINES}, {parser_twins.CONTEXT} SELECT doc_id, sort_order, chunk_level, parent_order, chunk_level = 2 AS searchable, title_path, nodes, text, context FROM made JOIN context USING (doc_id, sort_order)")
 def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.with_context(document_chunks(spark, sf_dir))
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import chunks, containers, ingest, learning, steps, tables, trees
 from quillspark.operators import nodes as N
+from quillspark.plans import parser_twins
 from quillspark.plans.registry import query
-from quillspark.sources import files
 from quillspark.sources.tables import messages, table
 from quillspark.streaming import requests
 
@@ -137,6 +137,26 @@ def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.merged_small(made, 40, 60)
 
 
+# Line items stand for the nodes of an order, some of them over the budget alone, some of a group.
+_SIZED = {"doc_id": "l_orderkey", "pos": "l_linenumber", "text": "repeat('x', CAST(q * 8 AS INT))", "title_path": "concat('t', CAST(l_linenumber AS VARCHAR(9)))", "group_id": "CASE WHEN f = 'N' THEN NULL ELSE f END"}
+_CHUNKED = parser_twins.chunked(_cte('r', '(SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, min(l_returnflag) AS f FROM lineitem GROUP BY ALL)', _SIZED))
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    return chunks.chunks(rows.select(*(F.expr(e).alias(c) for c, e in _SIZED.items())))
+
+
+@query(f"WITH RECURSIVE {_CHUNKED} SELECT doc_id, sort_order, chunk_level, parent_order, chunk_level = 2 AS searchable, title_path, nodes, md5(text) AS digest FROM made")
+def node_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir).withColumn("digest", F.md5("text")).drop("text")
+
+
+@query(f"WITH RECURSIVE {_CHUNKED}, {parser_twins.CONTEXT} SELECT doc_id, sort_order, md5(context) AS digest FROM context")
+def node_chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.with_context(_chunked(spark, sf_dir)).select("doc_id", "sort_order", F.md5("context").alias("digest"))
+
+
 @query("SELECT 'files' AS what, count(*) AS n FROM pages WHERE page_id % 9 <> 2 UNION ALL SELECT 'chunks', count(*) FROM documents WHERE doc_id % 300 NOT IN (SELECT page_id FROM pages WHERE page_id % 9 = 2) UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id % 300 NOT IN (SELECT page_id FROM pages WHERE page_id % 9 = 2)")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left after files are deleted with their chunks and vectors."""
@@ -422,14 +442,6 @@ def directory_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.directory(table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))).select("path", "folder", "rank")
 
 
-@query()
-def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and documents by the parser of their detected type."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("x").alias("path"), F.col("html").alias("text"))
-    docs = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, "a.TXT").otherwise("b.md").alias("path"), "text")
-    return files.parsed(pages.unionByName(docs))
-
-
 @query("SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN 'refused' WHEN page_id % 4 = 1 THEN 'stale' ELSE 'written' END AS result, md5(CASE WHEN page_id % 4 > 1 THEN 'new' ELSE html END) AS digest FROM pages")
 def workspace_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes to workspace files: refused outside the folder, stale where time or size differ from what was read."""
