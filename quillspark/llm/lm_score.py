@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch_path, staged
+from .common import bounded_batches, scratch_path, slices, staged
 
 #: Weight of the next shorter context's estimate, in observations.
 PRIOR = 4.0
 #: Target keys broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Bytes of text in a block, and for which one bucket of n-grams is summed; neither changes a score.
+#: Characters of text in a block, and for which one bucket of n-grams is summed; neither changes a score.
 BLOCK = 6 << 20
 BUCKET = 8 << 20
 #: Scripts written without spaces, a word being a character there.
@@ -47,45 +47,45 @@ def _targets(labels: DataFrame) -> DataFrame:
     return F.broadcast(good) if good.count() <= BROADCAST_KEYS else good
 
 
-def _shrunk(numbers: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, compressed."""
-    return pa.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+def _shrunk(numbers: np.ndarray, width: int = 8) -> bytes:
+    """Numbers of ``width`` bytes byte plane by byte plane, compressed."""
+    return pa.compress(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _grown(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
-
-
-class _Hashes(dict):
-    """Hashes of words; small numbers are kept for the marks."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 4
-        return found
+def _grown(raw: bytes, n: int, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=width * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, at, load, size = TaskContext.get().partitionId(), 0, [], 0
+    """Texts as words, once: a block's documents (key, good, n), the hashes of its distinct words, and its words as numbers of these."""
+    task, at, size = TaskContext.get().partitionId(), 0, 0
+    rows: list[tuple] = []
+    words: dict[str, int] = {}
+    ids: list[np.ndarray] = []
 
     def block() -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, load[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
-            out.write_table(pa.Table.from_batches(load).combine_chunks())
-        row = [pa.array([(task << 32) | at], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(row, names=["block", "size", "docs"])
-
-    for batch in batches:
-        for start in range(0, batch.num_rows, 100):
-            part = batch.slice(start, 100)
-            load.append(part)
-            size += part.nbytes
+        docs = pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["key", "good", "n"])
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(docs)
+        # Small numbers are kept for the marks.
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) | 4 for w in words), np.uint64, len(words))
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+        row = [pa.array([(task << 32) | at], pa.int64()), pa.array([len(flat)], pa.int64()), *(pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), hashes.tobytes(), _shrunk(flat, 4)))]
+        return pa.RecordBatch.from_arrays(row, names=["block", "n", "docs", "words", "ids"])
+
+    for batch in slices(batches):
+        for key, text, good in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found = WORD.findall(text) if text is not None else []
+            rows.append((key, good, 0 if text is None else len(found) + 1))
+            if found:
+                ids.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found)))
+            size += len(text or "")
             if size >= BLOCK:
                 yield block()
-                load, size, at = [], 0, at + 1
-    if load:
+                rows, words, ids, size, at = [], {}, [], 0, at + 1
+    if rows:
         yield block()
 
 
@@ -95,24 +95,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _read(raw: bytes, hashes: _Hashes, bits: int):
+def _read(block: dict, bits: int):
     """A block's document keys, numbers of predicted words (0 for a null text), and n-grams of orders 1, 2, 3 by position.
 
     A text stands as two start marks, its words and an end mark. The first mark has no n-grams,
     the second has none of order 3 (0 there): it is a context, but not predicted.
     """
-    docs = pa.ipc.open_stream(raw).read_all()
-    texts, keys = docs.column("text"), docs.column("key").to_pylist()
-    good = np.array(docs.column("good").to_pylist(), dtype=bool)
-    n, words = np.zeros(len(keys), dtype=np.int64), []
-    for i, text in enumerate(texts):
-        if (text := text.as_py()) is not None:
-            found = WORD.findall(text)
-            n[i] = len(found) + 1
-            words += [np.array([START, START]), np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)), np.array([END])]
-    x = np.concatenate(words) if words else np.zeros(0, dtype=np.uint64)
+    docs = pa.ipc.open_stream(block["docs"]).read_all()
+    keys, n = docs.column("key").to_pylist(), docs.column("n").to_numpy()
+    good = docs.column("good").to_numpy()
     length = np.where(n > 0, n + 2, 0)
-    first = (np.cumsum(length) - length)[n > 0]
+    ends = np.cumsum(length)[n > 0]
+    first = ends - length[n > 0]
+    x = np.zeros(int(length.sum()), dtype=np.uint64)
+    x[first], x[first + 1], x[ends - 1] = START, START, END
+    x[x == 0] = np.frombuffer(block["words"], dtype=np.uint64)[_grown(block["ids"], block["n"], 4)]
     one = _mixed(x * np.uint64(3) + np.uint64(1))
     two = _mixed(np.roll(one, 1) * np.uint64(5) + one)
     three = _mixed(np.roll(two, 1) * np.uint64(7) + one)
@@ -144,13 +141,12 @@ def _edges(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
 
 def _sent(parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, n, orders, good = _read(raw.as_py(), hashes, bits)
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                _, n, orders, good = _read({c: batch.column(c)[i].as_py() for c in ("n", "docs", "words", "ids")}, bits)
                 keys, b, t = _distinct(n, orders, good)
                 edges = _edges(keys, parts, bits)
-                rows = [(k, block, j - i, _shrunk(np.diff(keys[i:j], prepend=np.uint64(0))), _shrunk(b[i:j]), _shrunk(t[i:j])) for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
+                rows = [(k, block, z - a, _shrunk(np.diff(keys[a:z], prepend=np.uint64(0))), _shrunk(b[a:z]), _shrunk(t[a:z])) for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
                 yield pa.RecordBatch.from_pylist([dict(zip(SENT.names, row, strict=True)) for row in rows], schema=SENT)
 
     return run
@@ -186,7 +182,7 @@ def _places(grams: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def _scored(docs: pa.Table, back: pa.Table, bits: int) -> pa.Table:
     """Losses of a block's documents by the counts of the whole corpus."""
-    keys, n, orders, good = _read(docs.column("docs")[0].as_py(), _Hashes(), bits)
+    keys, n, orders, good = _read({c: docs.column(c)[0].as_py() for c in ("n", "docs", "words", "ids")}, bits)
     grams, _, _ = _distinct(n, orders, good)
     back = back.sort_by("bucket")
     sizes = back.column("n").to_pylist()
@@ -243,7 +239,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc
     parts = max(3, int(size // BUCKET).bit_length())
     flagged = rows.join(_targets(labels).withColumn("good", F.lit(True)), "key", "left").select("key", "text", F.coalesce("good", F.lit(False)).alias("good"))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (4 * BLOCK))
-    packed = _bucketed(flagged.mapInArrow(_blocks, "block long, size long, docs binary").select("block", "docs"), min(buckets, 100_000))
+    packed = _bucketed(flagged.mapInArrow(_blocks, "block long, n long, docs binary, words binary, ids binary"), min(buckets, 100_000))
     sent = packed.mapInArrow(_sent(parts, bits), "bucket int, block long, n long, grams binary, b binary, t binary")
     back = sent.groupBy("bucket").applyInArrow(_summed, "block long, bucket int, n long, b binary, t binary")
     found = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_word_scores(bits), "key long, n_tokens long, loss_target double, loss_background double")
