@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+
 BUDGET, SEPARATOR = 450, 2
 
 
@@ -76,3 +78,52 @@ def merged_small(made: DataFrame, least: int, most: int = 800, key: str = "doc_i
     numbered = flat.withColumn("sort_order", F.row_number().over(Window.partitionBy(key).orderBy("_old")) - 1)
     heirs = numbered.select(key, F.col("_old").alias("_parent"), F.col("sort_order").alias("parent_order"))
     return numbered.join(heirs, [key, "_parent"], "left").select(key, "sort_order", "chunk_level", "parent_order", "text")
+
+
+#: Kinds that a chunk brings along and keeps.
+STRUCTURED = ("code", "table", "image", "formula")
+
+
+def classified(made: DataFrame) -> DataFrame:
+    return made.withColumn("chunk_type", F.when(F.col("chunk_type").isin(*STRUCTURED), F.col("chunk_type")).otherwise(T.chunk_type(F.coalesce("text", F.lit("")))))
+
+
+def titled(made: DataFrame) -> DataFrame:
+    """A title from the text's first heading where there is none."""
+    return made.withColumn("title_path", F.coalesce(F.nullif("title_path", F.lit("")), T.title_of(F.col("text"))))
+
+
+def prefixed(prefixes: DataFrame, key: str = "id"):
+    """Context prefixes (key, prefix) for weak chunks that have none."""
+
+    def step(made: DataFrame) -> DataFrame:
+        weak = (F.col("chunk_type") == "weak") & (F.coalesce(F.trim("context_prefix"), F.lit("")) == "")
+        joined = made.join(prefixes.withColumnRenamed("prefix", "_p"), key, "left")
+        return joined.withColumn("context_prefix", F.when(weak, F.col("_p")).otherwise(F.col("context_prefix"))).drop("_p")
+
+    return step
+
+
+def indexed(made: DataFrame) -> DataFrame:
+    """The search text: the words of prefix, title and text."""
+    return made.withColumn("ts_content", F.array_join(T.segments(F.concat_ws(" ", "context_prefix", "title_path", "text")), " "))
+
+
+def flagged(made: DataFrame) -> DataFrame:
+    """A flag that isn't set is true for children alone."""
+    return made.withColumn("searchable", F.coalesce("searchable", F.coalesce(F.col("chunk_level") == 2, F.lit(False))))
+
+
+def embedded(made: DataFrame) -> DataFrame:
+    """What is embedded, for searchable chunks."""
+    return made.withColumn("embedding_text", F.when(F.col("searchable"), T.embedding_text(F.col("context_prefix"), F.col("title_path"), F.lit(""), F.col("text"))))
+
+
+def handled(made: DataFrame, steps: list) -> DataFrame:
+    """made after each (order, step), lowest order first. A step that gives None ends the chain; an error in one ends the job."""
+    for _, step in sorted(steps, key=lambda s: s[0]):
+        after = step(made)
+        if after is None:
+            break
+        made = after
+    return made

@@ -50,6 +50,14 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_recall(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir))
 
 
+@query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)
+SELECT query, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], v), 6) DESC, vec_id) <= 20""")
+def dense_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector as a query against all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.dense_recall_many(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @query(f"WITH {_DENSE} SELECT id, score, lang, source FROM dense LEFT JOIN documents ON doc_id = id")
 def dense_join_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
@@ -89,8 +97,13 @@ def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS cleaned FROM documents")
 def strip_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wrapped = F.concat(F.lit("<think>plan</think>"), F.col("text"), F.lit("\n[thinking] left open"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.strip_reasoning(wrapped).alias("cleaned"))
+    """Texts in every kind of wrapper: pairs of tags, brackets and dashes, several at once, one left open, none."""
+    text = F.col("text")
+    made = [
+        F.concat(F.lit("<think>plan</think>"), text, F.lit("\n[thinking] left open")), F.concat(F.lit("[REASONING]a\nb[/Reasoning] "), text), F.concat(text, F.lit(" ---thought---x---/thought---")),
+        F.concat(F.lit("<thought>a</thought>[think]b[/think]"), text, F.lit("<Thinking>c")), text,
+    ]
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_reasoning(F.coalesce(*(F.when(F.col("doc_id") % 5 == i, m) for i, m in enumerate(made)))).alias("cleaned"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) < 50 OR (len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 15 AND NOT contains(text, '.')) THEN 'weak' ELSE 'general' END AS chunk_type FROM conversations")

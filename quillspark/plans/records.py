@@ -157,6 +157,24 @@ def node_chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.with_context(_chunked(spark, sf_dir)).select("doc_id", "sort_order", F.md5("context").alias("digest"))
 
 
+_HANDLED = {"id": "doc_id", "text": "CASE WHEN doc_id % 3 = 0 THEN concat('# T', CAST(doc_id AS VARCHAR(9)), '\n', text) ELSE left(text, doc_id % 90) END", "title_path": "CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END", "chunk_type": "CASE WHEN doc_id % 7 = 0 THEN 'table' ELSE 'node_based' END",
+            "context_prefix": "CASE WHEN doc_id % 5 = 0 THEN 'own' ELSE NULL END", "chunk_level": "CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE 2 END", "searchable": "CASE WHEN doc_id % 11 = 0 THEN false ELSE NULL END"}
+
+
+@query(rf"""WITH {_cte('c', 'documents', {k: v.replace(chr(92) + 'n', "' || chr(10) || '") for k, v in _HANDLED.items()})},
+t AS (SELECT *, CASE WHEN chunk_type = 'table' THEN 'table' WHEN contains(x, '```') THEN 'code' WHEN regexp_matches(x, '(?m)^\|.*\|') THEN 'table' WHEN regexp_matches(x, '(?m)^(Q|A)[:：]') THEN 'qa' WHEN regexp_matches(x, '(?m)^#{{1,6}}\s') THEN 'heading'
+  WHEN length(x) < 50 OR (len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) < 15 AND NOT contains(x, '.')) THEN 'weak' ELSE 'general' END AS kind, coalesce(nullif(title_path, ''), CASE WHEN id % 3 = 0 AND text IS NOT NULL THEN 'T' || id END) AS title FROM (SELECT *, coalesce(text, '') AS x FROM c)),
+p AS (SELECT *, CASE WHEN kind = 'weak' AND context_prefix IS NULL THEN CASE WHEN id % 2 = 0 THEN 'near ' || id END ELSE context_prefix END AS prefix, coalesce(searchable, coalesce(chunk_level = 2, false)) AS flag FROM t)
+SELECT id, kind AS chunk_type, title AS title_path, prefix AS context_prefix, flag AS searchable, array_to_string(regexp_extract_all(lower(concat_ws(' ', prefix, title, text)), '[\p{{L}}0-9]+'), ' ') AS ts_content,
+  CASE WHEN flag THEN regexp_replace(coalesce(nullif(prefix, '') || ' ', '') || coalesce(nullif(title, '') || ' ', '') || x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') END AS embedding_text FROM p""")
+def handled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks through all handlers: kind, title, prefix, search text, flag, embedded text."""
+    made = _view(spark, sf_dir, "documents", _HANDLED)
+    prefixes = made.where("id % 2 = 0").select("id", F.concat(F.lit("near "), F.col("id").cast("string")).alias("prefix"))
+    steps_ = [(5, chunks.embedded), (0, chunks.classified), (2, chunks.prefixed(prefixes)), (1, chunks.titled), (4, chunks.flagged), (3, chunks.indexed)]
+    return chunks.handled(made, steps_).drop("text", "chunk_level")
+
+
 @query("SELECT 'files' AS what, count(*) AS n FROM pages WHERE page_id % 9 <> 2 UNION ALL SELECT 'chunks', count(*) FROM documents WHERE doc_id % 300 NOT IN (SELECT page_id FROM pages WHERE page_id % 9 = 2) UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id % 300 NOT IN (SELECT page_id FROM pages WHERE page_id % 9 = 2)")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left after files are deleted with their chunks and vectors."""
