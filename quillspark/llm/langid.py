@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .common import bounded_batches, slices, staged
+
 WINDOW = 256
 EMBEDDED = 8
 WIDTHS = (2, 3, 4)
@@ -117,7 +119,7 @@ def windows_of(raw: bytes) -> np.ndarray:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """WINDOWS_A_DOC windows spread evenly over each text."""
-    for batch in batches:
+    for batch in slices(batches):
         langs, rows = [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             whole = windows_of(text.encode("utf-8", "surrogatepass"))
@@ -134,11 +136,21 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """A network that knows the non-null values of lang; None where there are none.
 
     It is fitted on a bounded sample: of each language the docs_a_language documents of the smallest
-    hashed keys, and WINDOWS_A_DOC windows of each, so that it costs the same at any size.
+    hashed keys, and WINDOWS_A_DOC windows of each, so that it costs the same at any size. Rows with a null key are never sampled.
     """
-    useful = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(_HAS_LETTER)).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("key").cast("string")), "key"))
-    chosen = useful.select("key", "lang").withColumn("rank", rank).where(F.col("rank") <= docs_a_language).select("key", "lang").distinct()
+    useful = bounded_batches(labelled).where(F.col(lang).isNotNull() & F.col(text).rlike(_HAS_LETTER)).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    hashed = useful.where("key is not null").select("key", "lang", F.md5(F.col("key").cast("string")).alias("hash"))
+    # Of a large language only keys whose hash is below a bound are ranked, so that no task's rows grow with the table.
+    counts = bounded_batches(labelled).where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    share = (docs_a_language + 10 * docs_a_language**0.5 + 100) / F.col("n")
+    place = F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / 2**32
+    low = staged(hashed.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(place <= F.col("share")).select("key", "lang", "hash", (F.col("share") >= 1).alias("all")), "lang-sample")
+    enough = low.groupBy("lang").agg(F.count("*").alias("n"), F.max("all").alias("all")).where(F.col("all") | (F.col("n") >= docs_a_language)).select("lang")
+    # Languages most of whose texts have no letter may have too few: those are ranked whole.
+    rest = hashed.join(F.broadcast(enough), "lang", "left_anti")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "key"))
+    chosen = low.join(F.broadcast(enough), "lang", "left_semi").select("key", "lang", "hash").unionAll(rest.select("key", "lang", "hash"))
+    chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= docs_a_language).select("key", "lang").distinct()
     # At most docs_a_language keys a language: small by construction.
     rows = useful.join(F.broadcast(chosen), ["key", "lang"]).select("lang", "text").mapInArrow(_sampled, "lang string, window binary").collect()
     if not rows:
@@ -151,7 +163,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 def _predicted(net: ByteNet, step: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+        for batch in slices(batches):
             count = len(batch.schema.names) - 2
             texts, letters = batch.column(count).to_pylist(), batch.column(count + 1).to_pylist()
             sums = np.zeros((len(texts), len(net.classes)))
@@ -188,15 +200,16 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def predict(docs: DataFrame, net: ByteNet | None, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs (without the text, unless it is kept) with _lang_pred and _score.
+    """docs (without the text, unless it is kept) with _lang_pred and _score, which replace columns of these names.
 
     A text that is null or has no letter is ``und`` with score 0, as is all where nothing was learned. Whole texts are read, whatever their length.
     """
-    rest = [c for c in docs.columns if c != text]
-    ordered = docs.select(*rest, F.col(text))
+    rest = [c for c in docs.columns if c not in (text, "_lang_pred", "_score")]
+    ordered = bounded_batches(docs).select(*rest, F.col(text))
+    letter = "_letter" + "_" * max(map(len, docs.columns))  # no column's name
     if net is None:
         out = ordered.withColumns({"_lang_pred": F.lit(UNKNOWN), "_score": F.lit(0.0)})
     else:
         schema = StructType(ordered.schema.fields).add("_lang_pred", StringType()).add("_score", DoubleType())
-        out = ordered.withColumn("_letter", F.coalesce(F.col(text).rlike(_HAS_LETTER), F.lit(False))).mapInArrow(_predicted(net), schema)
+        out = ordered.withColumn(letter, F.coalesce(F.col(text).rlike(_HAS_LETTER), F.lit(False))).mapInArrow(_predicted(net), schema)
     return out if keep_text else out.drop(text)
