@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, slices, staged
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -82,7 +82,7 @@ def _pieces(json: str, ranks: str, capacity: int, keep_ids: bool):
         tokenizer = _tokenizers.get((json, ranks)) or _tokenizers.setdefault((json, ranks), Tokenizer(json, ranks))
         part, seen = TaskContext.get().partitionId(), Counter()
         end = np.array([SEPARATOR], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tokenizer.ids(text or "") + end
@@ -184,7 +184,7 @@ def _places(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ..
 
 def _placed(places: dict[int, tuple[np.ndarray, ...]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.zeros_like(rank), np.zeros_like(rank)
             for x in np.unique(length):
@@ -208,13 +208,14 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     """
     json, ranks = json or public_tokenizers.path(JSON), ranks or public_tokenizers.path(RANKS)
     schema = "key long, piece int, start long, length long, ids_crc32 long, part int, k long, ids array<int>"
-    cut = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_pieces(json, ranks, capacity, keep_ids), schema)
+    cut = bounded_batches(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_pieces(json, ranks, capacity, keep_ids), schema)
     pieces = staged(cut if keep_ids else cut.drop("ids"), "pieces")
     sizes = staged(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-sizes")
     plan = packing_plan({r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("k") + F.col("base"))
+    # The bases grow with lengths times parts, so they are joined by a shuffle of narrow rows and never broadcast.
+    ranked = pieces.join(bases.hint("merge"), ["length", "part"]).withColumn("rank", F.col("k") + F.col("base"))
     columns = [*("key", "piece", "start", "length", "ids_crc32"), *(["ids"] if keep_ids else [])]
     types = {"key": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "ids": "array<int>"}
     out = ranked.select(*columns, "rank").mapInArrow(_placed(_places(plan)), ", ".join(f"{c} {types[c]}" for c in columns) + ", sequence_id long, offset long")
