@@ -218,11 +218,13 @@ def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
     """blocks written to the shared folder in buckets of ``block``: a group of it needs no shuffle."""
     spark, name = blocks.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
     blocks.write.format("parquet").bucketBy(buckets, "block").option("path", scratch_path(spark, "lm-blocks")).saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name only: the files are scratch like any other, and the plan knows them
+    return found
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: key, n_tokens, loss_target, loss_background, score (target less background).
+    """One row for each row of docs: key, score (target less background), loss_target, loss_background, n_tokens.
 
     labels: (doc_id, quality); a document is a target if any label of its key has quality 1. A null
     text has no tokens and null losses; an empty one has the end mark alone. Rows with null keys
@@ -243,4 +245,4 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc
     sent = packed.mapInArrow(_sent(parts, bits), "bucket int, block long, n long, grams binary, b binary, t binary")
     back = sent.groupBy("bucket").applyInArrow(_summed, "block long, bucket int, n long, b binary, t binary")
     found = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_word_scores(bits), "key long, n_tokens long, loss_target double, loss_background double")
-    return found.select(F.col("key").alias(key), "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+    return found.select(F.col("key").alias(key), (F.col("loss_target") - F.col("loss_background")).alias("score"), "loss_target", "loss_background", "n_tokens")

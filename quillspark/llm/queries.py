@@ -41,7 +41,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "n_tokens", *(F.round(c, 9).alias(c) for c in ("loss_target", "loss_background", "score")))
+    return scored.select("doc_id", *(F.round(c, 9).alias(c) for c in ("score", "loss_target", "loss_background")), "n_tokens")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
