@@ -6,8 +6,10 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+_kept = threading.local()
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def scratch_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    for made in getattr(_kept, "scopes", ()):
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables that this thread makes inside are removed at its end, but for those taken off the list. Nothing that still reads them may be left."""
+    scopes = _kept.__dict__.setdefault("scopes", [])
+    made: list[str] = []
+    scopes.append(made)
+    try:
+        yield made
+    finally:
+        scopes.remove(made)
+        for path in made:
+            found = spark._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and a lost executor loses nothing."""
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,7 +73,8 @@ BATCH_BYTES = 8 << 20
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, after its session's Arrow batches were bounded to BATCH_BYTES, unless they were already set smaller. Results don't depend on it."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get(name).strip().lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > BATCH_BYTES:
         conf.set(name, f"{BATCH_BYTES}b")
     return df
 

@@ -431,12 +431,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, sizes, runs = [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            merged: list[list[int]] = []
-            for s in sorted((s["start"], s["end"]) for s in spans or ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append(list(s))
+            merged = _merged(spans or [])
             edges = [0, *(x for m in merged for x in m), len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             sizes.append(len(raw))
@@ -461,13 +456,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     return done.select(F.when(~F.col("none"), F.col("k")).alias(key), "c", "n_bytes", "kept", "removed")
 
 
-def _cut_text(text: str | None, spans: list) -> str | None:
-    """The text without the spans, each narrowed to whole characters."""
+def _merged(spans: list) -> list[list[int]]:
+    """Overlapping and touching spans as one."""
+    out: list[list[int]] = []
+    for s in sorted((x["start"], x["end"]) for x in spans):
+        if out and s[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s[1])
+        else:
+            out.append(list(s))
+    return out
+
+
+def _cut_text(text: str | None, spans: list, words: int = 0) -> str | None:
+    """The text without the spans of at least so many words, each narrowed to whole characters."""
     if not text or not spans:
         return text
     raw = text.encode("utf-8", "surrogatepass")
     kept, at = [], 0
-    for s, e in sorted((x["start"], x["end"]) for x in spans):
+    for s, e in _merged(spans):
+        if words and len(raw[s:e].split()) < words:
+            continue
         while s < len(raw) and raw[s] & 0xC0 == 0x80:
             s += 1
         while e < len(raw) and raw[e] & 0xC0 == 0x80:
@@ -479,8 +487,8 @@ def _cut_text(text: str | None, spans: list) -> str | None:
     return b"".join(kept).decode("utf-8", "surrogatepass")
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """docs, all rows and columns, with repeated passages cut out of the text."""
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, bucket: int = BUCKET, words: int = 0) -> DataFrame:
+    """docs, all rows and columns, with repeated passages cut out of the text; runs of fewer than ``words`` words stay."""
     columns = docs.columns
     place = columns.index(text)
     of, none = F.col(text), F.col(key).isNull()
@@ -491,7 +499,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [_cut_text(t, s) for t, s in zip(batch.column(place).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            texts = [_cut_text(t, s, words) for t, s in zip(batch.column(place).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(columns))], names=columns)
 
     return rows.mapInArrow(run, docs.schema)

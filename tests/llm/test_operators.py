@@ -284,6 +284,21 @@ def test_langid_forward_passes_and_gradients():
             assert abs((up - down) / (2 * step) - grads[name][place]) < 1e-5, name
 
 
+def test_langid_sample(spark, monkeypatch):
+    """The sample is the documents of the smallest hashed keys of each language, a language of few texts with letters among them."""
+    rows = [(i, "uvw" if i % 3 else ("abc" if i % 30 == 0 else "123"), "aa" if i % 3 else "bb") for i in range(6000)]
+    df = spark.createDataFrame([*rows, (None, "abc", "cc"), (7000, "abc", "dd")], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid.ByteNet, "train", lambda net, windows, labels: seen.append((net.classes, np.bincount(labels).tolist(), windows)) or net)
+    langid.train(df, docs_a_language=50)
+    classes, counts, windows = seen[0]
+    assert classes == ["aa", "bb", "dd"] and counts == [50, 50, 1]
+    texts = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{i}", "aa") for i in range(3000)], "doc_id long, text string, lang string")
+    langid.train(texts, docs_a_language=20)
+    want = sorted(range(3000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:20]
+    assert sorted(w.tobytes().rstrip(b"\0") for w in seen[1][2]) == sorted(f"{chr(97 + i % 26)}{i}".encode() for i in want)
+
+
 def test_langid_of_awkward_rows(spark):
     """Very long texts, repeated rows and columns named like the operator's own."""
     r = random.Random(8)
@@ -339,10 +354,10 @@ def test_lm_score(spark):
         w = tokens(x) if x is not None else []
         of = [sum(loss(c, *w[i - 2 : i + 1]) for i in range(2, len(w))) / (len(w) - 2) if w else None for c in (t, b)]
         want.append((k, max(0, len(w) - 2), *of))
-    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    order = lambda x: (x[0] is None, x[0] or 0, x["n_tokens"] if hasattr(x, "n_tokens") else x[1])
     got = lm_score.cross_entropy_difference(df, labels).collect()
     for x, y in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
-        assert tuple(x)[:2] == y[:2] and (x["score"] is None) == (y[2] is None)
+        assert (x["doc_id"], x["n_tokens"]) == y[:2] and (x["score"] is None) == (y[2] is None)
         assert y[2] is None or (abs(x["loss_target"] - y[2]) < 1e-9 and abs(x["loss_background"] - y[3]) < 1e-9)
 
     same = [(0, "ab cd. ef gh. " * 5), (1, "ef cd. ab gh. " * 5), (2, "ab cd. ef gh. "), (3, "ef cd. ab gh. ")]

@@ -1,10 +1,11 @@
 """The pipeline, stage by stage and as a whole."""
 
+import os
 import random
 from collections import Counter
 
 import corpus_pipeline
-from quillspark.llm.common import staged
+from quillspark.llm.common import shared_dir, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,3 +46,14 @@ def test_stages(spark, tmp_path):
     assert left[35]["n_chars"] == len(left[35]["text"])
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in packed} == set(left)
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    """Of all that the stages wrote only the last one's input and the last one's own tables are left."""
+    docs = spark.createDataFrame([(i, f"some words of text number {i} " * 20, "en", "s", 10) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "other words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file://")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 8
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(top)) - before} == {"decontamination", "pieces", "piece-sizes"}
