@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, langid, packing, similar, suffix_dedup
-from quillspark.llm.common import staged, table
+from quillspark.llm.common import scratch, scratch_path, staged, table
 
 
-#: Bytes of a repeated passage that is cut, and of the strings its anchors are chosen by. 99 of 100 passages of 51 words are longer.
-PASSAGE, PASSAGE_GRAM = 240, 60
+#: Bytes that a repeated passage has at least, of the strings its anchors are chosen by, and the words that a cut run has at least. 99 of 100 passages of 51 words are longer.
+PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 240, 60, 50
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of PASSAGE bytes that repeat out of the texts, as far as whole characters go; documents stay, n_chars follows."""
-    return suffix_dedup.without_repeats(docs, span=PASSAGE, gram=PASSAGE_GRAM).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0)).cast("long"))).select(*docs.columns)
+    """Cuts passages of PASSAGE bytes that repeat out of the texts, in runs of PASSAGE_WORDS words or more, as far as whole characters go; documents stay, n_chars follows."""
+    return suffix_dedup.without_repeats(docs, span=PASSAGE, gram=PASSAGE_GRAM, words=PASSAGE_WORDS).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0)).cast("long"))).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order. A stage's scratch tables are removed when its rows are written, and the rows it read when it was the last to read them."""
     docs = table(spark, sf_dir, "documents")
+    outputs: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        outputs.append(scratch_path(spark, name))
+        with scratch(spark) as made:
+            docs = staged(stage(spark, docs, sf_dir), name, outputs[-1])
+            made += outputs[-2:-1]
     return STAGES[-1][1](spark, docs, sf_dir)
