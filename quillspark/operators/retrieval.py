@@ -115,8 +115,19 @@ def keyword_recall(docs: DataFrame, words: list[str], n: int = RECALL, key: str
     return best.withColumn("any_every", any_every).where("every or not any_every").select("id", "score")
 
 
+#: Rows of results that are held by the driver at most; more stay a query.
+HELD = 10_000
+
+
+def held(results: DataFrame) -> DataFrame:
+    """A few results as a local table, so that what found them isn't run again for each use. More than HELD rows are returned as they came."""
+    rows = results.take(HELD + 1)
+    return results if len(rows) > HELD else results.sparkSession.createDataFrame(rows, results.schema)
+
+
 def looked_up(top: DataFrame, rows: DataFrame, on: str) -> DataFrame:
     """A left join of a few results with a large table of unique keys: the table is only scanned, for the results' keys."""
+    top = held(top)
     wanted = top.where(F.col(on).isNotNull()).select(on).distinct()  # as few as the results
     return top.join(F.broadcast(rows.join(F.broadcast(wanted), on, "left_semi")), on, "left")
 
@@ -158,6 +169,7 @@ def expanded_to_parents(scored: DataFrame, chunks: DataFrame) -> DataFrame:
     A child whose parent is null or missing from chunks (id, type, title, text) stands for itself. The candidates are
     recall-sized and so are their parents, so both are broadcast and the chunks are only scanned.
     """
+    scored = held(scored)
     wanted = scored.where("parent is not null").select(F.col("parent").alias("id")).distinct()
     found = chunks.join(F.broadcast(wanted), "id", "left_semi").select(F.col("id").alias("parent"), F.lit(True).alias("_found"), *(F.col(c).alias(f"_{c}") for c in ("type", "title", "text")))
     joined = scored.join(F.broadcast(found), "parent", "left").withColumn("_key", F.when(F.col("_found"), F.col("parent")).otherwise(F.col("id")))
