@@ -1,5 +1,6 @@
 """DuckDB twins of the corpus queries that SQL can express."""
 
+from .filter_audit import ORDERS
 from .url_filter import SUFFIXES
 
 OP1 = """WITH RECURSIVE poly AS (
@@ -143,4 +144,15 @@ shared AS (SELECT r, item_id, start, m, least(m, size) AS n, h, least(count(*),
 likeness AS (SELECT r, item_id, start, sum(c)::DOUBLE / (m + n - sum(c)) AS similarity FROM shared GROUP BY r, item_id, start, m, n)
 SELECT doc_id, item_id, max(similarity) AS similarity, min(start) FILTER (similarity = best)::INT AS start, count(*) AS windows FROM (SELECT *, max(similarity) OVER (PARTITION BY r, item_id) AS best FROM likeness WHERE similarity >= 0.8) JOIN docs USING (r) GROUP BY r, doc_id, item_id"""
 
-SQL = {"op1_sharding": OP1, "op2_warc": OP2, "op3_suffix_dedup": OP3, "op6_lm_score": OP6, "op7_simhash": OP7, "op8_url_filter": op8(SUFFIXES), "op9_decontaminate": OP9, "op10_embed_dedup": OP10}
+_STEPS = ", ".join(f"('{o}', {k + 1}, {sum(1 << ord(f) - 65 for f in o[:k])}, {1 << ord(o[k]) - 65})" for o in ORDERS for k in range(5))
+OP13 = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+m AS (SELECT part, good, toxic, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS m FROM w),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY ALL),
+steps(filter_order, step, b, f) AS (VALUES {_STEPS})
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (m & (b | f) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (m & f <> 0 AND m & b = 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (m & f <> 0 AND m & b <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (m = f), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (m & f <> 0 AND m & b = 0), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (m & f <> 0 AND m & b = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(CASE WHEN m & f <> 0 THEN n * (120 // greatest(bit_count(m), 1)) END), 0)::BIGINT AS shapley FROM c, steps GROUP BY ALL"""
+
+SQL = {"op1_sharding": OP1, "op2_warc": OP2, "op3_suffix_dedup": OP3, "op6_lm_score": OP6, "op7_simhash": OP7, "op8_url_filter": op8(SUFFIXES), "op9_decontaminate": OP9, "op10_embed_dedup": OP10, "op13_filter_audit": OP13}
