@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, filter_audit, langid, lm_score, packing, sharding, simhash, suffix_dedup, url_filter, warc
+from . import decontaminate, embed_dedup, filter_audit, langid, lm_score, packing, sharding, simhash, suffix_dedup, url_filter, vector_codes, warc
 from .common import scratch_path, table
 from .twins import SQL
 
@@ -64,11 +64,15 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = [op1_sharding, op2_warc, op3_suffix_dedup, op4_packing, op5_langid, op6_lm_score, op7_simhash, op8_url_filter, op9_decontaminate, op10_embed_dedup, op13_filter_audit]
+QUERIES = [op1_sharding, op2_warc, op3_suffix_dedup, op4_packing, op5_langid, op6_lm_score, op7_simhash, op8_url_filter, op9_decontaminate, op10_embed_dedup, op11_vector_codes, op13_filter_audit]
 
 
 def queries() -> dict:

@@ -144,6 +144,25 @@ shared AS (SELECT r, item_id, start, m, least(m, size) AS n, h, least(count(*),
 likeness AS (SELECT r, item_id, start, sum(c)::DOUBLE / (m + n - sum(c)) AS similarity FROM shared GROUP BY r, item_id, start, m, n)
 SELECT doc_id, item_id, max(similarity) AS similarity, min(start) FILTER (similarity = best)::INT AS start, count(*) AS windows FROM (SELECT *, max(similarity) OVER (PARTITION BY r, item_id) AS best FROM likeness WHERE similarity >= 0.8) JOIN docs USING (r) GROUP BY r, doc_id, item_id"""
 
+
+
+def _lloyd(rounds: int = 4) -> str:
+    """Rounds of assigning and averaging, one common table expression each: a{i} the assignment by codebook c{i}."""
+    nearest = "SELECT r, k, any_value(x) AS x, min(list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c)) AS d, min((list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c)) * 256 + e)::HUGEINT % 256 AS e FROM p JOIN c{i} USING (k) GROUP BY r, k"
+    steps = ["c0 AS (SELECT k, rank AS e, x AS c FROM p WHERE rank < 256)"]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(i=i)})")
+        steps.append(f"s{i} AS (SELECT k, e, j, floor(sum(x[j]) / count(*)) AS m FROM a{i}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS j) GROUP BY k, e, j)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT k, e, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (SELECT k, e, list(m ORDER BY j) AS c FROM s{i} GROUP BY k, e) n USING (k, e))")
+    return ", ".join([*steps, f"last AS MATERIALIZED ({nearest.format(i=rounds)})"])
+
+
+OP11 = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS x, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, k, rank, x[k * (len(x) // 4) + 1:(k + 1) * (len(x) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS k)), {_lloyd()},
+done AS (SELECT r, string_agg(lpad(lower(to_hex(e::UBIGINT)), 2, '0'), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM last GROUP BY r),
+books AS (SELECT sha256(string_agg(u::BIGINT::VARCHAR, ',' ORDER BY k, e, j)) AS h FROM (SELECT k, e, unnest(c) AS u, generate_subscripts(c, 1) AS j FROM c4))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM done JOIN v USING (r), books"""
+
 _STEPS = ", ".join(f"('{o}', {k + 1}, {sum(1 << ord(f) - 65 for f in o[:k])}, {1 << ord(o[k]) - 65})" for o in ORDERS for k in range(5))
 OP13 = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^ 	-
@@ -155,4 +174,4 @@ SELECT part, filter_order, step, coalesce(sum(n) FILTER (m & (b | f) = 0), 0)::B
   coalesce(sum(n) FILTER (m = f), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (m & f <> 0 AND m & b = 0), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (m & f <> 0 AND m & b = 0), 0)::BIGINT AS toxic_lost,
   coalesce(sum(CASE WHEN m & f <> 0 THEN n * (120 // greatest(bit_count(m), 1)) END), 0)::BIGINT AS shapley FROM c, steps GROUP BY ALL"""
 
-SQL = {"op1_sharding": OP1, "op2_warc": OP2, "op3_suffix_dedup": OP3, "op6_lm_score": OP6, "op7_simhash": OP7, "op8_url_filter": op8(SUFFIXES), "op9_decontaminate": OP9, "op10_embed_dedup": OP10, "op13_filter_audit": OP13}
+SQL = {"op1_sharding": OP1, "op2_warc": OP2, "op3_suffix_dedup": OP3, "op6_lm_score": OP6, "op7_simhash": OP7, "op8_url_filter": op8(SUFFIXES), "op9_decontaminate": OP9, "op10_embed_dedup": OP10, "op11_vector_codes": OP11, "op13_filter_audit": OP13}
