@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, filter_audit, langid, lm_score, packing, sharding, simhash, suffix_dedup, url_filter, vector_codes, warc
+from . import decontaminate, embed_dedup, filter_audit, langid, lm_score, packing, quality, sharding, simhash, suffix_dedup, url_filter, vector_codes, warc
 from .common import scratch_path, table
 from .twins import SQL
 
@@ -68,11 +68,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = [op1_sharding, op2_warc, op3_suffix_dedup, op4_packing, op5_langid, op6_lm_score, op7_simhash, op8_url_filter, op9_decontaminate, op10_embed_dedup, op11_vector_codes, op13_filter_audit]
+QUERIES = [op1_sharding, op2_warc, op3_suffix_dedup, op4_packing, op5_langid, op6_lm_score, op7_simhash, op8_url_filter, op9_decontaminate, op10_embed_dedup, op11_vector_codes, op12_quality, op13_filter_audit]
 
 
 def queries() -> dict:
