@@ -2,30 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write df to ``spark.checkpoint.dir`` and read it back. Where that is unset, a session of one process takes a temporary folder; on a cluster it is an error."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        made = tempfile.mkdtemp(prefix="quillspark-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        found = f"file://{made}"
-        spark.sparkContext.setCheckpointDir(found)
-    path = f"{found.rstrip('/')}/{spark.sparkContext.applicationId}/reach-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillspark.sources.scratch import staged
 
 
 def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,16 +14,16 @@ def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
     The pairs at a distance of 2 ** k are those at 2 ** (k - 1) joined to themselves, so the rounds
     are the logarithm of the depth. ValueError if the edges hold a cycle.
     """
-    jumps = [staged(edges.where("id is not null and to is not null").select("id", "to"))]
+    jumps = [staged(edges.where("id is not null and to is not null").select("id", "to"), "reach")]
     limit = jumps[0].count()
     while not jumps[-1].isEmpty():
         if 2 ** (len(jumps) - 1) > limit:
             raise ValueError("the tree holds a cycle")
         last = jumps[-1]
-        jumps.append(staged(last.alias("a").join(last.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to")))
+        jumps.append(staged(last.alias("a").join(last.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to"), "reach"))
     found = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"))
     for k, jump in enumerate(jumps[:-1]):
-        found = staged(found)
+        found = staged(found, "reach")
         further = found.alias("f").join(jump.alias("j"), F.col("f.id") == F.col("j.id"))
         found = found.union(further.select("f.start", F.col("j.to").alias("id"), (F.col("depth") + 2**k).alias("depth")))
     return found

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.sources.scratch import staged
 
 RECALL, TOP_K, RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 20, 5, 60, 0.7, 0.3
 
@@ -115,35 +116,36 @@ def keyword_recall(docs: DataFrame, words: list[str], n: int = RECALL, key: str
     return best.withColumn("any_every", any_every).where("every or not any_every").select("id", "score")
 
 
-#: Rows of results that are held by the driver at most; more stay a query.
-HELD = 10_000
-
-
-def held(results: DataFrame) -> DataFrame:
-    """A few results as a local table, so that what found them isn't run again for each use. More than HELD rows are returned as they came."""
-    rows = results.take(HELD + 1)
-    return results if len(rows) > HELD else results.sparkSession.createDataFrame(rows, results.schema)
+#: Rows of keys that are broadcast at most, 8 bytes each.
+BROADCAST_KEYS = 1_000_000
 
 
 def looked_up(top: DataFrame, rows: DataFrame, on: str) -> DataFrame:
-    """A left join of a few results with a large table of unique keys: the table is only scanned, for the results' keys."""
-    top = held(top)
-    wanted = top.where(F.col(on).isNotNull()).select(on).distinct()  # as few as the results
-    return top.join(F.broadcast(rows.join(F.broadcast(wanted), on, "left_semi")), on, "left")
+    """A left join of results with a large table of unique keys.
+
+    The results are staged once. Few keys are broadcast, so that the table is only scanned; the rows found are then
+    joined as Spark sees fit for their size. More keys are joined by a shuffle.
+    """
+    top = staged(top, "results")
+    wanted = top.where(F.col(on).isNotNull()).select(on).distinct()
+    few = top.count() <= BROADCAST_KEYS
+    return top.join(rows.join(F.broadcast(wanted) if few else wanted, on, "left_semi"), on, "left")
 
 
-def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
-    """(id, score, rrf): the union of both lists; a dense score wins, ranks add up."""
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # noqa: E731  recall-sized
-    a = ranked(dense).select("id", F.col("score").alias("dense"), (DENSE_WEIGHT / (RRF_K + F.col("rank"))).alias("part"), F.lit(None).cast("double").alias("sparse"))
-    b = ranked(sparse).select("id", F.lit(None).cast("double").alias("dense"), (SPARSE_WEIGHT / (RRF_K + F.col("rank"))).alias("part"), F.col("score").alias("sparse"))
-    return a.unionByName(b).groupBy("id").agg(F.coalesce(F.max("dense"), F.max("sparse")).alias("score"), F.round(F.sum("part"), 9).alias("rrf"))
+def fuse(dense: DataFrame, sparse: DataFrame, by: str | None = None) -> DataFrame:
+    """(id, score, rrf): the union of both lists; a dense score wins, ranks add up. With ``by``, lists of many questions, each fused on its own."""
+    keys = [by] if by else []
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id")))  # noqa: E731  recall-sized
+    a = ranked(dense).select(*keys, "id", F.col("score").alias("dense"), (DENSE_WEIGHT / (RRF_K + F.col("rank"))).alias("part"), F.lit(None).cast("double").alias("sparse"))
+    b = ranked(sparse).select(*keys, "id", F.lit(None).cast("double").alias("dense"), (SPARSE_WEIGHT / (RRF_K + F.col("rank"))).alias("part"), F.col("score").alias("sparse"))
+    return a.unionByName(b).groupBy(*keys, "id").agg(F.coalesce(F.max("dense"), F.max("sparse")).alias("score"), F.round(F.sum("part"), 9).alias("rrf"))
 
 
-def top_k(scored: DataFrame, k: int = TOP_K, threshold: float = 0.0) -> DataFrame:
-    """Highest scores first, ties by id; the threshold (none if 0 or less) cuts after the limit."""
-    ordered = scored.orderBy(F.desc("score"), F.asc_nulls_last("id")).limit(k)
-    return ordered.where(F.lit(threshold <= 0) | (F.col("score") >= threshold))
+def top_k(scored: DataFrame, k: int = TOP_K, threshold: float = 0.0, by: str | None = None) -> DataFrame:
+    """Highest scores first, ties by id; the threshold (none if 0 or less) cuts after the limit. With ``by``, the k highest of each question."""
+    order = [F.desc("score"), F.asc_nulls_last("id")]
+    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= k).drop("_r") if by else scored.orderBy(*order).limit(k)
+    return best.where(F.lit(threshold <= 0) | (F.col("score") >= threshold))
 
 
 def reranked(candidates: DataFrame, scores: DataFrame | None) -> DataFrame:
@@ -163,19 +165,17 @@ def rerank_requests(candidates: DataFrame, batch: int = 8, cut: int = 510) -> Da
     return asked.select(F.expr(f"cast(at div {batch} as int)").alias("batch"), (F.col("at") % batch).cast("int").alias("pos"), "id", "text")
 
 
-def expanded_to_parents(scored: DataFrame, chunks: DataFrame) -> DataFrame:
+def expanded_to_parents(scored: DataFrame, chunks: DataFrame, by: str | None = None) -> DataFrame:
     """Candidates (id, parent, score, rrf, type, title, text) as parents: the best child of each, with the parent's id, type, title and text.
 
-    A child whose parent is null or missing from chunks (id, type, title, text) stands for itself. The candidates are
-    recall-sized and so are their parents, so both are broadcast and the chunks are only scanned.
+    A child whose parent is null or missing from chunks (id, type, title, text) stands for itself. With ``by``, each question's candidates on their own.
     """
-    scored = held(scored)
-    wanted = scored.where("parent is not null").select(F.col("parent").alias("id")).distinct()
-    found = chunks.join(F.broadcast(wanted), "id", "left_semi").select(F.col("id").alias("parent"), F.lit(True).alias("_found"), *(F.col(c).alias(f"_{c}") for c in ("type", "title", "text")))
-    joined = scored.join(F.broadcast(found), "parent", "left").withColumn("_key", F.when(F.col("_found"), F.col("parent")).otherwise(F.col("id")))
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("score"), F.desc("rrf"), "id"))
+    keys = [by] if by else []
+    parents = chunks.select(F.col("id").alias("parent"), F.lit(True).alias("_found"), *(F.col(c).alias(f"_{c}") for c in ("type", "title", "text")))
+    joined = looked_up(scored, parents, "parent").withColumn("_key", F.when(F.col("_found"), F.col("parent")).otherwise(F.col("id")))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_key").orderBy(F.desc("score"), F.desc("rrf"), "id"))
     best = joined.withColumn("_r", rank).where("_r = 1")
-    return best.select(F.col("_key").alias("id"), F.col("id").alias("child"), "score", "rrf", F.coalesce("_type", "type").alias("type"), F.coalesce("_title", "title").alias("title"), F.when(F.col("_found"), F.col("_text")).otherwise(F.col("text")).alias("text"))
+    return best.select(*keys, F.col("_key").alias("id"), F.col("id").alias("child"), "score", "rrf", F.coalesce("_type", "type").alias("type"), F.coalesce("_title", "title").alias("title"), F.when(F.col("_found"), F.col("_text")).otherwise(F.col("text")).alias("text"))
 
 
 def clamped(k: int | None, most: int | None = None) -> int:
