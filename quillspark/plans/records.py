@@ -10,8 +10,9 @@ from quillspark.operators import chunks, containers, ingest, learning, steps, ta
 from quillspark.operators import nodes as N
 from quillspark.plans import parser_twins
 from quillspark.plans.registry import query
+from quillspark.sources import workspace
 from quillspark.sources.tables import messages, table
-from quillspark.streaming import requests
+from quillspark.streaming import machines, requests
 
 _LF = "chr(10)"
 
@@ -428,10 +429,57 @@ def kept_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.kept_steps(table(spark, sf_dir, "events").select("event_id", "event_type"), unkept=("view", "click"))
 
 
-@query("SELECT 'History/2024-02' AS folder, md5(string_agg('## ' || lpad(doc_id::VARCHAR, 9, '0') || '.md' || chr(10) || text || chr(10) || chr(10), '' ORDER BY doc_id)) AS digest FROM documents WHERE doc_id % 3 = 1 AND trim(text) <> ''")
+_ARCHIVES = """CASE doc_id % 7 WHEN 0 THEN '.raw/' WHEN 1 THEN '.trash/' WHEN 2 THEN 'sub/' ELSE '' END || CASE WHEN doc_id % 50 = 3 THEN '_merged' ELSE lpad(doc_id::VARCHAR, 9, '0') END || CASE WHEN doc_id % 11 = 5 THEN '.txt' ELSE '.md' END"""
+
+
+@query(f"""WITH f AS (SELECT (doc_id % 10)::VARCHAR AS "user", 'History/2024-0' || (doc_id % 3 + 1) || '/' || {_ARCHIVES} AS path, text FROM documents)
+SELECT "user", 'History/2024-02' AS folder, path, md5('=== ' || path || ' ===' || chr(10) || text || chr(10) || chr(10)) AS digest FROM f
+WHERE prefix(path, 'History/2024-02/') AND suffix(path, '.md') AND NOT suffix(path, '/_merged.md') AND NOT contains(path, '/.raw/') AND NOT contains(path, '/.trash/') AND regexp_matches(text, '\\S')""")
 def monthly_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("History/2024-0"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md"))
-    return requests.monthly_archives(table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("content")), "2024-02").select("folder", F.md5("merged").alias("digest"))
+    """The parts of every user's merge of a month, some files being elsewhere, merged before, hidden or of another type."""
+    doc = F.col("doc_id")
+    folder = F.when(doc % 7 == 0, ".raw/").when(doc % 7 == 1, ".trash/").when(doc % 7 == 2, "sub/").otherwise("")
+    name = F.when(doc % 50 == 3, "_merged").otherwise(F.lpad(doc.cast("string"), 9, "0"))
+    path = F.concat(F.lit("History/2024-0"), (doc % 3 + 1).cast("string"), F.lit("/"), folder, name, F.when(doc % 11 == 5, ".txt").otherwise(".md"))
+    files = table(spark, sf_dir, "documents").select((doc % 10).cast("string").alias("user"), path.alias("path"), F.col("text").alias("content"))
+    return workspace.monthly_archives(files, "2024-02").select("user", "folder", "path", F.md5("part").alias("digest"))
+
+
+# Events close together as requests, so that they meet running, finished, failed and expired ones.
+_REQUESTS = """o AS (SELECT CASE WHEN user_id % 10 = 0 THEN '' ELSE user_id::VARCHAR END AS request_id, event_id, (epoch_ms(ts) // 50000) * 1000 AS w, CASE event_type WHEN 'purchase' THEN 'finished' WHEN 'error' THEN 'failed' ELSE 'request' END AS kind, 'r' || event_id AS reply FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY w, event_id) AS i FROM o WHERE request_id <> '')"""
+
+
+@query(f"""WITH RECURSIVE {_REQUESTS},
+run AS (SELECT request_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS w, NULL::VARCHAR AS action, NULL::VARCHAR AS said, 'none' AS state, 0::BIGINT AS since, NULL::VARCHAR AS kept FROM (SELECT DISTINCT request_id FROM n)
+  UNION ALL SELECT request_id, i, event_id, w,
+    CASE WHEN kind <> 'request' THEN NULL WHEN now = 'none' THEN 'run' WHEN now = 'running' THEN 'processing' ELSE 'replay' END, CASE WHEN kind = 'request' AND now = 'finished' THEN kept END,
+    CASE WHEN kind = 'finished' THEN 'finished' WHEN kind = 'failed' AND now <> 'finished' THEN 'none' WHEN kind = 'request' AND now = 'none' THEN 'running' ELSE now END,
+    CASE WHEN kind = 'finished' OR (kind = 'request' AND now = 'none') THEN w ELSE since END, CASE WHEN kind = 'finished' THEN reply ELSE kept END
+  FROM (SELECT n.*, since, kept, CASE WHEN state <> 'none' AND n.w >= since + 2100000 THEN 'none' ELSE state END AS now FROM run JOIN n ON n.request_id = run.request_id AND n.i = run.i + 1))
+SELECT request_id, event_id, w AS "at", action, said AS reply FROM run WHERE action IS NOT NULL UNION ALL SELECT request_id, event_id, w, 'run', NULL FROM o WHERE request_id = '' AND kind = 'request'""")
+def request_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request is answered: run, processing, or the finished reply again."""
+    kind = F.when(F.col("event_type") == "purchase", "finished").when(F.col("event_type") == "error", "failed").otherwise("request")
+    key = F.when(F.col("user_id") % 10 == 0, "").otherwise(F.col("user_id").cast("string"))
+    ts = F.timestamp_seconds(F.expr("unix_seconds(cast(ts AS timestamp)) div 50"))
+    return machines.replies(table(spark, sf_dir, "events").select(key.alias("request_id"), "event_id", ts.alias("ts"), kind.alias("kind"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("reply")))
+
+
+@query("""WITH o AS (SELECT user_id, event_id, (epoch_ms(ts) // 86400000) AS batch, CASE event_type WHEN 'purchase' THEN 'REMOVE' ELSE 'REPLACE' END AS op, CASE WHEN value > 50 THEN 'skip' ELSE 'rewrite' END AS kind, 'k' || (event_id % 4) AS rule_id, 't' || event_id AS target, event_type IN ('view', 'click', 'purchase') AS acts FROM events),
+v AS (SELECT user_id, count(DISTINCT batch) AS version FROM o GROUP BY user_id),
+k AS (SELECT o.*, k.kind AS of_kind FROM o, (VALUES ('skip'), ('rewrite')) k(kind) WHERE acts AND (op = 'REMOVE' OR o.kind = k.kind)),
+last AS (SELECT user_id, of_kind, rule_id, arg_max(op, event_id) AS op, arg_max(target, event_id) AS target, max(event_id) AS e FROM k GROUP BY ALL)
+SELECT user_id::VARCHAR AS session, version, coalesce((SELECT string_agg(of_kind || ':' || rule_id || ':' || target, ',' ORDER BY of_kind, e) FROM last l WHERE l.user_id = v.user_id AND op <> 'REMOVE'), '') AS rules FROM v""")
+def rule_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's rules after its batches, one a day, of replacements and removals; a day without any is an empty batch. Days stand for hours, so nothing expires."""
+    acts = F.col("event_type").isin("view", "click", "purchase")
+    op = F.struct(F.when(F.col("event_type") == "purchase", "REMOVE").otherwise("REPLACE").alias("op"), F.when(F.col("value") > 50, "skip").otherwise("rewrite").alias("kind"), F.concat(F.lit("k"), (F.col("event_id") % 4).cast("string")).alias("rule_id"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("target"), F.lit(None).cast("string").alias("reason"))
+    day = F.expr("unix_seconds(cast(ts AS timestamp)) div 86400")
+    days = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("session"), day.alias("batch")).agg(F.array_sort(F.collect_list(F.when(acts, F.struct("event_id", op.alias("op")))))["op"].alias("ops"))
+    found = machines.rules_in_force(machines.rule_sets(days.withColumn("ts", F.timestamp_seconds(F.col("batch") * 3600))))
+    return found.select("session", "version", F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["kind"], r["rule_id"], r["target"])), ",").alias("rules"))
+
 
 
 _UP = "m AS (SELECT conv_id, conv_id * 1000 + turn AS id, CASE WHEN turn = 0 THEN NULL WHEN turn >= 4 AND turn % 4 = 0 THEN conv_id * 1000 + 1 ELSE conv_id * 1000 + turn - 1 END AS parent_id, turn FROM conversations), up AS (SELECT id AS leaf, id, parent_id, 0 AS depth FROM m UNION ALL SELECT u.leaf, m.id, m.parent_id, u.depth + 1 FROM up u JOIN m ON m.id = u.parent_id)"

@@ -38,17 +38,6 @@ def kept_steps(steps: DataFrame, kind: str = "event_type", unkept: tuple[str, ..
     return steps.where(F.coalesce(~F.col(kind).isin(*unkept), F.lit(True)))
 
 
-def monthly_archives(files: DataFrame, month: str, path: str = "path", content: str = "content") -> DataFrame:
-    """(folder, merged): the non-blank files of one month's folder, in path order, each below its name.
-
-    For a job on a schedule (``availableNow``) that rewrites the current month only.
-    """
-    named = files.where(F.startswith(F.col(path), F.lit(f"History/{month}/")) & (F.trim(content) != ""))
-    part = F.struct(F.col(path).alias("p"), F.concat(F.lit("## "), F.regexp_extract(path, r"([^/]+)$", 1), F.lit("\n"), F.col(content), F.lit("\n\n")).alias("t"))
-    grouped = named.groupBy(F.lit(f"History/{month}").alias("folder")).agg(F.array_sort(F.collect_list(part)).alias("f"))
-    return grouped.select("folder", F.array_join("f.t", "").alias("merged"))
-
-
 def rules_in_force(ops: DataFrame, key: str = "session") -> DataFrame:
     """A stream of (session, rule, op, content, at) as (session, rule, op, content, at): the last operation of each rule so far, in update mode.
 

@@ -72,11 +72,6 @@ def test_history(spark):
     assert [r.path for r in trees.history_search(files, " ", 2).collect()] == ["History/2024-03/d.md", "History/2024-02/b.md"]
 
 
-def test_monthly_archives(spark):
-    files = spark.createDataFrame([("History/2024-01/b.md", "B"), ("History/2024-01/a.md", "A"), ("History/2024-01/c.md", " "), ("History/2024-02/d.md", "D")], "path string, content string")
-    assert [tuple(r) for r in requests.monthly_archives(files, "2024-01").collect()] == [("History/2024-01", "## a.md\nA\n\n## b.md\nB\n\n")]
-
-
 def test_stream_of_rules(spark, tmp_path):
     for i, batch in enumerate([[("s", "r", "ADD", "x", 1), ("s", "q", "ADD", "y", 2)], [("s", "r", "REMOVE", None, 3)]]):
         spark.createDataFrame(batch, "session string, rule string, op string, content string, at int").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
