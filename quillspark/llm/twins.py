@@ -36,17 +36,21 @@ kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(piec
 SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
 
 _TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s]')"
-OP6 = rf"""WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good FROM documents),
-tok AS (SELECT r, good, unnest(list_concat([chr(1), chr(1)], {_TOKENS}, [chr(2)])) AS z, generate_subscripts(list_concat([chr(1), chr(1)], {_TOKENS}, [chr(2)]), 1) AS i FROM rows WHERE text IS NOT NULL),
-g AS (SELECT r, good, i, z, lag(z) OVER w AS y, lag(z, 2) OVER w AS x FROM tok WINDOW w AS (PARTITION BY r ORDER BY i)),
-c0 AS (SELECT count(*) FILTER (i > 2) AS b, count(*) FILTER (i > 2 AND good) AS t FROM g),
-c1 AS (SELECT z, count(*) AS b, count(*) FILTER (good) AS t FROM g WHERE i > 1 GROUP BY z),
-c2 AS (SELECT y, z, count(*) AS b, count(*) FILTER (good) AS t FROM g WHERE i > 1 GROUP BY ALL),
-c3 AS (SELECT x, y, z, count(*) AS b, count(*) FILTER (good) AS t FROM g WHERE i > 2 GROUP BY ALL),
-p1 AS (SELECT z, c1.b / c0.b AS b, (c1.t + 4 * (c1.b / c0.b)) / (c0.t + 4) AS t FROM c1, c0),
-p2 AS (SELECT c2.y, z, (c2.b + 4 * p1.b) / (cy.b + 4) AS b, (c2.t + 4 * p1.t) / (cy.t + 4) AS t FROM c2 JOIN p1 USING (z) JOIN c1 cy ON cy.z = c2.y),
-p3 AS (SELECT c3.x, c3.y, c3.z, -ln((c3.b + 4 * p2.b) / (cx.b + 4)) AS b, -ln((c3.t + 4 * p2.t) / (cx.t + 4)) AS t FROM c3 JOIN p2 USING (y, z) JOIN c2 cx ON cx.y = c3.x AND cx.z = c3.y),
-s AS (SELECT r, count(*) AS n, avg(p3.t) AS t, avg(p3.b) AS b FROM g JOIN p3 USING (x, y, z) WHERE i > 2 GROUP BY r)
+OP6 = rf"""WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT / 4294967296 AS draw FROM documents),
+tok0 AS (SELECT r, good, draw, unnest(list_concat([chr(1), chr(1)], {_TOKENS}, [chr(2)])) AS z, generate_subscripts(list_concat([chr(1), chr(1)], {_TOKENS}, [chr(2)]), 1) AS i FROM rows WHERE text IS NOT NULL),
+rate AS (SELECT coalesce(count(*) FILTER (good) / nullif(count(*) FILTER (NOT good), 0), 0) AS b_rate, coalesce(count(*) FILTER (NOT good) / nullif(count(*) FILTER (good), 0), 0) AS t_rate FROM tok0 WHERE i > 2),
+tok AS (SELECT r, i, z, CASE WHEN good AND draw < t_rate THEN 't' WHEN NOT good AND draw < b_rate THEN 'b' ELSE '' END AS role FROM tok0, rate),
+g AS (SELECT r, role, i, z, lag(z) OVER w AS y, lag(z, 2) OVER w AS x FROM tok WINDOW w AS (PARTITION BY r ORDER BY i)),
+c0 AS (SELECT count(*) AS a, count(*) FILTER (role = 't') AS t, count(*) FILTER (role = 'b') AS b FROM g WHERE i > 2),
+c1 AS (SELECT z, count(*) AS a, count(*) FILTER (role = 't') AS t, count(*) FILTER (role = 'b') AS b FROM g WHERE i > 1 GROUP BY z),
+c2 AS (SELECT y, z, count(*) FILTER (role = 't') AS t, count(*) FILTER (role = 'b') AS b FROM g WHERE i > 1 GROUP BY ALL),
+c3 AS (SELECT x, y, z, count(*) FILTER (role = 't') AS t, count(*) FILTER (role = 'b') AS b FROM g WHERE i > 2 GROUP BY ALL),
+o0 AS (SELECT r, count(*) AS o FROM g WHERE i > 2 GROUP BY r), o1 AS (SELECT r, z, count(*) AS o FROM g WHERE i > 1 GROUP BY ALL), o2 AS (SELECT r, y, z, count(*) AS o FROM g WHERE i > 1 GROUP BY ALL), o3 AS (SELECT r, x, y, z, count(*) AS o FROM g WHERE i > 2 GROUP BY ALL),
+q AS (SELECT g.r, c1.a / c0.a AS base, n0, n1, n2, n3, m1, m2, {', '.join(f"c0.{m} AS {m}0, c1.{m} AS {m}1, c2.{m} AS {m}2, c3.{m} AS {m}3, cy.{m} AS {m}4, cx.{m} AS {m}5, (g.role = '{m}')::INT AS {m}m" for m in 'tb')} FROM (SELECT g.*, o0.o AS n0, o1.o AS n1, o2.o AS n2, o3.o AS n3, p1.o AS m1, p2.o AS m2 FROM g JOIN o0 USING (r) JOIN o1 USING (r, z) JOIN o2 USING (r, y, z) JOIN o3 USING (r, x, y, z) JOIN o1 p1 ON p1.r = g.r AND p1.z = g.y JOIN o2 p2 ON p2.r = g.r AND p2.y = g.x AND p2.z = g.y WHERE i > 2) g
+  JOIN c1 USING (z) JOIN c2 USING (y, z) JOIN c3 USING (x, y, z) JOIN c1 cy ON cy.z = g.y JOIN c2 cx ON cx.y = g.x AND cx.z = g.y, c0),
+l AS (SELECT r, {', '.join(f"-ln(({m}3 - {m}m * n3 + 4 * (({m}2 - {m}m * n2 + 4 * (({m}1 - {m}m * n1 + 4 * base) / ({m}0 - {m}m * n0 + 4))) / ({m}4 - {m}m * m1 + 4))) / ({m}5 - {m}m * m2 + 4)) AS {m}" for m in 'tb')} FROM q),
+s AS (SELECT r, count(*) AS n, avg(t) AS t, avg(b) AS b FROM l GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(t, 9) AS loss_target, round(b, 9) AS loss_background, round(t - b, 9) AS score FROM rows LEFT JOIN s USING (r)"""
 
 

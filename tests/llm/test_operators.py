@@ -320,48 +320,65 @@ def test_lm_score_of_awkward_rows(spark):
     assert all(x["score"] is not None for x in lm_score.cross_entropy_difference(df, labels.where("false")).collect())
 
 
-def test_lm_score(spark):
-    """Equal to plain counts over several blocks; documents of the same words in another order score apart."""
-    r = random.Random(3)
-    rows = [(i, words(r, r.randrange(1, 60), 30)) for i in range(40)] + [(2, None), (None, "w1 w2 w3"), (41, ""), (42, "北京 a_b c,d\n"), (0, "w1 w2")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 3)] + [(1, 0), (None, 1)], "doc_id long, quality int")
-    good = set(range(0, 40, 3))
+def plain_losses(rows, good):
+    """Counts of both sides, the larger drawn from, without the document itself."""
 
     def tokens(t):
         split = "".join(f" {c} " if c in "北京," else c for c in t).split()
         return ["<", "<", *split, ">"]
 
-    def model(texts):
-        c = Counter()
-        for t in texts:
-            w = tokens(t)
-            c.update(tuple(w[i - k + 1 : i + 1]) for i in range(2, len(w)) for k in (1, 2, 3))
-            c.update([("<",), ("<", "<")])
-            c["all"] += len(w) - 2
+    def counts(w):
+        c = Counter(tuple(w[i - k + 1 : i + 1]) for i in range(2, len(w)) for k in (1, 2, 3))
+        c.update([("<",), ("<", "<")])
+        c["all"] += len(w) - 2
         return c
 
-    b, t = model(x for _, x in rows if x is not None), model(x for k, x in rows if x is not None and k in good)
-
-    def loss(c, x, y, z):
-        p = b[z,] / b["all"]
-        p = p if c is b else (c[z,] + 4 * p) / (c["all"] + 4)
-        p = (c[y, z] + 4 * p) / (c[y,] + 4)
-        return -math.log((c[x, y, z] + 4 * p) / (c[x, y] + 4))
-
-    want = []
-    for k, x in rows:
-        w = tokens(x) if x is not None else []
-        of = [sum(loss(c, *w[i - 2 : i + 1]) for i in range(2, len(w))) / (len(w) - 2) if w else None for c in (t, b)]
-        want.append((k, max(0, len(w) - 2), *of))
+    docs = [(k, x, tokens(x), k in good) for k, x in rows if x is not None]
+    own = [counts(w) for _, _, w, _ in docs]
+    size = [sum(len(w) - 2 for _, _, w, g in docs if g == side) for side in (True, False)]
+    rate = {True: size[1] / size[0] if size[0] else 0, False: size[0] / size[1] if size[1] else 0}
+    role = [g if lm_score.drawn(k, x) < rate[g] else None for k, x, _, g in docs]
+    both = {side: sum((c for c, r in zip(own, role, strict=True) if r == side), Counter()) for side in (True, False)}
+    base = sum(own, Counter())
+
+    def loss(i, side):
+        w, c = docs[i][2], Counter(both[side])
+        if role[i] == side:
+            c.subtract(own[i])
+        total = 0
+        for x, y, z in zip(w, w[1:], w[2:], strict=False):
+            p = (c[z,] + 4 * base[z,] / base["all"]) / (c["all"] + 4)
+            p = (c[y, z] + 4 * p) / (c[y,] + 4)
+            total -= math.log((c[x, y, z] + 4 * p) / (c[x, y] + 4))
+        return total / (len(w) - 2)
+
+    return [(k, len(w) - 2, loss(i, True), loss(i, False)) for i, (k, _, w, _) in enumerate(docs)] + [(k, 0, None, None) for k, x in rows if x is None], set(role)
+
+
+@pytest.mark.parametrize("share, small", [(3, False), (3, True), (1.2, False)])
+def test_lm_score(spark, monkeypatch, share, small):
+    """Equal to plain counts over several blocks, whichever side is larger, and where the n-grams are dealt out in several passes; documents of the same words in another order score apart."""
+    if small:
+        for name, value in (("RADIX", 2), ("MERGED", 300), ("BUCKET", 40), ("BLOCK", 900)):
+            monkeypatch.setattr(lm_score, name, value)
+    r = random.Random(3)
+    rows = [(i, words(r, r.randrange(1, 60), 30)) for i in range(40)] + [(2, None), (None, "w1 w2 w3"), (41, ""), (42, "北京 a_b c,d\n"), (0, "w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    good = {int(i * share) for i in range(40) if i * share < 40}
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(min(set(range(40)) - good), 0), (None, 1)], "doc_id long, quality int")
+    want, roles = plain_losses(rows, good)
+    assert roles == {True, False, None}
     order = lambda x: (x[0] is None, x[0] or 0, x["n_tokens"] if hasattr(x, "n_tokens") else x[1])
     got = lm_score.cross_entropy_difference(df, labels).collect()
     for x, y in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
         assert (x["doc_id"], x["n_tokens"]) == y[:2] and (x["score"] is None) == (y[2] is None)
         assert y[2] is None or (abs(x["loss_target"] - y[2]) < 1e-9 and abs(x["loss_background"] - y[3]) < 1e-9)
 
+
+def test_lm_score_by_order(spark):
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     same = [(0, "ab cd. ef gh. " * 5), (1, "ef cd. ab gh. " * 5), (2, "ab cd. ef gh. "), (3, "ef cd. ab gh. ")]
-    apart = {x["doc_id"]: x["score"] for x in lm_score.cross_entropy_difference(spark.createDataFrame(same, "doc_id long, text string"), labels.where("doc_id = 0")).collect()}
+    apart = {x["doc_id"]: x["score"] for x in lm_score.cross_entropy_difference(spark.createDataFrame(same, "doc_id long, text string"), labels).collect()}
     assert apart[2] + 0.1 < apart[3]
 
 
