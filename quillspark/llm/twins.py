@@ -132,8 +132,9 @@ d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 {_level('s', '(SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END FROM s)', 'suffix', 's l')},
 {_level('d', 'a.mean', 'domain', 'd l JOIN s_mean a USING (suffix)')},
 {_level('h', 'a.mean', 'host', 'h l JOIN d_mean a USING (domain)')},
+base AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END AS base FROM s),
 b AS (SELECT host, mean - sqrt(mean * (1 - mean) / (n + k + 1)) AS bound FROM h_mean)
-SELECT page_id, host, path, CASE {' '.join(f"WHEN {f} THEN '{t}'" for f, _, t in cases)} END AS rule, CASE {' '.join(f"WHEN {f} THEN '{w}'" for f, w, _ in cases)} WHEN bound > 0.25 THEN 'block' ELSE 'allow' END AS verdict FROM u JOIN b USING (host)"""
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {f} THEN '{t}'" for f, _, t in cases)} END AS rule, CASE {' '.join(f"WHEN {f} THEN '{w}'" for f, w, _ in cases)} WHEN bound > 2 * base / (1 - base + 2 * base) THEN 'block' ELSE 'allow' END AS verdict FROM u JOIN b USING (host), base"""
 
 
 _SHINGLED = r"CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"

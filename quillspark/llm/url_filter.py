@@ -3,7 +3,9 @@
 Reputation is the share of a host's labelled pages that are bad, by empirical Bayes: a host's share
 is shrunk to that of its registered domain, the domain's to its suffix's, the suffix's to that of
 all pages, each by a beta prior whose strength is fitted to the spread of the level's shares
-(method of moments). A host is blocked where the lower bound of its posterior is over a threshold.
+(method of moments). A host is blocked where the lower bound of its posterior is over the share whose odds
+are LIFT times those of all pages, so what counts as bad follows the labels: a host is blocked for being worse
+than the rest, by its own pages, or with few of them by its domain's or its suffix's.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-THRESHOLD = 0.25
+LIFT = 2.0
 BOUND_Z = 1.0
 #: Public suffixes of two labels; a host's registered domain is one label more than its suffix. A longer list is a parameter.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "edu.au", "co.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "co.kr", "com.br", "org.br", "com.cn", "net.cn", "org.cn", "com.tw", "com.hk", "com.sg", "co.in", "co.za", "com.mx", "com.ar", "com.tr", "co.il")
@@ -55,7 +57,7 @@ def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tup
 
 
 def host_reputation(pages: DataFrame, bad: Column, known: Column, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(host, n, bad, mean, bound) of each host of pages (host). bad, known: of a row, whether it counts as bad, and whether it is labelled.
+    """(host, n, bad, mean, bound, base) of each host of pages (host), base being the share of all labelled pages. bad, known: of a row, whether it counts as bad, and whether it is labelled.
 
     Hosts without labels take their domain's mean, with the prior's own width. For domains and suffixes see ``domain_and_suffix``.
     """
@@ -86,22 +88,23 @@ def host_reputation(pages: DataFrame, bad: Column, known: Column, suffixes: tupl
     by_domain = shrunk(domains.join(by_suffix, "suffix"), F.col("above")).select("domain", F.col("mean").alias("above"))
     found = shrunk(hosts.join(by_domain, "domain"), F.col("above"))
     width = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("strength") + 1))
-    return found.select("host", "n", "bad", "mean", (F.col("mean") - BOUND_Z * width).alias("bound"))
+    return found.select("host", "n", "bad", "mean", (F.col("mean") - BOUND_Z * width).alias("bound"), F.lit(overall).alias("base"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, lift: float = LIFT, threshold: float | None = None) -> DataFrame:
     """One row for each row of pages: key, host, path, rule, verdict, bound.
 
-    labels: (doc_id, toxic), joined on the key; a page is bad if any of its labels is toxic, and
+    labels: (doc_id, toxic) of pages, joined on the key (the given tables have labels of documents alone, whose ids say nothing of pages); a page is bad if any of its labels is toxic, and
     unlabelled without a label or where all are null. Null urls have the empty host, which is judged like any
-    other. Rows with null or repeated keys are judged each on its own; null keys have no label.
+    other. ``threshold``, where given, replaces that of the base share and LIFT; a bound that equals it is allowed. Rows with null or repeated keys are judged each on its own; null keys have no label.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max("toxic").alias("toxic"))
     parts = pages.select(F.col(key).cast("long").alias("key"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     rows = staged(parts.join(staged(marks, "page-labels"), "key", "left"), "urls")
     known = F.col("toxic").isNotNull()
-    reputation = staged(host_reputation(rows, F.coalesce(F.col("toxic") > 0, F.lit(False)), known).select("host", "bound"), "reputation")
+    reputation = staged(host_reputation(rows, F.coalesce(F.col("toxic") > 0, F.lit(False)), known).select("host", "bound", "base"), "reputation")
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     judged = rows.join(reputation, "host", "left")
-    own = F.when(F.col("bound") > threshold, "block").otherwise("allow")
+    most = F.lit(threshold) if threshold is not None else lift * F.col("base") / (1 - F.col("base") + lift * F.col("base"))
+    own = F.when(F.col("bound") > most, "block").otherwise("allow")
     return judged.select(F.col("key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bound")

@@ -532,6 +532,24 @@ def test_url_reputation(spark):
     assert {x["verdict"] for x in url_filter.filter_urls(pages, labels.where("false")).collect()} == {"allow"}
 
 
+def test_url_reputation_by_level(spark):
+    """Of labelled pages a tenth is bad, but for one host, one registered domain and one suffix. What has no labels of its own follows its domain, or its suffix."""
+    r = random.Random(21)
+    rate = lambda h: 0.9 if h == "bad.mixed.com" or h.endswith("spam.net") or h.endswith(".zz") else 0.1
+    labelled = ["bad.mixed.com", "good.mixed.com", *(f"h{i}.spam.net" for i in range(6)), *(f"w{i}.fine{i}.net" for i in range(10)), *(f"www.d{i}.zz" for i in range(12)), *(f"www.e{i}.com" for i in range(30)), *(f"www.f{i}.net" for i in range(30))]
+    rows, marks = [], []
+    for h in labelled:
+        for _ in range(25):
+            rows.append((len(rows), f"http://{h}/{len(rows)}"))
+            marks.append((len(marks), int(r.random() < rate(h))))
+    new = {"new.spam.net": "block", "new.mixed.com": "allow", "www.unheard.zz": "block", "www.unheard.com": "allow", "www.unheard.net": "allow", "other.org": "allow"}
+    rows += [(10_000 + i, f"https://{h}/") for i, h in enumerate(new)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, toxic int"), rules=()).collect()
+    verdict = {x["host"]: x["verdict"] for x in got}
+    assert {h: v for h, v in verdict.items() if h in new} == new
+    assert {h for h, v in verdict.items() if v == "block"} - set(new) == {h for h in labelled if rate(h) > 0.5}
+
+
 def plain_leaks(texts, items):
     import re
 
