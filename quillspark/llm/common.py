@@ -2,68 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import threading
-import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.scratch import scratch, scratch_path, shared_dir, staged
+from quillspark.sources.tables import table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or what the session was given by setCheckpointDir.
-
-    Where neither is set, a session that runs in one process (tests) gets a temporary folder, removed at its end; on a cluster that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        made = tempfile.mkdtemp(prefix="quillspark-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        found = f"file://{made}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-_kept = threading.local()
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    for made in getattr(_kept, "scopes", ()):
-        made.append(path)
-    return path
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Scratch tables that this thread makes inside are removed at its end, but for those taken off the list. Nothing that still reads them may be left."""
-    scopes = _kept.__dict__.setdefault("scopes", [])
-    made: list[str] = []
-    scopes.append(made)
-    try:
-        yield made
-    finally:
-        scopes.remove(made)
-        for path in made:
-            found = spark._jvm.org.apache.hadoop.fs.Path(path)
-            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
-
-
-def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and a lost executor loses nothing."""
-    path = path or scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_batches", "scratch", "scratch_path", "shared_dir", "slices", "staged", "table", "tagged"]
 
 
 #: Bytes of an Arrow batch that goes to Python. Spark's own 64 MB are held by the JVM and the worker of every task at once.
@@ -79,10 +30,6 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of some batches in slices of about ``most`` bytes as Python objects; a larger row stands alone."""
     for batch in batches:

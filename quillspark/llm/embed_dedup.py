@@ -35,15 +35,15 @@ RUN, LEAF = 1024, 512
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, vector): id is a hash of the vector's values, null where it links with nothing."""
+    """(key, high, low, vector): high and low are the 128 bits of a hash of the vector's values, null where it links with nothing."""
     for batch in batches:
         ids, vectors = [], []
         for v in batch.column(1).to_pylist():
             x = np.array(v, dtype=np.float64) if v and None not in v else np.zeros(0)
             good = len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
-            ids.append(int.from_bytes(hashlib.md5(x.tobytes()).digest()[:8], "little", signed=True) if good else None)
+            ids.append(np.frombuffer(hashlib.md5(x.tobytes()).digest(), dtype="<i8").tolist() if good else (None, None))
             vectors.append(x if good else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], names=["key", "id", "vector"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), pa.array(vectors, pa.list_(pa.float64()))], names=["key", "high", "low", "vector"])
 
 
 def _units(rows: list) -> np.ndarray:
@@ -227,8 +227,9 @@ def embedding_components(vectors: DataFrame, key: str = "vec_id", embedding: str
     n_links counts other rows; equal vectors are joined once and counted as often as they occur.
     component is the smallest key reachable, null for components of null keys only. Other columns are ignored.
     """
-    rows = staged(vectors.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<double>").alias("vector")).mapInArrow(_valid, "key long, id long, vector array<double>"), "vectors")
-    kinds = staged(rows.where("id is not null").groupBy("id").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.first("vector").alias("vector")), "vector-kinds")
+    rows = staged(vectors.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<double>").alias("vector")).mapInArrow(_valid, "key long, high long, low long, vector array<double>"), "vectors")
+    # A number for each distinct vector; written once, so it stays.
+    kinds = staged(rows.where("high is not null").groupBy("high", "low").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.first("vector").alias("vector")).withColumn("id", F.monotonically_increasing_id()), "vector-kinds")
     found = None
     for dims in sorted(r[0] for r in kinds.select(F.size("vector")).distinct().collect()):
         part = kinds.where(F.size("vector") == dims)
@@ -252,6 +253,6 @@ def embedding_components(vectors: DataFrame, key: str = "vec_id", embedding: str
     found = staged(found, "vector-links")
     roots = connected_components(found, "id", "root")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of = kinds.select("id", "least", "n").join(links, "id", "left").join(roots, kinds["id"] == roots["node"], "left").select(kinds["id"], "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", kinds["id"]).alias("root"))
-    named = of.join(of.groupBy("root").agg(F.min("least").alias("component")), "root").select("id", "n_links", "component")
-    return rows.join(named, "id", "left").select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
+    of = kinds.select("id", "high", "low", "least", "n").join(links, "id", "left").join(roots, kinds["id"] == roots["node"], "left").select("high", "low", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", kinds["id"]).alias("root"))
+    named = of.join(of.groupBy("root").agg(F.min("least").alias("component")), "root").select("high", "low", "n_links", "component")
+    return rows.join(named, ["high", "low"], "left").select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("high").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))

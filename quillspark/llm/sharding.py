@@ -30,12 +30,12 @@ def interleave(df: DataFrame, shards: int, stratum: str, key: str, seed: int = 1
     """df with ``shard`` (0 to shards - 1, row counts at most one apart) and ``slot`` (from 0, without gaps, in a shard).
 
     stratum: column whose mixture every shard repeats; null is a stratum of its own. key: what the
-    seeded order hashes; rows with equal keys are ordered by the columns in ties, and rows equal in
+    seeded order hashes, with the columns in ties, so that rows without a key or of one key are spread too; rows equal in
     all of these are interchangeable. Copies of a text get no place of their own: rows are the
     unit, so a group of copies is spread in proportion like its source. An empty table gives an
     empty one. The rows are staged twice, so project wide columns away first.
     """
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("_h")
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *ties)))).alias("_h")
     rows = staged(df.select("*", tagged(stratum).alias("_s"), hashed), "shard-rows")
     total = rows.count()
     buckets = max(16, -(-total // ROWS_A_BUCKET))

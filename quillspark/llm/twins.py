@@ -5,10 +5,10 @@ from .url_filter import SUFFIXES
 
 OP1 = """WITH RECURSIVE poly AS (
   SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
-rows AS (SELECT doc_id, source, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS h,
-  CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS s FROM documents),
-crc AS (SELECT doc_id, source, size, h, s, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+rows AS (SELECT doc_id, source, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS s FROM documents),
+crc0 AS (SELECT doc_id, source, size, s, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM (SELECT *, hex(encode(text)) AS x FROM rows), poly),
+crc AS (SELECT *, md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32) AS h FROM crc0),
 spread AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY h, size, text_crc32) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY s) AS f FROM crc),
 placed AS (SELECT *, row_number() OVER (ORDER BY f, s, h, size, text_crc32) - 1 AS g, count(*) OVER () AS n FROM spread),
 cut AS (SELECT *, g * 8 // n AS shard FROM placed)

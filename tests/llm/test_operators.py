@@ -105,7 +105,9 @@ def test_warc_of_awkward_tables(spark, tmp_path):
         assert got[i] == (len(body), "response" if i < 37 else "revisit", None if i < 37 else i - 37, hashlib.sha256(body).hexdigest())
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("block", [warc.BLOCK, 700])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(warc, "BLOCK", block)
     r = random.Random(2)
     magic = warc.MAGIC
     payloads = ["", None, "x" * 99, "y" * 100, "z" * 5000, magic + "Content-Length: 5\r\n\r\nhello\r\n\r\n" + magic, magic * 40 + "é" * 200]
