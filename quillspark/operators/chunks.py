@@ -119,11 +119,29 @@ def embedded(made: DataFrame) -> DataFrame:
     return made.withColumn("embedding_text", F.when(F.col("searchable"), T.embedding_text(F.col("context_prefix"), F.col("title_path"), F.lit(""), F.col("text"))))
 
 
+def stopping(where: Column):
+    """A step that ends the chain for chunks that meet a condition."""
+
+    def step(made: DataFrame) -> DataFrame:
+        return made.withColumn("stop", F.coalesce(where, F.lit(False)))
+
+    return step
+
+
 def handled(made: DataFrame, steps: list) -> DataFrame:
-    """made after each (order, step), lowest order first. A step that gives None ends the chain; an error in one ends the job."""
+    """made after each (order, step), lowest order first. An error in a step ends the job.
+
+    A step gives the chunks back with all their columns. Where it sets a column ``stop`` the chain ends for those chunks alone: what the
+    step itself did to them stays, later steps leave them as they are. A step that gives None ends the chain for all.
+    """
+    now = made.withColumn("_live", F.lit(True))
     for _, step in sorted(steps, key=lambda s: s[0]):
-        after = step(made)
+        before = now.columns
+        after = step(now.withColumn("_was", F.struct(*before)))
         if after is None:
             break
-        made = after
-    return made
+        names = [c for c in after.columns if c not in ("_was", "_live", "stop")]
+        kept = {c: F.when(F.col("_live"), F.col(c)).otherwise(F.col("_was")[c] if c in before else F.lit(None)).alias(c) for c in names}
+        live = F.col("_live") & ~F.coalesce("stop", F.lit(False)) if "stop" in after.columns else F.col("_live")
+        now = after.select(*kept.values(), live.alias("_live"))
+    return now.drop("_live")

@@ -29,7 +29,14 @@ def rewrite_rules(steps: DataFrame, tools: tuple[str, ...]) -> DataFrame:
     return long.withColumn("_r", first).where("_r = 1").select("session", "call_id", "tokens")
 
 
-def rewritten(steps: DataFrame, rules: DataFrame, text: str = "[shortened]") -> DataFrame:
-    """Steps with the content of ruled results replaced."""
-    ruled = steps.join(rules.select("session", "call_id").distinct().withColumn("_hit", F.lit(True)), ["session", "call_id"], "left")
-    return ruled.withColumn("content", F.when(F.col("_hit") & (F.col("step_type") == "tool_result"), text).otherwise(F.col("content"))).drop("_hit")
+def rewritten(steps: DataFrame, rules: DataFrame) -> DataFrame:
+    """Steps whose tool results are replaced by a note, where a rule names their call; without a call id they go by their tool's name.
+
+    rules: (session, call_id, place, reason); of several for a call the first place counts. The note holds the call and, if
+    there is one, the reason.
+    """
+    first = rules.where("call_id is not null").groupBy("session", F.col("call_id").alias("_call")).agg(F.min_by(F.coalesce("reason", F.lit("")), "place").alias("_reason"))
+    called = steps.withColumn("_call", F.coalesce("call_id", "tool"))
+    note = F.concat(F.lit("[此工具结果已被 Projection 精简：toolCallId="), "_call", F.when(F.trim("_reason") != "", F.concat(F.lit(", reason="), "_reason")).otherwise(""), F.lit("]"))
+    ruled = called.join(first, ["session", "_call"], "left")
+    return ruled.withColumn("content", F.when(F.col("_reason").isNotNull() & (F.col("step_type") == "tool_result"), note).otherwise(F.col("content"))).select(*steps.columns)

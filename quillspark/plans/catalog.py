@@ -253,4 +253,4 @@ def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.html_nodes(table(spark, sf_dir, "pages"))
 
 
-from quillspark.plans import documents, layouts, records, search, sessions, statements  # noqa: E402, F401  they register their queries after these
+from quillspark.plans import documents, layouts, mutations, records, search, sessions, statements  # noqa: E402, F401  they register their queries after these

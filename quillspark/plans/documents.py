@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +75,30 @@ def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parsed(pages.unionByName(docs))
 
 
+def _word_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in Word's format: a heading, a paragraph, one of a list, two blank ones and a paragraph."""
+    style = lambda name: f'<w:pPr><w:pStyle w:val="{name}"/></w:pPr>' if name else ""
+    for batch in batches:
+        made = []
+        for doc, text, lang, source in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            parts = [("Heading1", f"T{doc}"), ("", (text or "")[:200]), ("ListParagraph", lang or ""), ("", ""), ("", ""), ("", source or "")]
+            body = "".join(f"<w:p>{style(name)}<w:r><w:t>{escape(t)}</w:t></w:r></w:p>" for name, t in parts)
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w") as archive:
+                archive.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+            made.append(raw.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "content"])
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(left(coalesce(text, ''), 200), chr(9) || chr(10) || chr(13) || ' ') AS t, coalesce(lang, '') AS l, coalesce(source, '') AS s FROM documents),
+n AS (SELECT doc_id, 0 AS k, 'heading' AS type, 'T' || doc_id AS text, 1 AS level FROM d UNION ALL SELECT doc_id, 1, 'text', t, NULL FROM d WHERE t <> '' UNION ALL SELECT doc_id, 2, 'list', l, NULL FROM d WHERE l <> '' UNION ALL SELECT doc_id, 5, 'text', s, NULL FROM d WHERE s <> '')
+SELECT doc_id, 'docx' AS document_type, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, type, text, level::INT AS level, 'T' || doc_id AS title_path, NULL::VARCHAR AS language, NULL::VARCHAR AS group_id FROM n""")
+def word_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as bytes of Word files, dispatched by their extension."""
+    made = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").mapInArrow(_word_files, "doc_id long, content binary")
+    return files.parsed(made.select("doc_id", F.lit("a/b.docx").alias("path"), F.lit(None).cast("string").alias("text"), "content"), content="content")
+
+
 _OF_LINES = parser_twins.chunked(f"r AS ({parser_twins.line_sql(_LINED)})")
 
 

@@ -162,10 +162,13 @@ _HANDLED = {"id": "doc_id", "text": "CASE WHEN doc_id % 3 = 0 THEN concat('# T',
             "context_prefix": "CASE WHEN doc_id % 5 = 0 THEN 'own' ELSE NULL END", "chunk_level": "CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE 2 END", "searchable": "CASE WHEN doc_id % 11 = 0 THEN false ELSE NULL END"}
 
 
-@query(rf"""WITH {_cte('c', 'documents', {k: v.replace(chr(92) + 'n', "' || chr(10) || '") for k, v in _HANDLED.items()})},
+_HANDLED_SQL = rf"""WITH {_cte('c', 'documents', {k: v.replace(chr(92) + 'n', "' || chr(10) || '") for k, v in _HANDLED.items()})},
 t AS (SELECT *, CASE WHEN chunk_type = 'table' THEN 'table' WHEN contains(x, '```') THEN 'code' WHEN regexp_matches(x, '(?m)^\|.*\|') THEN 'table' WHEN regexp_matches(x, '(?m)^(Q|A)[:：]') THEN 'qa' WHEN regexp_matches(x, '(?m)^#{{1,6}}\s') THEN 'heading'
   WHEN length(x) < 50 OR (len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) < 15 AND NOT contains(x, '.')) THEN 'weak' ELSE 'general' END AS kind, coalesce(nullif(title_path, ''), CASE WHEN id % 3 = 0 AND text IS NOT NULL THEN 'T' || id END) AS title FROM (SELECT *, coalesce(text, '') AS x FROM c)),
-p AS (SELECT *, CASE WHEN kind = 'weak' AND context_prefix IS NULL THEN CASE WHEN id % 2 = 0 THEN 'near ' || id END ELSE context_prefix END AS prefix, coalesce(searchable, coalesce(chunk_level = 2, false)) AS flag FROM t)
+p AS (SELECT *, CASE WHEN kind = 'weak' AND context_prefix IS NULL THEN CASE WHEN id % 2 = 0 THEN 'near ' || id END ELSE context_prefix END AS prefix, coalesce(searchable, coalesce(chunk_level = 2, false)) AS flag FROM t)"""
+
+
+@query(rf"""{_HANDLED_SQL}
 SELECT id, kind AS chunk_type, title AS title_path, prefix AS context_prefix, flag AS searchable, array_to_string(regexp_extract_all(lower(concat_ws(' ', prefix, title, text)), '[\p{{L}}0-9]+'), ' ') AS ts_content,
   CASE WHEN flag THEN regexp_replace(coalesce(nullif(prefix, '') || ' ', '') || coalesce(nullif(title, '') || ' ', '') || x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') END AS embedding_text FROM p""")
 def handled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +179,19 @@ def handled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.handled(made, steps_).drop("text", "chunk_level")
 
 
+@query(rf"""{_HANDLED_SQL}
+SELECT id, kind AS chunk_type, title AS title_path, CASE WHEN kind = 'table' THEN context_prefix ELSE prefix END AS context_prefix, CASE WHEN kind = 'table' THEN searchable ELSE flag END AS searchable,
+  CASE WHEN kind <> 'table' THEN array_to_string(regexp_extract_all(lower(concat_ws(' ', prefix, title, text)), '[\p{{L}}0-9]+'), ' ') END AS ts_content,
+  CASE WHEN flag AND kind <> 'table' THEN regexp_replace(coalesce(nullif(prefix, '') || ' ', '') || coalesce(nullif(title, '') || ' ', '') || x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') END AS embedding_text FROM p""")
+def stopped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chain, which ends for tables once they have a title."""
+    made = _view(spark, sf_dir, "documents", _HANDLED)
+    prefixes = made.where("id % 2 = 0").select("id", F.concat(F.lit("near "), F.col("id").cast("string")).alias("prefix"))
+    stop = chunks.stopping(F.col("chunk_type") == "table")
+    steps_ = [(5, chunks.embedded), (0, chunks.classified), (2, chunks.prefixed(prefixes)), (1, chunks.titled), (1.5, stop), (4, chunks.flagged), (3, chunks.indexed)]
+    return chunks.handled(made, steps_).drop("text", "chunk_level")
+
+
 @query("SELECT 'files' AS what, count(*) AS n FROM pages WHERE page_id % 9 <> 2 UNION ALL SELECT 'chunks', count(*) FROM documents WHERE doc_id % 300 NOT IN (SELECT page_id FROM pages WHERE page_id % 9 = 2) UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id % 300 NOT IN (SELECT page_id FROM pages WHERE page_id % 9 = 2)")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left after files are deleted with their chunks and vectors."""
@@ -415,13 +431,16 @@ def gap_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.frequent_gaps(text).alias("gaps"))
 
 
-_STEPS = {"session": "user_id", "call_id": "CAST(event_id % 3 AS VARCHAR(9))", "step_type": "CASE event_type WHEN 'click' THEN 'tool_result' ELSE 'note' END", "step_order": "event_id", "content": "props"}
+_STEPS = {"session": "user_id", "call_id": "CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 3 AS VARCHAR(9)) END", "tool": "event_type", "step_type": "CASE event_type WHEN 'view' THEN 'note' ELSE 'tool_result' END", "step_order": "event_id", "content": "props"}
+# Calls 1 have two rules each, of which the first counts; the tool's name stands for calls without an id.
+_RULES = {"session": "user_id", "call_id": "CASE WHEN event_id % 5 = 0 THEN 'click' ELSE '1' END", "place": "event_id", "reason": "CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE concat('why ', CAST(event_id AS VARCHAR(9))) END"}
 
 
-@query(f"WITH {_cte('s', 'events', _STEPS)} SELECT session, step_order, CASE WHEN step_type = 'tool_result' AND call_id = '1' AND session % 2 = 0 THEN '[shortened]' ELSE content END AS content FROM s")
+@query(f"""WITH {_cte('s', 'events', _STEPS)}, {_cte('every', 'events', _RULES)}, f AS (SELECT session, call_id AS c, arg_min(coalesce(reason, ''), place) AS reason FROM every WHERE session % 2 = 0 AND place % 2 = 0 GROUP BY ALL)
+SELECT s.session, step_order, CASE WHEN step_type = 'tool_result' AND reason IS NOT NULL THEN '[此工具结果已被 Projection 精简：toolCallId=' || c || CASE WHEN trim(reason) <> '' THEN ', reason=' || reason ELSE '' END || ']' ELSE content END AS content FROM s LEFT JOIN f ON f.session = s.session AND c = coalesce(call_id, tool)""")
 def rewritten_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _view(spark, sf_dir, "events", _STEPS)
-    return steps.rewritten(rows, rows.where("call_id = '1' and session % 2 = 0")).select("session", "step_order", "content")
+    rules = _view(spark, sf_dir, "events", _RULES).where("session % 2 = 0 and place % 2 = 0")
+    return steps.rewritten(_view(spark, sf_dir, "events", _STEPS), rules).select("session", "step_order", "content")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click')")

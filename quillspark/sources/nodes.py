@@ -84,6 +84,11 @@ def capped(nodes: list[Node]) -> list[Node]:
     return out
 
 
+def cluster_pieces(text: str) -> list[str]:
+    """A run of paragraphs as it is, or over the target in pieces."""
+    return [text] if len(text) <= TARGET else [p for p in _oversize(text) if p]
+
+
 def line_nodes(text: str) -> list[Node]:
     """Blank-line paragraphs run together up to the target; one over 1.5 times the target is split and its parts share a group."""
     out: list[Node] = []

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -46,6 +47,27 @@ def removed(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+#: Seconds after which a lock counts as left behind.
+LEASE_SECONDS = 3600
+
+
+@contextmanager
+def locked(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Holds a folder's lock, a file that is created only where there is none. RuntimeError if another job has it, unless for longer than LEASE_SECONDS."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/lock")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.createNewFile(path):
+        if time.time() - store.getFileStatus(path).getModificationTime() / 1000 < LEASE_SECONDS:
+            raise RuntimeError(f"another job changes {folder}")
+        store.delete(path, False)
+        if not store.createNewFile(path):
+            raise RuntimeError(f"another job changes {folder}")
+    try:
+        yield
+    finally:
+        store.delete(path, False)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Scratch tables that this thread makes inside are removed at its end, but for those taken off the list. Nothing that still reads them may be left."""

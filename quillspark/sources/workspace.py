@@ -12,10 +12,8 @@ from __future__ import annotations
 
 import json
 import posixpath
-import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from quillspark.sources.scratch import removed, staged
+from quillspark.sources.scratch import locked, removed, staged
 
 FILES = "user string, path string, mtime long, size long, content string"
 #: actions: write (only onto the seen time and size, or a new file where they are null), force, append (rows of one target in a row make one file), move, delete.
@@ -34,7 +32,6 @@ CHANGES = "user string, path string, action string, content string, seen_mtime l
 RESULTS = "user string, path string, action string, result string"
 JOBS, MERGED, RAW, TRASH = ".jobs", "_merged.md", ".raw", ".trash"
 BATCH_BYTES = 4 << 20
-LEASE_SECONDS = 3600
 
 
 def _opened(root: str) -> tuple[fs.FileSystem, str]:
@@ -167,23 +164,6 @@ def files(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return spark.read.format("workspace").options(root=root, **options).load()
 
 
-@contextmanager
-def _lock(spark: SparkSession, root: str) -> Iterator[None]:
-    """Holds the lock of a workspace; RuntimeError if another job has it, unless for longer than LEASE_SECONDS."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{JOBS}/lock")
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.createNewFile(path):
-        if time.time() - store.getFileStatus(path).getModificationTime() / 1000 < LEASE_SECONDS:
-            raise RuntimeError(f"another job changes {root}")
-        store.delete(path, False)
-        if not store.createNewFile(path):
-            raise RuntimeError(f"another job changes {root}")
-    try:
-        yield
-    finally:
-        store.delete(path, False)
-
-
 def _applied(root: str, job: str):
     """Rows of a job's lists, in order, with what came of each."""
 
@@ -248,7 +228,7 @@ def _finished(spark: SparkSession, root: str, job: str, phases: tuple[str, ...]
 def recovered(spark: SparkSession, root: str) -> list[str]:
     """Finishes the jobs that were committed but broke off while applied, removes those that never were; the names of the former."""
     store, base = _opened(root)
-    with _lock(spark, root):
+    with locked(spark, f"{root}/{JOBS}"):
         found = sorted(i.base_name for i in store.get_file_info(fs.FileSelector(f"{base}/{JOBS}", allow_not_found=True)) if i.type == fs.FileType.Directory)
         whole = [j for j in found if store.get_file_info(f"{base}/{JOBS}/{j}/committed").type == fs.FileType.File]
         for job in found:
@@ -276,7 +256,7 @@ def changed(changes: DataFrame, root: str) -> DataFrame:
     is one; so of two writers of one baseline one wins. Rows of one job are taken by place, in the order of their task.
     """
     job = committed(changes, root)
-    with _lock(changes.sparkSession, root):
+    with locked(changes.sparkSession, f"{root}/{JOBS}"):
         return _finished(changes.sparkSession, root, job)
 
 

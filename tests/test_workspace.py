@@ -95,6 +95,6 @@ def test_break_after_commit(spark, root, phases):
 
 
 def test_lock(spark, root):
-    with workspace._lock(spark, root), pytest.raises(RuntimeError):
+    with workspace.locked(spark, f"{root}/{workspace.JOBS}"), pytest.raises(RuntimeError):
         workspace.merge_month(spark, root, MONTH)
     assert workspace.merge_month(spark, root, MONTH).count() == 6
