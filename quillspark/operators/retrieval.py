@@ -5,14 +5,11 @@ Recall runs on narrow columns and ends in TakeOrderedAndProject or a group limit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import metric
 from quillspark.sources.scratch import staged
 
 RECALL, TOP_K, RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 20, 5, 60, 0.7, 0.3
@@ -24,51 +21,9 @@ def dense_recall(vectors: DataFrame, query: list[float], n: int = RECALL) -> Dat
     return vectors.select(F.col("vec_id").alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(n)
 
 
-#: Numbers in a block of queries that is held by every task at once (8 bytes each).
-QUERY_NUMBERS = 4_000_000
-
-
 def dense_recall_many(vectors: DataFrame, queries: DataFrame, n: int = RECALL) -> DataFrame:
-    """(query, id, score): for each query (vec_id, embedding) its n vectors of highest cosine, ties by id.
-
-    Queries are taken in blocks of a bounded size, one pass over the vectors each; a task passes on
-    its own n best of every query. Vectors without a norm or of another length score nothing.
-    """
-    dims, count = queries.select(F.max(F.size("embedding")), F.count("*")).first()
-    if not count or not dims or dims < 1:
-        return vectors.select(F.lit(0).cast("long").alias("query"), F.col("vec_id").cast("long").alias("id"), F.lit(0.0).alias("score")).where("false")
-    blocks = -(-count * dims // QUERY_NUMBERS)
-    found = None
-    for block in range(blocks):
-        held = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") == dims).toArrow()
-        part = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_best(held.column("vec_id").to_numpy(), np.array(held.column("v").to_pylist(), dtype=np.float64).reshape(-1, dims), n), "query long, id long, score double")
-        found = part if found is None else found.unionAll(part)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return found.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
-
-
-def _best(ids: np.ndarray, queries: np.ndarray, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        held_ids, held = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                rows = [(k, v) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v and len(v) == unit.shape[1] and None not in v]
-                if not rows:
-                    continue
-                x = np.array([v for _, v in rows])
-                norm = np.linalg.norm(x, axis=1)
-                good = np.isfinite(norm) & (norm > 0)
-                score = np.round(unit @ (x[good] / norm[good, None]).T, 6)
-                score = np.concatenate([held, score], axis=1)
-                key = np.concatenate([held_ids, np.tile(np.array([k for k, _ in rows])[good], (len(ids), 1))], axis=1)
-                order = np.lexsort((key, -score))[:, :n]
-                held, held_ids = np.take_along_axis(score, order, 1), np.take_along_axis(key, order, 1)
-        keep = np.isfinite(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held.shape[1]).reshape(held.shape)[keep]), pa.array(held_ids[keep]), pa.array(held[keep])], names=["query", "id", "score"])
-
-    return run
+    """(query, id, score): for each query (vec_id, embedding) its n vectors of highest cosine, ties by id. See ``metric.recall``."""
+    return metric.recall(vectors, queries, n)[0]
 
 
 #: Fixed values of the rank formulas: a word's weight, the limit of the sum of 1 / j ** 2, and the fall of weight with distance.
