@@ -257,3 +257,76 @@ def versions_written(path: str) -> Callable[[DataFrame, int], None]:
 def rules_in_force(versions: DataFrame) -> DataFrame:
     """(session, version, rules): each session's last version."""
     return versions.groupBy("session").agg(F.max("version").alias("version"), F.max_by("rules", "version").alias("rules"))
+
+
+# Summaries of messages as they arrive.
+
+NEAREST = "conv_id long, id long, summary_id long"
+
+
+class _Tree(StatefulProcessor):
+    """One conversation: what is known of each message, and the messages that came before their parent."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getMapState("known", "id long", "heir long")
+        self.waiting = handle.getMapState("waiting", "parent long", "children array<long>, summaries array<boolean>")
+
+    def _placed(self, conv: int, message: int, summary: bool, nearest: int | None) -> Iterator[Row]:
+        """A message whose nearest summary is known, and all that have waited for it, each once. What its children inherit is itself, if it is a summary."""
+        todo = [(message, summary, nearest)]
+        while todo:
+            now, is_summary, above = todo.pop()
+            if self.known.containsKey((now,)):
+                continue
+            heir = now if is_summary else above
+            self.known.updateValue((now,), (heir,))
+            yield Row(conv_id=conv, id=now, summary_id=above)
+            if self.waiting.containsKey((now,)):
+                todo += [(c, s, heir) for c, s in self._children(now)]
+                self.waiting.removeKey((now,))
+
+    def _children(self, parent: int) -> list[tuple[int, bool]]:
+        return list(zip(*self.waiting.getValue((parent,)), strict=True)) if self.waiting.containsKey((parent,)) else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = 0
+        for row in rows:
+            last = max(last, row["at"])
+            if row["parent_id"] is None:
+                yield from self._placed(key[0], row["id"], row["summary"], None)
+            elif self.known.containsKey((row["parent_id"],)):
+                yield from self._placed(key[0], row["id"], row["summary"], self.known.getValue((row["parent_id"],))[0])
+            else:
+                others = self._children(row["parent_id"])
+                if all(c != row["id"] for c, _ in others):
+                    both = [*others, (row["id"], row["summary"])]
+                    self.waiting.updateValue((row["parent_id"],), ([c for c, _ in both], [s for _, s in both]))
+        for old in list(self.handle.listTimers()):
+            last = max(last, old - IDLE)
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(last + IDLE)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """A conversation at rest: parents that never came end their children's paths, and nothing is kept."""
+        held = {k[0]: list(zip(*v, strict=True)) for k, v in self.waiting.iterator()}
+        below = {c for children in held.values() for c, _ in children}
+        for parent in sorted(held.keys() - below):
+            for child, summary in held[parent]:
+                yield from self._placed(key[0], child, summary, None)
+        self.known.clear()
+        self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def summaries_on_arrival(messages: DataFrame) -> DataFrame:
+    """A stream of messages (conv_id, id, parent_id, type, ts) as (conv_id, id, summary_id): the closest summary above each, once its parent is known.
+
+    Messages may come in any order: one that comes before its parent waits for it. After IDLE without a message of a conversation those whose parent
+    never came are given without it, and the state ends. A repeated message is given once. The batch form is ``trees.nearest_summaries``.
+    """
+    ts = F.col("ts").cast("timestamp")
+    rows = messages.where("conv_id is not null and id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("id").cast("long").alias("id"), F.col("parent_id").cast("long").alias("parent_id"), F.coalesce(F.col("type") == "summary", F.lit(False)).alias("summary"), ts.alias("ts"), F.unix_millis(ts).alias("at"))
+    return rows.withWatermark("ts", LATE).groupBy("conv_id").transformWithState(_Tree(), NEAREST, "Append", "EventTime")

@@ -150,3 +150,24 @@ def test_unknown_operation():
     with pytest.raises(ValueError):
         machines.rules_step(None, {"session": "a", "batch": 1, "at": 0, "ops": [{"op": "MOVE", "kind": "skip", "rule_id": "x", "target": None, "reason": None}]})
     assert machines.rules_step(None, {"session": "a", "batch": 1, "at": 0, "ops": None})[1]["version"] == 1
+
+
+def test_summaries_on_arrival(spark, tmp_path):
+    """Equal to the batch over all messages, whatever the order of arrival; paths end at a parent that never comes."""
+    from quillspark.operators import trees
+
+    r = random.Random(12)
+    messages = []
+    for conv in range(4):
+        ids = [conv * 100 + i for i in range(25)]
+        for i, m in enumerate(ids):
+            parent = None if i == 0 else 9000 + conv if i in (7, 8) else r.choice(ids[:i])
+            messages.append((conv, m, parent, r.choice(["user", "assistant", "summary"]), None))
+    r.shuffle(messages)
+    messages = [(c, m, p, t, at(n)) for n, (c, m, p, t, _) in enumerate(messages)]
+    schema = "conv_id long, id long, parent_id long, type string, ts timestamp"
+    parts = [messages[:30], [*messages[30:70], messages[3], messages[40]], messages[70:], [(77, 7700, None, "user", at(60_000))], [(77, 7701, 7700, "user", at(60_001))]]
+    got = streamed(spark, tmp_path, parts, schema, machines.summaries_on_arrival)
+    want = trees.nearest_summaries(spark.createDataFrame(messages, schema).dropDuplicates(["id"])).collect()
+    assert {(x["id"], x["summary_id"]) for x in got.where("conv_id < 77").collect()} == {(x["id"], x["summary_id"]) for x in want} and got.where("conv_id < 77").count() == len(want)
+    assert sum(x["summary_id"] is not None for x in want) > 20
