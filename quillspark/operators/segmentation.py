@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a word at most, occurrences at least, and the bounds of cohesion and freedom (in nats).
+#: Characters of a word at most, occurrences at least, and the bounds of cohesion and freedom (in nats). Two words that follow each other by chance
+#: cohere by about the logarithm of a word's mean length, so the bound of cohesion must be above that: these are for Chinese.
 LONGEST, LEAST, COHESION, FREEDOM = 4, 5, 1.0, 0.7
 #: Words of a dictionary at most, the most frequent ones: it is held by every task.
 WORDS = 500_000
