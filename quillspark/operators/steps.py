@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 
 MISSING, LEAST_TOKENS = "[no result]", 200
+#: The parts of the note that stands for a ruled result, around its call and its reason.
+NOTE, NOTE_REASON, NOTE_END = "[此工具结果已被 Projection 精简：toolCallId=", ", reason=", "]"
 
 
 def paired(steps: DataFrame) -> DataFrame:
@@ -37,6 +39,6 @@ def rewritten(steps: DataFrame, rules: DataFrame) -> DataFrame:
     """
     first = rules.where("call_id is not null").groupBy("session", F.col("call_id").alias("_call")).agg(F.min_by(F.coalesce("reason", F.lit("")), "place").alias("_reason"))
     called = steps.withColumn("_call", F.coalesce("call_id", "tool"))
-    note = F.concat(F.lit("[此工具结果已被 Projection 精简：toolCallId="), "_call", F.when(F.trim("_reason") != "", F.concat(F.lit(", reason="), "_reason")).otherwise(""), F.lit("]"))
+    note = F.concat(F.lit(NOTE), "_call", F.when(F.trim("_reason") != "", F.concat(F.lit(NOTE_REASON), "_reason")).otherwise(""), F.lit(NOTE_END))
     ruled = called.join(first, ["session", "_call"], "left")
     return ruled.withColumn("content", F.when(F.col("_reason").isNotNull() & (F.col("step_type") == "tool_result"), note).otherwise(F.col("content"))).select(*steps.columns)

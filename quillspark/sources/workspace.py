@@ -30,7 +30,10 @@ FILES = "user string, path string, mtime long, size long, content string"
 #: actions: write (only onto the seen time and size, or a new file where they are null), force, append (rows of one target in a row make one file), move, delete.
 CHANGES = "user string, path string, action string, content string, seen_mtime long, seen_size long, to string"
 RESULTS = "user string, path string, action string, result string"
-JOBS, MERGED, RAW, TRASH = ".jobs", "_merged.md", ".raw", ".trash"
+JOBS = ".jobs"
+#: Names of the merged file and the hidden folders, and what stands around an archive's path and after its text in a merge.
+MERGED, RAW, TRASH = "_merged.md", ".raw", ".trash"
+HEAD, HEAD_END, TEXT_END = "=== ", " ===\n", "\n\n"
 BATCH_BYTES = 4 << 20
 
 
@@ -267,7 +270,7 @@ def monthly_archives(archives: DataFrame, month: str) -> DataFrame:
     and without the merged file itself. A user's merge is the parts one after the other; no row holds more than one.
     """
     shown = month_archives(archives, month).where(F.col("content").rlike(r"\S"))
-    return shown.select("user", F.lit(f"History/{month}").alias("folder"), "path", F.concat(F.lit("=== "), "path", F.lit(" ===\n"), "content", F.lit("\n\n")).alias("part"))
+    return shown.select("user", F.lit(f"History/{month}").alias("folder"), "path", F.concat(F.lit(HEAD), "path", F.lit(HEAD_END), "content", F.lit(TEXT_END)).alias("part"))
 
 
 def month_archives(archives: DataFrame, month: str) -> DataFrame:
