@@ -87,7 +87,8 @@ def links(fps: DataFrame) -> DataFrame:
     bound = F.bit_count(F.col("counts_a").bitwiseXOR(F.col("counts_b"))) <= RADIUS
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
     same = (left["half"] == near["half"]) & (left["cell"] == near["cell"])
-    return left.join(near, same & (F.col("a") < F.col("b")) & bound & exact).select("a", "b")
+    # Spark takes a Generate's rows to be as many as its input's, and would broadcast some fifty cells a fingerprint.
+    return left.join(near.hint("merge"), same & (F.col("a") < F.col("b")) & bound & exact).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -416,6 +416,12 @@ def test_simhash_links_by_grid(spark):
     assert got == want
 
 
+def test_simhash_cells_are_not_broadcast(spark):
+    """However small Spark takes the fingerprints' some fifty cells each to be, they don't pass through the driver."""
+    found = simhash.links(spark.createDataFrame([(1,), (2,), (64,)], "fp long"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_shingles(text):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
