@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import ingest, learning, retrieval, tables
+from quillspark.plans import catalog
 from quillspark.sources import files
 from quillspark.sources.html import page_nodes
 from quillspark.sources.office import docx_nodes
@@ -31,6 +32,22 @@ def test_html_without_structure():
     assert page_nodes("<!-- only -->") == [] and page_nodes("<h1>open")[0].text == "open"
 
 
+def test_html_references():
+    """Only whole references are read: of known names or numbers, up to a semicolon."""
+    page = '<body><h1>a&amp b&ampc &lt; &#39;&#x41; &nosuch; &notit; & &#38</h1>x &amp;lt;<table id="1&amp2"><tr><td>p&amp q</td></tr></table>\ue000</body>'
+    assert [(n.text, n.title_path) for n in page_nodes(page)] == [
+        ("a&amp b&ampc < 'A &nosuch; &notit; & &#38 x &lt;", "a&amp b&ampc < 'A &nosuch; &notit; & &#38"),
+        ('<table id="1&amp2"><tr><td>p&amp;amp q</td></tr></table>', "a&amp b&ampc < 'A &nosuch; &notit; & &#38"), ("\ue000", "a&amp b&ampc < 'A &nosuch; &notit; & &#38"),
+    ]
+
+
+def test_parsed_pages_with_broken_references(spark, tmp_path):
+    pages = [(1, "u", "<html><body><nav>n</nav><article><h1>a &amp b</h1>c</article></body></html>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [x["text"] for x in catalog.queries()["parsed_documents"](spark, str(tmp_path)).orderBy("pos").collect()] == ["n", "a &amp b c"]
+
+
 def test_encodings(spark, tmp_path):
     raw = {"a.txt": "é ü".encode(), "b.txt": "中文".encode("gbk"), "c.txt": b"\xff\xfe\xfa\x81", "d.txt": b""}
     for name, content in raw.items():
