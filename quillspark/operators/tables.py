@@ -62,12 +62,15 @@ def removed_where(df: DataFrame, where: Column) -> DataFrame:
 
 
 def guarded_writes(files: DataFrame, writes: DataFrame) -> DataFrame:
-    """files (path, mtime, size, content, ...) after writes (path, seen_mtime, seen_size, new), with ``result``.
+    """files (path, mtime, size, content, ...) after writes (path, seen_mtime, seen_size, new), with ``result``: a row for each row of files.
 
-    A path that leaves its folder is refused; a write whose time and size aren't the file's is stale and changes nothing; null without a write.
+    A path that leaves its folder, or a null one, is refused; a write whose time and size aren't the file's is stale and changes nothing; null without a write.
+    A time or size that isn't known is equal to itself alone. Of several writes of one path that saw the file as it is, the one of the smallest content counts.
     """
-    joined = files.join(writes, "path", "left")
-    outside = F.col("path").rlike(r"(^|/)\.\.(/|$)") | F.startswith(F.col("path"), F.lit("/"))
-    fresh = (F.col("seen_mtime") == F.col("mtime")) & (F.col("seen_size") == F.col("size"))
-    result = F.when(F.col("seen_mtime").isNotNull(), F.when(outside, "refused").when(F.coalesce(fresh, F.lit(False)), "written").otherwise("stale"))
-    return joined.withColumn("result", result).withColumn("content", F.when(F.col("result") == "written", F.col("new")).otherwise(F.col("content"))).select(*files.columns, "result")
+    aimed = writes.select(F.col("path").alias("_p")).distinct().withColumn("_aimed", F.lit(True))
+    seen = writes.groupBy(F.col("path").alias("_path"), "seen_mtime", "seen_size").agg(F.min(F.struct("new")).alias("_write"))
+    fresh = F.col("path").eqNullSafe(F.col("_path")) & F.col("mtime").eqNullSafe(F.col("seen_mtime")) & F.col("size").eqNullSafe(F.col("seen_size"))
+    joined = files.join(aimed, F.col("path").eqNullSafe(F.col("_p")), "left").join(seen, fresh, "left")
+    outside = F.coalesce(F.col("path").rlike(r"(^|/)\.\.(/|$)") | F.startswith(F.col("path"), F.lit("/")), F.lit(True))
+    result = F.when(F.col("_aimed"), F.when(outside, "refused").when(F.col("_write").isNotNull(), "written").otherwise("stale"))
+    return joined.withColumn("result", result).withColumn("content", F.when(F.col("result") == "written", F.col("_write.new")).otherwise(F.col("content"))).select(*files.columns, "result")

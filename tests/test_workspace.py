@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from quillspark.operators import tables
+from quillspark.plans import catalog
 from quillspark.sources import workspace
 
 MONTH = "2024-01"
@@ -98,3 +100,14 @@ def test_lock(spark, root):
     with workspace.locked(spark, f"{root}/{workspace.JOBS}"), pytest.raises(RuntimeError):
         workspace.merge_month(spark, root, MONTH)
     assert workspace.merge_month(spark, root, MONTH).count() == 6
+
+
+def test_writes_of_shared_paths_and_unknown_sizes(spark, tmp_path):
+    """A row stays one where files share a path, and a page without content is written as it was seen."""
+    pages = [(4, "same", "a"), (8, "same", "b"), (12, None, "c"), (2, "x", None), (3, "y", "d"), (5, "z", "e")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r["id"], r["result"]) for r in catalog.queries()["workspace_writes"](spark, str(tmp_path)).collect())
+    assert got == [(2, "written"), (3, "written"), (4, "refused"), (5, "stale"), (8, "refused"), (12, "refused")]
+    files = spark.createDataFrame([("p", 1, 1, "a"), ("p", 2, 2, "b"), ("q", 1, 1, "c")], "path string, mtime long, size long, content string")
+    writes = spark.createDataFrame([("p", 1, 1, "new"), ("p", 1, 1, "also"), ("p", 9, 9, "late")], "path string, seen_mtime long, seen_size long, new string")
+    assert sorted((r["path"], r["content"], r["result"] or "") for r in tables.guarded_writes(files, writes).collect()) == [("p", "also", "written"), ("p", "b", "stale"), ("q", "c", "")]
