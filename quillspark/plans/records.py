@@ -481,7 +481,8 @@ def request_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each request is answered: run, processing, or the finished reply again."""
     kind = F.when(F.col("event_type") == "purchase", "finished").when(F.col("event_type") == "error", "failed").otherwise("request")
     key = F.when(F.col("user_id") % 10 == 0, "").otherwise(F.col("user_id").cast("string"))
-    ts = F.timestamp_seconds(F.expr("unix_seconds(cast(ts AS timestamp)) div 50"))
+    micros = "unix_micros(cast(ts AS timestamp))"
+    ts = F.timestamp_seconds(F.expr(f"({micros} + if({micros} < 0, -500, 500)) div 1000 div 50000"))  # to the nearest millisecond first
     return machines.replies(table(spark, sf_dir, "events").select(key.alias("request_id"), "event_id", ts.alias("ts"), kind.alias("kind"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("reply")))
 
 

@@ -6,6 +6,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.plans import catalog
 from quillspark.streaming import machines
 
 EVENT = "request_id string, event_id long, ts timestamp, kind string, reply string"
@@ -171,3 +172,12 @@ def test_summaries_on_arrival(spark, tmp_path):
     want = trees.nearest_summaries(spark.createDataFrame(messages, schema).dropDuplicates(["id"])).collect()
     assert {(x["id"], x["summary_id"]) for x in got.where("conv_id < 77").collect()} == {(x["id"], x["summary_id"]) for x in want} and got.where("conv_id < 77").count() == len(want)
     assert sum(x["summary_id"] is not None for x in want) > 20
+
+
+def test_requests_by_the_nearest_millisecond(spark, tmp_path):
+    """The fifty seconds that make one are counted in milliseconds, to which times are rounded."""
+    times = [(1, "49.999499"), (2, "49.999500"), (3, "50.000000")]
+    rows = spark.createDataFrame(times, "event_id long, s string").selectExpr("event_id", "event_id AS user_id", "'view' AS event_type", "cast(timestamp_micros(1704067200000000 + cast(cast(s AS decimal(12,6)) * 1000000 AS bigint)) AS timestamp_ntz) AS ts")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    first = 1704067200 // 50 * 1000
+    assert {r["event_id"]: r["at"] - first for r in catalog.queries()["request_replies"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1000, 3: 1000}
