@@ -451,17 +451,26 @@ def kept_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ARCHIVES = """CASE doc_id % 7 WHEN 0 THEN '.raw/' WHEN 1 THEN '.trash/' WHEN 2 THEN 'sub/' ELSE '' END || CASE WHEN doc_id % 50 = 3 THEN '_merged' ELSE lpad(doc_id::VARCHAR, 9, '0') END || CASE WHEN doc_id % 11 = 5 THEN '.txt' ELSE '.md' END"""
 
 
-@query(f"""WITH f AS (SELECT (doc_id % 10)::VARCHAR AS "user", 'History/2024-0' || (doc_id % 3 + 1) || '/' || {_ARCHIVES} AS path, text FROM documents)
-SELECT "user", 'History/2024-02' AS folder, path, md5('=== ' || path || ' ===' || chr(10) || text || chr(10) || chr(10)) AS digest FROM f
-WHERE prefix(path, 'History/2024-02/') AND suffix(path, '.md') AND NOT suffix(path, '/_merged.md') AND NOT contains(path, '/.raw/') AND NOT contains(path, '/.trash/') AND regexp_matches(text, '\\S')""")
+_SHELVES = """CASE doc_id % 7 WHEN 2 THEN 'sub/' ELSE '' END || lpad(doc_id::VARCHAR, 9, '0') || '.md'"""
+
+
+@query(f"""WITH named AS (SELECT (doc_id % 10)::VARCHAR AS "user", {_SHELVES} AS name, doc_id, text FROM documents UNION ALL SELECT (doc_id % 10)::VARCHAR, {_ARCHIVES}, doc_id, text FROM documents WHERE doc_id % 7 < 2 OR doc_id % 50 = 3 OR doc_id % 11 = 5),
+f AS (SELECT "user", 'History/2024-0' || (doc_id % 3 + 1) || '/' || name AS path, text FROM named),
+parts AS (SELECT "user", path, '=== ' || path || ' ===' || chr(10) || text || chr(10) || chr(10) AS part FROM f
+  WHERE prefix(path, 'History/2024-02/') AND suffix(path, '.md') AND NOT suffix(path, '/_merged.md') AND NOT contains(path, '/.raw/') AND NOT contains(path, '/.trash/') AND regexp_matches(text, '\\S'))
+SELECT "user", 'History/2024-02' AS folder, path, md5(part) AS digest, row_number() OVER o - 1 AS pos, (sum(strlen(part)) OVER (o ROWS UNBOUNDED PRECEDING) - strlen(part))::BIGINT AS start FROM parts WINDOW o AS (PARTITION BY "user" ORDER BY path, md5(part))""")
 def monthly_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of every user's merge of a month, some files being elsewhere, merged before, hidden or of another type."""
+    """The parts of every user's merge of a month, in their places; other copies of some files are elsewhere, merged before, hidden or of another type."""
     doc = F.col("doc_id")
+    number = F.lpad(doc.cast("string"), 9, "0")
+    shelf = F.concat(F.when(doc % 7 == 2, "sub/").otherwise(""), number, F.lit(".md"))
     folder = F.when(doc % 7 == 0, ".raw/").when(doc % 7 == 1, ".trash/").when(doc % 7 == 2, "sub/").otherwise("")
-    name = F.when(doc % 50 == 3, "_merged").otherwise(F.lpad(doc.cast("string"), 9, "0"))
-    path = F.concat(F.lit("History/2024-0"), (doc % 3 + 1).cast("string"), F.lit("/"), folder, name, F.when(doc % 11 == 5, ".txt").otherwise(".md"))
-    files = table(spark, sf_dir, "documents").select((doc % 10).cast("string").alias("user"), path.alias("path"), F.col("text").alias("content"))
-    return workspace.monthly_archives(files, "2024-02").select("user", "folder", "path", F.md5("part").alias("digest"))
+    name = F.when(doc % 50 == 3, "_merged").otherwise(number)
+    other = F.when((doc % 7 < 2) | (doc % 50 == 3) | (doc % 11 == 5), F.concat(folder, name, F.when(doc % 11 == 5, ".txt").otherwise(".md")))
+    path = F.concat(F.lit("History/2024-0"), (doc % 3 + 1).cast("string"), F.lit("/"), F.col("name"))
+    named = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_compact(F.array(shelf, other))).alias("name"))
+    files = named.select((doc % 10).cast("string").alias("user"), path.alias("path"), F.col("text").alias("content"))
+    return workspace.placed(workspace.monthly_archives(files, "2024-02"))
 
 
 # Events close together as requests, so that they meet running, finished, failed and expired ones.

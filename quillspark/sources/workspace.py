@@ -20,7 +20,7 @@ from zlib import crc32
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -273,6 +273,22 @@ def monthly_archives(archives: DataFrame, month: str) -> DataFrame:
     return shown.select("user", F.lit(f"History/{month}").alias("folder"), "path", F.concat(F.lit(HEAD), "path", F.lit(HEAD_END), "content", F.lit(TEXT_END)).alias("part"))
 
 
+def placed(parts: DataFrame) -> DataFrame:
+    """(user, folder, path, digest, pos, start) of parts (see ``monthly_archives``): the part's number in its user's merge, and the bytes before it.
+
+    Parts are dealt out in ranges of their order, whose totals alone meet, so a user's merge isn't one task's.
+    """
+    narrow = parts.select("user", "folder", "path", F.md5("part").alias("digest"), F.octet_length("part").cast("long").alias("size"))
+    shares = staged(narrow.repartitionByRange("user", "path", "digest").withColumn("share", F.spark_partition_id()), "archive-parts")
+    totals = shares.groupBy("user", "share").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    earlier = Window.partitionBy("user").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)  # a row a share
+    bases = totals.select("user", "share", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
+    own = Window.partitionBy("user", "share").orderBy("path", "digest")
+    before = F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = shares.withColumns({"_pos": F.row_number().over(own) - 1, "_start": before})
+    return within.join(bases, ["user", "share"]).select("user", "folder", "path", "digest", (F.col("first") + F.col("_pos")).alias("pos"), (F.col("base") + F.col("_start")).alias("start"))
+
+
 def month_archives(archives: DataFrame, month: str) -> DataFrame:
     """The archives of a month that haven't been merged."""
     segments = F.split("path", "/")

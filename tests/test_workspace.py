@@ -111,3 +111,17 @@ def test_writes_of_shared_paths_and_unknown_sizes(spark, tmp_path):
     files = spark.createDataFrame([("p", 1, 1, "a"), ("p", 2, 2, "b"), ("q", 1, 1, "c")], "path string, mtime long, size long, content string")
     writes = spark.createDataFrame([("p", 1, 1, "new"), ("p", 1, 1, "also"), ("p", 9, 9, "late")], "path string, seen_mtime long, seen_size long, new string")
     assert sorted((r["path"], r["content"], r["result"] or "") for r in tables.guarded_writes(files, writes).collect()) == [("p", "also", "written"), ("p", "b", "stale"), ("q", "c", "")]
+
+
+def test_monthly_archive_holds_every_text_of_the_month(spark, tmp_path):
+    """No text of the month is left out because of its number, and each part follows those before it in its user's merge."""
+    docs = [(i, " " if i % 100 == 1 else f"é{i}" * (i % 5 + 1)) for i in range(1, 400)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["monthly_archive"](spark, str(tmp_path)).collect()
+    assert {int(r["path"][-12:-3]) for r in got} == {i for i, t in docs if i % 3 == 1 and t.strip()} and len(got) == len({r["path"] for r in got})
+    text = dict(docs)
+    for user in {r["user"] for r in got}:
+        start = 0
+        for pos, r in enumerate(sorted((r for r in got if r["user"] == user), key=lambda r: r["path"])):
+            assert (r["pos"], r["start"]) == (pos, start)
+            start += len(f"=== {r['path']} ===\n{text[int(r['path'][-12:-3])]}\n\n".encode())
