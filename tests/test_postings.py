@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from quillspark.functions import text as T
@@ -97,3 +98,10 @@ def test_many_questions_fused_and_cut(spark):
     assert fused[1, 11] == (0.2, round(0.7 / 62 + 0.3 / 61, 9)) and fused[3, 12] == (0.01, round(0.3 / 61, 9)) and len(fused) == 5
     top = retrieval.top_k(retrieval.fuse(dense, sparse, by="query"), 1, 0.05, by="query")
     assert sorted((r["query"], r["id"]) for r in top.collect()) == [(1, 10), (2, 10)]
+
+
+def test_places_of_a_word_travel_together():
+    """A text gives a row for each of its words, not for each place."""
+    columns = [pa.array([1, 2, 3]), pa.array([7, 8, 9]), pa.array([0, 0, 1]), pa.array([["a", "b", "a"], [], ["b"]])]
+    rows = [r for b in postings._words(iter([pa.RecordBatch.from_arrays(columns, names=["id", "copy", "block", "words"])])) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in rows] == [("a", 0, 1, 7, [1, 3]), ("b", 0, 1, 7, [2]), ("b", 1, 3, 9, [1])]
