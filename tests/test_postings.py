@@ -9,6 +9,7 @@ import pytest
 
 from quillspark.functions import text as T
 from quillspark.operators import postings, retrieval
+from quillspark.plans import catalog
 
 STOP = set(T.STOP_WORDS)
 
@@ -105,3 +106,17 @@ def test_places_of_a_word_travel_together():
     columns = [pa.array([1, 2, 3]), pa.array([7, 8, 9]), pa.array([0, 0, 1]), pa.array([["a", "b", "a"], [], ["b"]])]
     rows = [r for b in postings._words(iter([pa.RecordBatch.from_arrays(columns, names=["id", "copy", "block", "words"])])) for r in b.to_pylist()]
     assert [tuple(r.values()) for r in rows] == [("a", 0, 1, 7, [1, 3]), ("b", 0, 1, 7, [2]), ("b", 1, 3, 9, [1])]
+
+
+def test_every_item_asks(spark, tmp_path):
+    """Items whose ids 50 does not divide are questions too: 1 by its vector, 7 by its words alone, 51 by neither, 50 by both."""
+    rows = {
+        "documents": ([(1, "red " * 30), (2, "alpha beta " * 30), (3, "gamma delta " * 30)], "doc_id long, text string"),
+        "embeddings": ([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (50, [0.6, 0.8]), (9, [-1.0, 0.0])], "vec_id long, embedding array<float>"),
+        "benchmark": ([(1, "nowhere"), (7, "alpha beta"), (50, "gamma delta"), (51, "unheard")], "item_id long, text string"),
+    }
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((r["query"], r["id"], round(r["score"], 4)) for r in catalog.queries()["hybrid_topk_many"](spark, str(tmp_path)).collect())
+    by_words = {(q, k): round(s, 4) for q, k, s in plain_recall(rows["documents"][0], rows["benchmark"][0], 20)}
+    assert got == sorted([(1, 1, 1.0), (1, 50, 0.6), (7, 2, by_words[7, 2]), (50, 1, 0.6), (50, 2, 0.8), (50, 3, by_words[50, 3]), (50, 50, 1.0)])
